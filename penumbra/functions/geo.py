@@ -16,6 +16,11 @@ def point(x: Column, y: Column) -> Column:
     return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """Metres along the great circle."""
     half = F.pow(F.sin(F.radians(lat2 - lat1) / 2), F.lit(2)) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), F.lit(2))
@@ -91,16 +96,17 @@ def ring_area_twice(ring: Column) -> Column:
 
 def ring_centroid(ring: Column) -> Column:
     """The centroid, or the mean of the vertices where the ring has hardly any area."""
-    twice = ring_area_twice(ring)
-    pairs = F.transform(ring, lambda p, i: F.struct(p.alias("p"), F.get(ring, (i + 1) % F.size(ring)).alias("q")))
-
-    def moment(axis: str) -> Column:
-        return F.aggregate(pairs, F.lit(0.0), lambda acc, s: acc + (s["p"][axis] + s["q"][axis]) * (s["p"]["x"] * s["q"]["y"] - s["q"]["x"] * s["p"]["y"]))
+    zero = F.struct(*[F.lit(0.0).alias(c) for c in ("twice", "mx", "my", "sx", "sy")])
 
-    def mean(axis: str) -> Column:
-        return F.aggregate(ring, F.lit(0.0), lambda acc, p: acc + p[axis]) / F.size(ring)
+    def add(acc: Column, s: Column) -> Column:
+        p, q = s["p"], s["q"]
+        cross = p["x"] * q["y"] - q["x"] * p["y"]
+        new = {"twice": cross, "mx": (p["x"] + q["x"]) * cross, "my": (p["y"] + q["y"]) * cross, "sx": p["x"], "sy": p["y"]}
+        return F.struct(*[(acc[c] + v).alias(c) for c, v in new.items()])
 
-    return F.when(F.abs(twice) < 1e-15, point(mean("x"), mean("y"))).otherwise(point(moment("x") / (3 * twice), moment("y") / (3 * twice)))
+    pairs = F.transform(ring, lambda p, i: F.struct(p.alias("p"), F.get(ring, (i + 1) % F.size(ring)).alias("q")))
+    mean = lambda t: point(t["sx"] / F.size(ring), t["sy"] / F.size(ring))
+    return let(F.aggregate(pairs, zero, add), lambda t: F.when(F.abs(t["twice"]) < 1e-15, mean(t)).otherwise(point(t["mx"] / (3 * t["twice"]), t["my"] / (3 * t["twice"]))))
 
 
 def largest_ring(rings: Column, least_points: int = 4) -> Column:
@@ -111,8 +117,7 @@ def largest_ring(rings: Column, least_points: int = 4) -> Column:
 
 
 def footprint_center(rings: Column) -> Column:
-    best = largest_ring(rings)
-    return F.when(best.isNotNull(), ring_centroid(best))
+    return let(largest_ring(rings), lambda best: F.when(best.isNotNull(), ring_centroid(best)))
 
 
 def crossings(line_sides: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
@@ -134,6 +139,11 @@ def crossings(line_sides: Column, x0: Column, y0: Column, x1: Column, y1: Column
     return F.array_sort(F.array_compact(F.transform(line_sides, meet)))
 
 
+def spans_inside(line_sides: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    """The parts of a line from 0 to 1 that lie inside of rings."""
+    return let(crossings(line_sides, x0, y0, x1, y1), inside_spans)
+
+
 def inside_spans(found: Column) -> Column:
     """The parts of a line from 0 to 1 that are inside, from its crossings: structs of t0 and t1, empty ones left out."""
     pairs = F.transform(F.sequence(F.lit(0), F.floor(F.size(found) / 2).cast("int") - 1), lambda i: F.struct(F.greatest(F.get(found, 2 * i), F.lit(0.0)).alias("t0"), F.least(F.get(found, 2 * i + 1), F.lit(1.0)).alias("t1")))

@@ -30,7 +30,9 @@ def slug(value: Column) -> Column:
 
 
 def format_distance(metres: Column) -> Column:
-    return F.when(metres < 1000, F.concat(F.floor(metres + 0.5).cast("string"), F.lit(" m"))).otherwise(F.concat(F.format_number(metres / 1000, "0.0"), F.lit(" km")))
+    """Whole metres below a kilometre, else kilometres to one place; halves go up."""
+    tenths = F.floor((metres + 50) / 100)
+    return F.when(metres < 1000, F.concat(F.floor(metres).cast("string"), F.lit(" m"))).otherwise(F.format_string("%d.%d km", F.floor(tenths / 10), tenths % 10))
 
 
 def half_up(value: Column) -> Column:

@@ -1 +1,68 @@
-"""Queries."""
+"""Queries on field observations."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from penumbra.functions.geo import bearing_error as bearing
+from penumbra.functions.geo import percent_error as percent
+from penumbra.operators import observations as ops
+from penumbra.plans.tables import OBSERVATIONS, observations
+from penumbra.registry import query
+
+_FIELD = """CASE WHEN NOT regexp_matches(observed_at, '(Z|[+-][0-9]{2}:?[0-9]{2})$') THEN 'observed_at' WHEN observation_type NOT IN ('shadow', 'route') THEN 'observation_type' WHEN latitude NOT BETWEEN -90 AND 90 THEN 'location.latitude'
+  WHEN longitude NOT BETWEEN -180 AND 180 THEN 'location.longitude' WHEN gps_accuracy_m < 0 THEN 'location.gps_accuracy_m' WHEN cloud_condition NOT IN ('clear', 'partly_cloudy', 'overcast') THEN 'conditions.cloud_condition'
+  WHEN photos = 0 THEN 'evidence.photo_files'
+  WHEN observation_type = 'shadow' AND observed_bearing NOT BETWEEN 0 AND 360 THEN 'observed.shadow_bearing_degrees' WHEN observation_type = 'shadow' AND predicted_bearing NOT BETWEEN 0 AND 360 THEN 'predicted.shadow_bearing_degrees' END"""
+CHECKED = f"""{OBSERVATIONS}, named AS (SELECT *, {_FIELD} AS wrong, row_number() OVER (PARTITION BY observation_id ORDER BY pos) AS nth FROM obs),
+bad AS (SELECT *, coalesce(wrong, CASE WHEN nth > 1 THEN 'observation_id' END) AS field FROM named), good AS (SELECT * FROM bad WHERE field IS NULL)"""
+SHADOW = f"""{CHECKED}, err AS (SELECT observation_id, pos, abs(observed_bearing - predicted_bearing) % 360 AS b, abs(predicted_length - observed_length) AS l, abs(predicted_fraction - observed_fraction) AS f, observed_length FROM good WHERE observation_type = 'shadow'),
+shadow AS (SELECT observation_id, pos, round(least(b, 360 - b), 3) AS bearing_error_degrees, round(l, 3) AS length_error_m, CASE WHEN observed_length <> 0 THEN round(l / observed_length * 100, 3) END AS length_error_percent, round(f * 100, 3) AS shade_error_points FROM err)"""
+ROUTE = f"""{CHECKED}, route AS (SELECT observation_id, pos, round(abs(predicted_distance - observed_distance), 3) AS distance_error_m, CASE WHEN observed_distance <> 0 THEN round(abs(predicted_distance - observed_distance) / observed_distance * 100, 3) END AS distance_error_percent,
+  round(abs(predicted_duration - observed_duration), 3) AS duration_error_s, round(abs(predicted_fraction - observed_fraction) * 100, 3) AS shade_error_points FROM good WHERE observation_type = 'route')"""
+
+
+@query("bearing_error", f"WITH {OBSERVATIONS}, e AS (SELECT pos, abs(observed_bearing - predicted_bearing) % 360 AS b FROM obs) SELECT pos, least(b, 360 - b) AS degrees FROM e")
+def bearing_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return observations(spark, sf_dir).select("pos", bearing(F.col("observed_bearing"), F.col("predicted_bearing")).alias("degrees"))
+
+
+@query("percent_error", f"WITH {OBSERVATIONS} SELECT pos, CASE WHEN observed_length <> 0 THEN round(abs(predicted_length - observed_length) / observed_length * 100, 6) END AS percent FROM obs")
+def percent_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return observations(spark, sf_dir).select("pos", F.round(percent(F.col("observed_length"), F.col("predicted_length")), 6).alias("percent"))
+
+
+@query("obs_violations", f"WITH {CHECKED} SELECT observation_id, pos, 'observation[' || observation_id || '].' || field || CASE WHEN nth > 1 THEN ' must be valid and unique' ELSE ' must be valid' END AS message FROM bad WHERE field IS NOT NULL")
+def obs_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.violations(observations(spark, sf_dir))
+
+
+@query("obs_duplicates", f"WITH {OBSERVATIONS} SELECT observation_id, count(*) AS n FROM obs GROUP BY observation_id HAVING count(*) > 1")
+def obs_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return observations(spark, sf_dir).groupBy("observation_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+
+
+@query("obs_shadow_errors", f"WITH {SHADOW} SELECT * FROM shadow")
+def obs_shadow_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.shadow_errors(ops.valid(observations(spark, sf_dir)))
+
+
+@query("obs_route_errors", f"WITH {ROUTE} SELECT * FROM route")
+def obs_route_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.route_errors(ops.valid(observations(spark, sf_dir)))
+
+
+@query("obs_shadow_summary", f"WITH {SHADOW} SELECT count(*) AS n, {', '.join(f'round(avg({c}), 3) AS {c}' for c in ('bearing_error_degrees', 'length_error_m', 'length_error_percent', 'shade_error_points'))} FROM shadow")
+def obs_shadow_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.means(ops.shadow_errors(ops.valid(observations(spark, sf_dir))))
+
+
+@query("obs_route_summary", f"WITH {ROUTE} SELECT count(*) AS n, {', '.join(f'round(avg({c}), 3) AS {c}' for c in ('distance_error_m', 'distance_error_percent', 'duration_error_s', 'shade_error_points'))} FROM route")
+def obs_route_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.means(ops.route_errors(ops.valid(observations(spark, sf_dir))))
+
+
+@query("obs_report")
+def obs_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.report(ops.valid(observations(spark, sf_dir)))

@@ -1 +1,202 @@
-"""Queries."""
+"""Queries on shadows and on the shade of edges, at a stated list of instants."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from penumbra.functions import geo
+from penumbra.functions.solar import shadow_length as reach
+from penumbra.functions.solar import with_solar
+from penumbra.operators import shade, shadows
+from penumbra.plans.ingest import BUILDINGS_CLEAN, POINTS, TREES_CLEAN, buildings, trees, utm_sql
+from penumbra.plans.solar import solar_sql
+from penumbra.plans.tables import EDGES, edges, nodes, raw_buildings
+from penumbra.registry import query
+
+#: The instants asked about: morning, noon, evening and night of a day in June.
+INSTANTS = ("2026-06-21 12:00:00", "2026-06-21 18:00:00", "2026-06-22 00:00:00", "2026-06-22 06:00:00")
+_AT = ", ".join(f"(TIMESTAMP '{at}')" for at in INSTANTS)
+SUNS = f"asked(bucket_start) AS (VALUES {_AT}), {solar_sql('asked', 'bucket_start', 'bucket_start')}, lit AS (SELECT * FROM solar WHERE daylight)"
+REACH = "least({height} / tan(radians(apparent_altitude)), 100)"
+CAPSULES = f"""{TREES_CLEAN}, {SUNS}, cap1 AS (
+  SELECT bucket_start, source_id, e, n, lon, lat, canopy_radius_m AS r, {REACH.format(height="height_m")} AS len, height_m / tan(radians(apparent_altitude)) > 100 AS length_capped, radians(90 - shadow_azimuth) AS d FROM tree, lit WHERE shade_ready
+), cap2 AS (SELECT *, unnest(range(0, 19)) AS i FROM cap1
+), capsule AS (
+  SELECT bucket_start, source_id, i, round(e + CASE WHEN i BETWEEN 9 AND 17 THEN len * cos(d) + r * cos(d - pi() / 2 + (i - 9) * (pi() / 8)) ELSE r * cos(d + pi() / 2 + (i % 18) * (pi() / 8)) END, 3) AS x,
+    round(n + CASE WHEN i BETWEEN 9 AND 17 THEN len * sin(d) + r * sin(d - pi() / 2 + (i - 9) * (pi() / 8)) ELSE r * sin(d + pi() / 2 + (i % 18) * (pi() / 8)) END, 3) AS y FROM cap2)"""
+FOOTPRINTS = f"""{BUILDINGS_CLEAN}, {POINTS[POINTS.index("ring AS") :]}, fp AS (
+  SELECT u.objectid AS source_id, ring, pos, round(e, 3) AS x, round(n, 3) AS y, estimated_height_m AS height_m FROM utm u JOIN building b ON b.source_id = u.objectid WHERE shade_ready
+), fside AS (SELECT * FROM (SELECT source_id, ring, pos, height_m, x AS x1, y AS y1, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM fp WINDOW w AS (PARTITION BY source_id, ring ORDER BY pos)) WHERE x2 IS NOT NULL)"""
+#: The common table expressions of trees and of footprints both end in `utm`: the trees' are renamed.
+_TREE_PART = CAPSULES.replace("utm AS", "tutm AS").replace("FROM utm", "FROM tutm").replace("u1 ", "tu1 ").replace("u2 ", "tu2 ").replace("u3 ", "tu3 ").replace("FROM u1)", "FROM tu1)").replace("FROM u2)", "FROM tu2)").replace("FROM u3)", "FROM tu3)")
+PIECES = f"""{_TREE_PART}, {FOOTPRINTS}, thrown AS (
+  SELECT bucket_start, f.*, {REACH.format(height="height_m")} * sin(radians(shadow_azimuth)) AS dx, {REACH.format(height="height_m")} * cos(radians(shadow_azimuth)) AS dy, row_number() OVER (PARTITION BY bucket_start, source_id ORDER BY ring, pos) AS nth FROM fside f, lit
+), side AS (
+  SELECT bucket_start, 'tree' AS kind, source_id, 0 AS piece, x AS x1, y AS y1, x2, y2 FROM (SELECT *, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM capsule WINDOW w AS (PARTITION BY bucket_start, source_id ORDER BY i)) WHERE x2 IS NOT NULL
+  UNION ALL SELECT bucket_start, 'building', source_id, -2, x1, y1, x2, y2 FROM thrown
+  UNION ALL SELECT bucket_start, 'building', source_id, -1, x1 + dx, y1 + dy, x2 + dx, y2 + dy FROM thrown
+  UNION ALL SELECT bucket_start, 'building', source_id, nth, unnest([x1, x2, x2 + dx, x1 + dx]), unnest([y1, y2, y2 + dy, y1 + dy]), unnest([x2, x2 + dx, x1 + dx, x1]), unnest([y2, y2 + dy, y1 + dy, y1]) FROM thrown WHERE abs((x2 - x1) * dy - (y2 - y1) * dx) > 1e-9
+), box AS (SELECT bucket_start, kind, source_id, piece, min(x1) AS px0, max(x1) AS px1, min(y1) AS py0, max(y1) AS py1 FROM side GROUP BY ALL)"""
+LINES = f"""{EDGES}, {utm_sql("node", "lon", "lat", "node_id").replace("u1 ", "nu1 ").replace("u2 ", "nu2 ").replace("u3 ", "nu3 ").replace("FROM u1)", "FROM nu1)").replace("FROM u2)", "FROM nu2)").replace("FROM u3)", "FROM nu3)").replace("utm AS", "nutm AS")},
+line AS (SELECT lo, hi, distance_m, a.e AS lx0, a.n AS ly0, b.e AS lx1, b.n AS ly1 FROM edge JOIN nutm a ON a.node_id = lo JOIN nutm b ON b.node_id = hi)"""
+SPANS = f"""{PIECES}, {LINES}, near AS (
+  SELECT * FROM line JOIN box ON least(lx0, lx1) <= px1 AND px0 <= greatest(lx0, lx1) AND least(ly0, ly1) <= py1 AND py0 <= greatest(ly0, ly1)
+), off AS (
+  SELECT bucket_start, lo, hi, kind, source_id, piece, (lx1 - lx0) * (y1 - ly0) - (ly1 - ly0) * (x1 - lx0) AS oa, (lx1 - lx0) * (y2 - ly0) - (ly1 - ly0) * (x2 - lx0) AS ob,
+    ((x1 - lx0) * (lx1 - lx0) + (y1 - ly0) * (ly1 - ly0)) / ((lx1 - lx0) ** 2 + (ly1 - ly0) ** 2) AS ta, ((x2 - lx0) * (lx1 - lx0) + (y2 - ly0) * (ly1 - ly0)) / ((lx1 - lx0) ** 2 + (ly1 - ly0) ** 2) AS tb
+  FROM near JOIN side USING (bucket_start, kind, source_id, piece)
+), hit AS (SELECT bucket_start, lo, hi, kind, source_id, piece, ta + (tb - ta) * oa / (oa - ob) AS t FROM off WHERE (oa < 0) <> (ob < 0)
+), paired AS (SELECT *, row_number() OVER w AS rn, lead(t) OVER w AS t2 FROM hit WINDOW w AS (PARTITION BY bucket_start, lo, hi, kind, source_id, piece ORDER BY t)
+), span AS (SELECT bucket_start, lo, hi, kind, source_id, piece, greatest(t, 0) AS t0, least(t2, 1) AS t1 FROM paired WHERE rn % 2 = 1 AND least(t2, 1) > greatest(t, 0))"""
+SHADE = f"""{SPANS}, part AS (SELECT bucket_start, lo, hi, t0, t1, max(t1) OVER (PARTITION BY bucket_start, lo, hi ORDER BY t0, t1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM span
+), cover AS (SELECT bucket_start, lo, hi, least(1, sum(greatest(0, t1 - greatest(t0, coalesce(before, 0))))) AS fraction FROM part GROUP BY 1, 2, 3
+), shade AS (SELECT s.bucket_start, s.daylight, lo, hi, distance_m, coalesce(fraction, 0) AS fraction FROM edge CROSS JOIN solar s LEFT JOIN cover USING (bucket_start, lo, hi))"""
+
+
+def suns(spark: SparkSession) -> DataFrame:
+    """The sun at the instants: as many rows as the list has, computed once rather than in every expression that uses them."""
+    at = spark.createDataFrame([(a,) for a in INSTANTS], "at string").select(F.col("at").cast("timestamp_ntz").alias("bucket_start"))
+    found = with_solar(at, "bucket_start")
+    return spark.createDataFrame(found.collect(), found.schema)
+
+
+def ready_buildings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shadows.eligible_buildings(buildings(spark, sf_dir).withColumn("pos", F.col("source_id")))
+
+
+@query("shadow_length", f"WITH {TREES_CLEAN}, {SUNS} SELECT bucket_start, source_id, round({REACH.format(height='height_m')}, 3) AS length_m FROM tree, lit WHERE height_m IS NOT NULL")
+def shadow_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lit = suns(spark).filter("daylight").select("bucket_start", "apparent_altitude")
+    tall = trees(spark, sf_dir).filter("height_m is not null").select("source_id", "height_m")
+    return tall.crossJoin(F.broadcast(lit)).select("bucket_start", "source_id", F.round(reach(F.col("height_m"), F.col("apparent_altitude")), 3).alias("length_m"))
+
+
+@query("tree_shadow", f"WITH {CAPSULES} SELECT bucket_start, source_id, round(len, 3) AS length_m, length_capped FROM cap1")
+def tree_shadow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shadows.tree_shadows(trees(spark, sf_dir), suns(spark)).select("bucket_start", "source_id", "length_m", "length_capped")
+
+
+@query("tree_shadow_polygon", f"WITH {CAPSULES} SELECT bucket_start, source_id, CAST(i AS INTEGER) AS pos, x, y FROM capsule")
+def tree_shadow_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per point of each shadow's outline."""
+    found = shadows.tree_shadows(trees(spark, sf_dir), suns(spark))
+    return found.select("bucket_start", "source_id", F.posexplode("polygon").alias("pos", "p")).select("bucket_start", "source_id", "pos", "p.x", "p.y")
+
+
+@query("metric_to_wgs84")
+def metric_to_wgs84(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per point of each tree shadow as drawn on the map."""
+    found = shadows.tree_shadow_map(trees(spark, sf_dir), suns(spark))
+    return found.select("bucket_start", "source_id", F.posexplode("ring").alias("pos", "p")).select("bucket_start", "source_id", "pos", F.col("p.x").alias("lon"), F.col("p.y").alias("lat"))
+
+
+@query(
+    "tree_bucket_header",
+    f"""WITH {CAPSULES}, k AS (SELECT (SELECT count(*) FROM tree WHERE shade_ready) AS eligible, (SELECT count(*) FROM tree WHERE NOT shade_ready) AS excluded)
+SELECT s.bucket_start, s.daylight, count(c.source_id) AS shadow_count, coalesce(max(round(c.len, 3)), 0) AS max_length_m, k.eligible, k.excluded FROM solar s LEFT JOIN cap1 c USING (bucket_start), k GROUP BY ALL""",
+)
+def tree_bucket_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = trees(spark, sf_dir)
+    kept = shadows.eligible_trees(rows).agg(F.count(F.lit(1)).alias("eligible"))
+    k = rows.agg(F.count(F.lit(1)).alias("total")).crossJoin(kept).select("eligible", (F.col("total") - F.col("eligible")).alias("excluded"))
+    sums = shadows.tree_shadows(rows, suns(spark)).groupBy("bucket_start").agg(F.count(F.lit(1)).alias("shadow_count"), F.max("length_m").alias("max_length_m"))
+    head = suns(spark).select("bucket_start", "daylight").join(sums, "bucket_start", "left")
+    return head.crossJoin(F.broadcast(k)).select("bucket_start", "daylight", F.coalesce("shadow_count", F.lit(0)).alias("shadow_count"), F.coalesce("max_length_m", F.lit(0.0)).alias("max_length_m"), "eligible", "excluded")
+
+
+@query("building_shadow", f"WITH {PIECES} SELECT bucket_start, source_id, count(DISTINCT piece) AS pieces, count(*) AS sides, round(max(px1) - min(px0), 1) AS width_m, round(max(py1) - min(py0), 1) AS depth_m FROM side JOIN box USING (bucket_start, kind, source_id, piece) WHERE kind = 'building' GROUP BY 1, 2")
+def building_shadow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each building's shadow by the pieces that make it up, and its extent."""
+    found = shadows.building_pieces(ready_buildings(spark, sf_dir), suns(spark))
+    xs, ys = F.transform("sides", lambda s: s["p"]["x"]), F.transform("sides", lambda s: s["p"]["y"])
+    boxed = found.select("bucket_start", "source_id", F.size("sides").alias("n"), F.array_min(xs).alias("x0"), F.array_max(xs).alias("x1"), F.array_min(ys).alias("y0"), F.array_max(ys).alias("y1"))
+    return boxed.groupBy("bucket_start", "source_id").agg(F.count(F.lit(1)).alias("pieces"), F.sum("n").alias("sides"), F.round(F.max("x1") - F.min("x0"), 1).alias("width_m"), F.round(F.max("y1") - F.min("y0"), 1).alias("depth_m"))
+
+
+@query(
+    "building_bucket_header",
+    f"""WITH {PIECES}, len AS (SELECT bucket_start, source_id, {REACH.format(height="estimated_height_m")} AS len FROM building, lit WHERE shade_ready), k AS (SELECT count(*) FILTER (shade_ready) AS eligible, count(*) FILTER (NOT shade_ready) AS excluded FROM building)
+SELECT s.bucket_start, s.daylight, count(l.source_id) AS shadow_count, coalesce(max(round(l.len, 3)), 0) AS max_length_m, k.eligible, k.excluded FROM solar s LEFT JOIN len l USING (bucket_start), k GROUP BY ALL""",
+)
+def building_bucket_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready = ready_buildings(spark, sf_dir)
+    total = buildings(spark, sf_dir).agg(F.count(F.lit(1)).alias("total"))
+    k = total.crossJoin(ready.agg(F.count(F.lit(1)).alias("eligible"))).select("eligible", (F.col("total") - F.col("eligible")).alias("excluded"))
+    sums = shadows.by_instant(ready.select("source_id", "height_m"), suns(spark)).groupBy("bucket_start").agg(F.count(F.lit(1)).alias("shadow_count"), F.max(F.round("reach", 3)).alias("max_length_m"))
+    head = suns(spark).select("bucket_start", "daylight").join(sums, "bucket_start", "left")
+    return head.crossJoin(F.broadcast(k)).select("bucket_start", "daylight", F.coalesce("shadow_count", F.lit(0)).alias("shadow_count"), F.coalesce("max_length_m", F.lit(0.0)).alias("max_length_m"), "eligible", "excluded")
+
+
+@query("ring_topology", f"WITH {POINTS} SELECT objectid, CAST(ring - 1 AS INTEGER) AS ring, CAST(ring - 1 AS BIGINT) AS depth, ring = 2 AS hole, CASE WHEN ring = 2 THEN 0 END AS shell FROM ring")
+def ring_topology(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rings = raw_buildings(spark, sf_dir).select(F.col("objectid").alias("id"), F.posexplode("rings").alias("ring", "points"))
+    return shadows.ring_depths(rings).select(F.col("id").alias("objectid"), "ring", "depth", "hole", "shell")
+
+
+@query("ring_validate", f"WITH {POINTS} SELECT objectid, CAST(ring - 1 AS INTEGER) AS ring, true AS valid FROM ring")
+def ring_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rings = raw_buildings(spark, sf_dir).select("objectid", F.posexplode("rings").alias("ring", "points"))
+    return rings.select("objectid", "ring", shadows.valid_ring(F.col("points")).alias("valid"))
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shade.edge_lines(edges(spark, sf_dir), nodes(spark, sf_dir))
+
+
+@query("edge_lines", f"WITH {LINES} SELECT lo, hi, round(lx0, 3) AS x0, round(ly0, 3) AS y0, round(lx1, 3) AS x1, round(ly1, 3) AS y1 FROM line")
+def edge_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines(spark, sf_dir).select("lo", "hi", *[F.round(c, 3).alias(c) for c in ("x0", "y0", "x1", "y1")])
+
+
+def all_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shade.pieces(trees(spark, sf_dir), ready_buildings(spark, sf_dir), suns(spark))
+
+
+@query("edge_shadow_join", f"WITH {SPANS} SELECT bucket_start, lo, hi, kind, source_id, CAST(count(DISTINCT piece) AS BIGINT) AS pieces, round(sum(t1 - t0), 3) AS crossed FROM span GROUP BY ALL")
+def edge_shadow_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which shadows fall on which edges, in how many pieces, and how much they cross of them in all."""
+    found = shade.edge_shadows(lines(spark, sf_dir), all_pieces(spark, sf_dir))
+    length = F.aggregate("spans", F.lit(0.0), lambda a, s: a + s["t1"] - s["t0"])
+    return found.groupBy("bucket_start", "lo", "hi", "kind", "source_id").agg(F.count(F.lit(1)).alias("pieces"), F.round(F.sum(length), 3).alias("crossed"))
+
+
+def shade_of_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shade.edge_shade(lines(spark, sf_dir), all_pieces(spark, sf_dir), suns(spark))
+
+
+@query("edge_shade", f"WITH {SHADE} SELECT bucket_start, daylight, lo, hi, round(fraction, 4) AS fraction FROM shade")
+def edge_shade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shade_of_edges(spark, sf_dir).select("bucket_start", "daylight", "lo", "hi", F.round("fraction", 4).alias("fraction"))
+
+
+@query("edge_cost", f"WITH {SHADE} SELECT bucket_start, lo, hi, round(distance_m * (1 - 0.7e0 * fraction), 2) AS cost FROM shade")
+def edge_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shade.edge_costs(shade_of_edges(spark, sf_dir)).select("bucket_start", "lo", "hi", F.round("cost", 2).alias("cost"))
+
+
+_SPAN = "SELECT l_orderkey AS line, (l_partkey % 90) / 100e0 AS t0, (l_partkey % 90) / 100e0 + l_quantity / 500e0 AS t1 FROM lineitem"
+
+
+@query(
+    "line_fraction",
+    f"""WITH s AS ({_SPAN}), p AS (SELECT *, max(t1) OVER (PARTITION BY line ORDER BY t0, t1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM s)
+SELECT line, round(least(1, sum(greatest(0, t1 - greatest(t0, coalesce(before, 0))))), 6) AS fraction FROM p GROUP BY line""",
+)
+def line_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What overlapping spans cover of each line, each part counted once."""
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    spans = items.selectExpr("l_orderkey AS line", "(l_partkey % 90) / 100e0 AS t0", "(l_partkey % 90) / 100e0 + l_quantity / 500e0 AS t1")
+    return shade.covered(spans, ["line"]).select("line", F.round("fraction", 6).alias("fraction"))
+
+
+@query("tree_geojson")
+def tree_geojson(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One MultiPolygon feature for each instant and cell of some 200 m: a map asks for what it shows, and no row holds all shadows."""
+    found = shadows.tree_shadow_map(trees(spark, sf_dir), suns(spark))
+    x, y = F.floor(F.get("ring", F.lit(0))["x"] / 0.002).alias("cx"), F.floor(F.get("ring", F.lit(0))["y"] / 0.002).alias("cy")
+    ring = F.transform("ring", lambda p: F.array(p["x"], p["y"]))
+    grouped = found.select("bucket_start", x, y, F.struct("source_id", F.array(ring).alias("polygon")).alias("s")).groupBy("bucket_start", "cx", "cy").agg(F.array_sort(F.collect_list("s")).alias("s"))
+    geometry = F.struct(F.lit("MultiPolygon").alias("type"), F.transform("s", lambda s: s["polygon"]).alias("coordinates"))
+    feature = F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(F.size("s").cast("string").alias("shadow_count")).alias("properties"), geometry.alias("geometry")))
+    return grouped.select("bucket_start", "cx", "cy", feature.alias("feature"))

@@ -62,9 +62,9 @@ OBSERVATION_COLUMNS = {
     "observed_fraction": "(k % 100) / 100e0",
     "predicted_fraction": "((k * 3) % 100) / 100e0",
     "observed_distance": "o_totalprice / 100e0",
-    "predicted_distance": "o_totalprice / 96e0 + (k % 11)",
+    "predicted_distance": "o_totalprice / 97e0 + (k % 11)",
     "observed_duration": "o_totalprice / 140e0",
-    "predicted_duration": "o_totalprice / 134e0 + (k % 13)",
+    "predicted_duration": "o_totalprice / 137e0 + (k % 13)",
 }
 
 
