@@ -42,8 +42,8 @@ NODE_COLUMNS = {
     "c": "c",
     "side": "side",
     "n": "n",
-    "lon": "-96.346e0 + 8e-3 * c / side + 1e-5 * ((k * 31) % 17)",
-    "lat": "30.609e0 + 135e-4 * r / side + 1e-5 * ((k * 37) % 13)",
+    "lon": "-96.346e0 + 8e-3 * c / side + 1e-4 * ((k * 7919) % 101) / 101e0",
+    "lat": "30.609e0 + 135e-4 * r / side + 1e-4 * ((k * 104729) % 103) / 103e0",
 }
 OBSERVATION_COLUMNS = {
     "observation_id": "concat('obs-', CAST(CASE WHEN k % 101 = 7 THEN k - 1 ELSE k END AS STRING))",
