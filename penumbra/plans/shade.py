@@ -200,3 +200,39 @@ def tree_geojson(spark: SparkSession, sf_dir: str) -> DataFrame:
     geometry = F.struct(F.lit("MultiPolygon").alias("type"), F.transform("s", lambda s: s["polygon"]).alias("coordinates"))
     feature = F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(F.size("s").cast("string").alias("shadow_count")).alias("properties"), geometry.alias("geometry")))
     return grouped.select("bucket_start", "cx", "cy", feature.alias("feature"))
+
+
+@query(
+    "swept_footprint",
+    f"""WITH {PIECES}, ruled AS (SELECT bucket_start, source_id, piece, unnest(range(CAST(floor(py0 / 0.25) AS BIGINT), CAST(floor(py1 / 0.25) AS BIGINT) + 1)) AS line FROM box WHERE kind = 'building'),
+hit AS (SELECT bucket_start, source_id, piece, line, x1 + (x2 - x1) * ((line + 0.5e0) / 4 - y1) / (y2 - y1) AS x FROM ruled JOIN side USING (bucket_start, source_id, piece) WHERE kind = 'building' AND (y1 < (line + 0.5e0) / 4) <> (y2 < (line + 0.5e0) / 4)),
+paired AS (SELECT *, row_number() OVER w AS rn, lead(x) OVER w AS x2 FROM hit WINDOW w AS (PARTITION BY bucket_start, source_id, line, piece ORDER BY x)),
+part AS (SELECT *, max(x2) OVER (PARTITION BY bucket_start, source_id, line ORDER BY x, x2 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM paired WHERE rn % 2 = 1 AND x2 > x)
+SELECT bucket_start, source_id, round(sum(greatest(0, x2 - greatest(x, coalesce(before, x)))) / 4, 1) AS area_m2 FROM part GROUP BY 1, 2""",
+)
+def swept_footprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ground that each building and its shadow cover, measured along lines 25 cm apart."""
+    found = shadows.swept_area(shadows.building_pieces(ready_buildings(spark, sf_dir), suns(spark)))
+    return found.select("bucket_start", "source_id", F.round("area_m2", 1).alias("area_m2"))
+
+
+def building_drawings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shadows.building_shadow_map(ready_buildings(spark, sf_dir), suns(spark))
+
+
+@query("building_map")
+def building_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per point of each building shadow as drawn on the map."""
+    polygons = building_drawings(spark, sf_dir).select("bucket_start", "source_id", F.posexplode("polygons").alias("polygon", "rings"))
+    rings = polygons.select("bucket_start", "source_id", "polygon", F.posexplode("rings").alias("ring", "points"))
+    return rings.select("bucket_start", "source_id", "polygon", "ring", F.posexplode("points").alias("pos", "p")).select("bucket_start", "source_id", "polygon", "ring", "pos", F.col("p.x").alias("lon"), F.col("p.y").alias("lat"))
+
+
+@query("building_geojson")
+def building_geojson(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One feature for each building and instant, with properties as strings."""
+    drawn = building_drawings(spark, sf_dir)
+    coordinates = F.transform("polygons", lambda rings: F.transform(rings, lambda r: F.transform(r, lambda p: F.array(p["x"], p["y"]))))
+    properties = F.create_map(F.lit("source_id"), F.col("source_id").cast("string"), F.lit("height_m"), F.col("height_m").cast("string"), F.lit("quality_flags"), F.array_join("quality_flags", ","))
+    geometry = F.struct(F.lit("MultiPolygon").alias("type"), coordinates.alias("coordinates"))
+    return drawn.select("bucket_start", "source_id", F.to_json(F.struct(F.lit("Feature").alias("type"), properties.alias("properties"), geometry.alias("geometry"))).alias("feature"))
