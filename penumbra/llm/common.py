@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,6 +50,17 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
+def per_worker(key: str, make: Callable):
+    """make(), kept for as long as the Python worker process lives: tasks that run in it one after another share it.
+
+    What is kept must depend on key alone and have a bounded size. The tasks' functions come with each job, so their own module can't hold it.
+    """
+    kept = sys.modules.setdefault("penumbra_worker_state", types.ModuleType("penumbra_worker_state")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
 class Memo(dict):
     """word -> make(word), forgotten as a whole once it holds `most` words, so its memory is bounded."""
 

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from penumbra.llm.common import Memo
+from penumbra.llm.common import Memo, per_worker
 
 MAGIC, BLOCK = b"S8B1", 256
 #: (ids, bits) by selector: a word's 60 payload bits in equal parts.
@@ -142,26 +143,29 @@ def word_encoder(tokenizer) -> Memo:
     from tokenizers import pre_tokenizers
 
     to_letters = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-    pack = lambda ids: np.array(ids, "<u4").tobytes()
+    tokenize = tokenizer.model.tokenize
 
-    def stem(letters: str) -> bytes:
-        low = letters.lower()
+    def whole(text: str) -> bytes:
+        return array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def stem(low: str) -> bytes:
         if not low.isascii():
-            if max(low) > "\u024f" or "\u0130" in letters or not unicodedata.is_normalized("NFC", letters):
-                return pack(tokenizer.encode(letters, add_special_tokens=False).ids)
-            low = "".join(x for x, _ in to_letters.pre_tokenize_str(low))
-        return pack([x.id for x in tokenizer.model.tokenize(low)])
+            low = "".join([x for x, _ in to_letters.pre_tokenize_str(low)])
+        return array("I", [x.id for x in tokenize(low)]).tobytes()
 
-    marks, stems = Memo(lambda x: pack(tokenizer.encode(x, add_special_tokens=False).ids)), Memo(stem)
+    marks, stems = Memo(whole, 100_000), Memo(stem)
 
     def word(raw: bytes) -> bytes:
         text = raw.decode("utf-8", "surrogatepass")
         letters = text.rstrip(MARKS)
         if not letters.isalpha():
-            return pack(tokenizer.encode(text, add_special_tokens=False).ids)
-        return stems[letters] + (marks[text[len(letters) :]] if len(letters) < len(text) else b"")
+            return whole(text)
+        if not letters.isascii() and (max(letters) > "\u024f" or "\u0130" in letters or not unicodedata.is_normalized("NFC", letters)):
+            return whole(text)
+        ids = stems[letters.lower()]
+        return ids if len(letters) == len(text) else ids + marks[text[len(letters) :]]
 
-    return Memo(word)
+    return Memo(word, 1_000_000)
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = 2, shards: int | None = None, chunk_ids: int = 65_536) -> None:
@@ -182,7 +186,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int =
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tokenizers import Tokenizer
 
-        ids_of = word_encoder(Tokenizer.from_file(tokenizer_file))
+        ids_of = per_worker(f"word ids of {tokenizer_file}", lambda: word_encoder(Tokenizer.from_file(tokenizer_file)))
         shard, chunk, before, held, doc_ids, sizes = 0, 0, 0, 0, [], []
         parts: list[bytes] = []
 
