@@ -76,7 +76,7 @@ def weak_labels(patterns: dict[int, int], rounds: int = 100) -> dict[int, float]
     digits = (keys[:, None] // 3 ** np.arange(len(LABELLERS))) % 3
     junk, clean = (digits == 2).sum(1), (digits == 1).sum(1)
     # to begin with, one vote for junk in a text weighs as much as three for clean
-    post = np.where(junk > 0, junk / (junk + clean / 3), 0.02)
+    post = np.where(junk > 0, junk / np.maximum(junk + clean / 3, 1e-9), 0.02)
     for _ in range(rounds):
         logs = []
         for p in (1 - post, post):

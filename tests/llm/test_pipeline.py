@@ -1,6 +1,7 @@
 """The corpus pipeline, stage by stage, against plain versions of what each stage decides."""
 
 import pytest
+from common_cases import awkward, empty
 from pyspark.sql import functions as F
 from test_near_dedup import brute
 from test_tokens import expected
@@ -68,5 +69,14 @@ def test_tokens_are_those_of_the_documents(stages):
     assert got == expected([(r.doc_id, r.text) for r in stages[4].collect()])
 
 
+def test_stages_bear_awkward_rows(spark):
+    docs, none = awkward(spark), empty(spark)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, SF)
+        assert got.columns == docs.columns and got.exceptAll(docs).count() == 0
+        assert stage(spark, none, SF).count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == 11 and corpus_pipeline.STAGES[-1][1](spark, none, SF).count() == 0
+
+
 def test_run_is_the_stages(spark, stages):
     assert corpus_pipeline.run(spark, SF).agg(F.sum("n_tokens")).first() == stages[5].agg(F.sum("n_tokens")).first()
