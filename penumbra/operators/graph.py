@@ -100,7 +100,7 @@ def relax(rows: list[tuple], edges: dict[int, list[tuple]]) -> list[tuple]:
     return [(node, cell, *best[node]) for node, cell in out.items()]
 
 
-def shortest_paths(spark: SparkSession, requests: DataFrame, arcs: DataFrame, nodes: DataFrame, size: float = 0.002, splits: int = 4) -> DataFrame:
+def shortest_paths(spark: SparkSession, requests: DataFrame, arcs: DataFrame, nodes: DataFrame, size: float = 0.004, splits: int = 4) -> DataFrame:
     """For each request (request, variant, origin, destination): node_id, cost, metres, shaded_m, steps, before of all nodes in reach.
 
     arcs: variant, src, dst, cost, metres, shaded_m, both directions; nodes: node_id, lon, lat. Costs must not be negative. before is the node on the way before.
