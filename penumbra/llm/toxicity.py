@@ -25,9 +25,9 @@ from penumbra.llm.common import per_worker
 TOXIC, OTHERS = 2000, 3000
 LANDMARKS, HARMLESS = 96, 32
 #: Gaps between the letters of a triple (1: none), the discount for each letter passed over, buckets for triples, the power of the kernel.
-GAPS, DISCOUNT, BUCKETS, POWER = ((1, 1), (1, 2), (2, 1), (2, 2)), 0.6, 1 << 13, 3
+GAPS, DISCOUNT, BUCKETS, POWER = ((1, 1), (1, 2), (2, 1), (2, 2), (1, 3), (3, 1)), 0.6, 1 << 13, 3
 #: Likenesses below this count as none, which spares most words the whole kernel.
-FLOOR = 0.45
+FLOOR = 0.3
 SENTENCE = re.compile(r"[.!?\n]+")
 SPELLED = re.compile(r"(?:^|\s)\S(?:\s+\S){3}(?=\s|$)")
 EDGE = "\x02\x03"  # stand for a word's begin and end

@@ -302,6 +302,18 @@ def test_kernel_equals_plain_version():
     assert got[1, 0] > 0 and got[6].max() == 0
 
 
+# likeness by the kernel's formula with gaps up to three, fixed so that a smaller kernel or a higher floor shows
+INSERTED = [("idiot", "ixdixot", 0.4484), ("moron", "moxxron", 0.4711), ("clown", "clxxown", 0.4053), ("idiot", "idxxiot", 0.4382), ("idiot", "ixdxixot", 0.3026), ("moron", "moxxrxon", 0.3487), ("clown", "clxxxown", 0.3154), ("idiot", "idxxxiot", 0.346)]
+
+
+@pytest.mark.parametrize("insult, word, likeness", INSERTED)
+def test_two_and_three_letters_put_in(insult, word, likeness):
+    assert plain_kernel(word, insult) == pytest.approx(likeness, abs=1e-3)
+    table = toxicity.landmark_table([insult])
+    at, near = toxicity.kernel([word], table, table.max(axis=1))
+    assert at.tolist() == [0] and near[0, 0] == pytest.approx(likeness**3, abs=0.005)
+
+
 def test_units_see_through_marks_and_spaces():
     assert toxicity.units("you i d i o t now") == ["you", "idiot", "now"] and toxicity.units("a b c") == ["a", "b", "c"]
     assert toxicity.unit("Id-i.ot!") == "idiot" and toxicity.units("") == []
