@@ -1,26 +1,23 @@
-"""Benchmark decontamination: rare n-grams of the test items seed candidate passages, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: n-grams of the test items seed candidate passages, Smith-Waterman alignment scores them.
 
-1. Hashes of the items' n-grams are put into a bit table of fixed size; one pass counts in how many documents each of them occurs.
-2. In every stretch of STRETCH n-grams of an item, the one that occurs in the fewest documents is a seed: each part of an item has one, however often the
-   item was copied, and phrases of common words are passed over.
-3. A second pass looks for seeds (again by bit table, then an exact join on the hash) and takes the passage around each as a candidate.
-4. Candidates are aligned with their items word by word; the score is that of the best local alignment as a share of a perfect copy's.
+1. Hashes of all of the items' n-grams are put into a bit table of fixed size. None is passed over for being common or rare: whichever run of N words
+   an edited copy has left leads to it.
+2. One pass looks for them (by bit table, then an exact join on the hash) and takes the passage around each as a candidate.
+3. Candidates are aligned with their items word by word; the score is that of the best local alignment as a share of a perfect copy's.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from penumbra.llm.common import Memo, row_key, stored
 
-N, STRETCH = 3, 4
+N = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: 2**25 bits are 4 MB, whatever the number of items; more items than it can tell apart cost time, not results.
 TABLE_BITS = 25
@@ -94,6 +91,7 @@ def align(item: np.ndarray, passages: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, min_words: int = 5) -> DataFrame:
     """Returns (doc_id, item_id, score, last_word): documents that hold a copy of an item, edited or not, with score >= least.
 
+    A copy is looked for wherever N words of an item in a row stand unchanged; one that has no such run is not found, whatever its score.
     docs: doc_id, text; benchmark: item_id, text; other columns are ignored. score is 1 for a word-for-word copy (rounded to 4 places); last_word
     counts the document's words up to the end of the copy. Items of fewer than min_words words are left out, since chance
     repeats them. Null or empty texts match nothing, a null doc_id is returned as such, repeated rows give one result, as do repeated items; a
@@ -117,31 +115,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, min_
     spark = docs.sparkSession
     table = spark.sparkContext.broadcast(bit_table(grams))
 
-    def count_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, hash_of, seen = np.frombuffer(table.value, np.uint8), hasher(), Counter()
-
-        def told() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["hash", "n"])
-            seen.clear()
-            return out
-
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                h = gram_hashes(plain_words(text), hash_of)
-                seen.update(np.unique(h[in_table(h, bits)]).tolist())
-                if len(seen) > 500_000:
-                    yield told()
-        if seen:
-            yield told()
-
-    counts = source.select("text").mapInArrow(count_run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
-    rank = F.row_number().over(W.partitionBy("item_id", "item", F.floor(F.col("at") / STRETCH)).orderBy("n", "at"))
-    seeds = stored(grams.join(counts, "hash", "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("rank", rank).filter("rank = 1").select("item_id", "at", "hash", "item", "size"), "seeds")
-    rare = spark.sparkContext.broadcast(bit_table(seeds))
     slack = max(8, longest // 4)
 
     def seek_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, hash_of = np.frombuffer(rare.value, np.uint8), hasher()
+        bits, hash_of = np.frombuffer(table.value, np.uint8), hasher()
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string())
         for batch in batches:
             out = []
@@ -156,8 +133,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, min_
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "row", "hash", "pos", "first", "passage"])
 
     found = source.withColumn("row", row_key(F.col("doc_id"), F.col("text"))).mapInArrow(seek_run, "doc_id long, row long, hash long, pos int, first int, passage string")
-    # one candidate for seeds on nearly the same diagonal
-    candidates = found.join(seeds, "hash").withColumn("diagonal", F.floor((F.col("pos") - F.col("at")) / slack)).dropDuplicates(["doc_id", "row", "item_id", "item", "diagonal"])
+    # one candidate for n-grams on nearly the same diagonal
+    candidates = found.join(grams, "hash").withColumn("diagonal", F.floor((F.col("pos") - F.col("at")) / slack)).dropDuplicates(["doc_id", "row", "item_id", "item", "diagonal"])
 
     def align_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64())

@@ -250,6 +250,23 @@ def test_copies_are_found_and_others_left(spark):
     assert got == expected
 
 
+def test_copies_with_words_changed_at_steps(spark):
+    """Every fourth to sixth word changed, with and without word-for-word copies elsewhere, against a full search."""
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 7))) for _ in range(400)]
+    make = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [make(n) for n in (15, 30, 60) for _ in range(2)]
+    docs = [make(20) + item + make(20) for item in items[::2] for _ in range(2)]
+    for item in items:
+        for step in (4, 5, 6):
+            for begin in range(step):
+                docs.append(make(20) + [f"new{i}" if i % step == begin else w for i, w in enumerate(item)] + make(20))
+    expected = {(i, n): s for i, d in enumerate(docs) for n, item in enumerate(items) if (s := plain_align(item, d) / (2 * len(item))) >= 0.5}
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in decontam.contaminated(spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string"), bench).collect()}
+    assert len(expected) == len(docs) and got == {k: pytest.approx(s, abs=1e-4) for k, s in expected.items()}
+
+
 def test_decontamination_equals_full_search(spark, sf):
     """All documents against all items by containment of the item's words as a whole."""
     docs, bench = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
