@@ -55,8 +55,10 @@ def asked(transport: Callable[[str], bytes], url: str) -> dict:
 
 
 class Page(InputPartition):
-    def __init__(self, offset: int):
-        self.offset = offset
+    """Offsets from offset up to end; None: to the layer's end."""
+
+    def __init__(self, offset: int, end: int | None):
+        self.offset, self.end = offset, end
 
 
 class ArcGISReader(DataSourceReader):
@@ -79,18 +81,32 @@ class ArcGISReader(DataSourceReader):
             total = asked(transport_of(self.options), self.url(returnCountOnly="true")).get("count")
             if total is None:
                 raise ArcGISError("the service gave no count")
-        return [Page(at) for at in range(0, max(1, int(total)), self.page_size)]
+        starts = [*range(0, max(1, int(total)), self.page_size)]
+        # a count may be too low by now, so the last one reads to the end
+        return [Page(at, end) for at, end in zip(starts, [*starts[1:], None], strict=True)]
 
     def read(self, partition: Page) -> Iterator[tuple]:
-        answer = asked(transport_of(self.options), self.url(resultOffset=partition.offset, resultRecordCount=self.page_size))
-        features = answer.get("features")
-        if not isinstance(features, list):
-            raise ArcGISError("the service's answer has no features")
-        if not features and answer.get("exceededTransferLimit"):
-            raise ArcGISError(f"paging stalled at {partition.offset}")
-        for n, feature in enumerate(features):
-            number = (feature.get("attributes") or {}).get("OBJECTID")
-            yield json.dumps(feature), None if number is None else int(number), partition.offset, n
+        transport, at = transport_of(self.options), partition.offset
+        seen: set[int] = set()
+        while partition.end is None or at < partition.end:
+            size = self.page_size if partition.end is None else partition.end - at
+            answer = asked(transport, self.url(resultOffset=at, resultRecordCount=size))
+            features = answer.get("features")
+            if not isinstance(features, list):
+                raise ArcGISError("the service's answer has no features")
+            more = answer.get("exceededTransferLimit")
+            numbers = {(feature.get("attributes") or {}).get("OBJECTID") for feature in features}
+            # a service that ignores the offset gives the same features for ever
+            if more and numbers <= seen:
+                raise ArcGISError(f"paging stalled at {at}")
+            seen |= numbers - {None}
+            for n, feature in enumerate(features, at - partition.offset):
+                number = (feature.get("attributes") or {}).get("OBJECTID")
+                yield json.dumps(feature), None if number is None else int(number), partition.offset, n
+            # services may answer with fewer features than asked for
+            at += len(features)
+            if not more:
+                break
 
 
 class ArcGISSource(DataSource):

@@ -76,6 +76,31 @@ def test_paged_layer(spark, monkeypatch):
     assert sorted((r.object_id is None, r.object_id or 0) for r in kept.collect()) == [(False, 1), (False, 2), (True, 0)]
 
 
+@pytest.mark.parametrize("total", [None, "3"])
+def test_service_with_a_cap_below_the_page(monkeypatch, total):
+    """A service that gives three features at most; the caller's total may be too low."""
+
+    def capped(url):
+        from urllib.parse import parse_qs, urlparse
+
+        q = parse_qs(urlparse(url).query)
+        if "returnCountOnly" in q:
+            return b'{"count": 23}'
+        at, asked = int(q["resultOffset"][0]), int(q["resultRecordCount"][0])
+        got = [{"attributes": {"OBJECTID": i}} for i in range(at, min(23, at + min(3, asked)))]
+        return json.dumps({"features": got, "exceededTransferLimit": at + len(got) < 23}).encode()
+
+    monkeypatch.setattr(arcgis, "transport_of", lambda options: capped)
+    options = {"url": "http://example/x", "layer": "4", "page_size": "8"} | ({"total": total} if total else {})
+    reader = arcgis.ArcGISReader(options)
+    rows = [r for p in reader.partitions() for r in reader.read(p)]
+    assert [r[1] for r in rows] == list(range(23)) and len({r[2:] for r in rows}) == 23
+    for stalled in (b'{"features": [], "exceededTransferLimit": true}', b'{"features": [{"attributes": {"OBJECTID": 1}}], "exceededTransferLimit": true}'):
+        monkeypatch.setattr(arcgis, "transport_of", lambda options, stalled=stalled: lambda url: stalled)
+        with pytest.raises(arcgis.ArcGISError, match="stalled"):
+            list(reader.read(arcgis.Page(0, None)))
+
+
 @pytest.mark.parametrize("answer, message", [(b"nonsense", "unreadable"), (b"[]", "no object"), (b'{"error": {"message": "Layer unavailable"}}', "Layer unavailable")])
 def test_bad_answers(answer, message):
     with pytest.raises(arcgis.ArcGISError, match=message):
