@@ -12,33 +12,48 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-#: A period has one slot per unit of weight; more than this isn't a mixture that a person has written down.
-MOST_SLOTS = 20_000
 STEPS, POWER = 20, 0.7
 
 
 def schedule(lanes: DataFrame) -> DataFrame:
-    """(lane, weight, total, slot, k) for one period, from one row per lane (lane, weight: positive integer)."""
-    row = lanes.agg(F.array_sort(F.collect_list(F.struct("lane", F.col("weight").cast("long").alias("weight")))).alias("lanes"), F.sum(F.col("weight").cast("long")).alias("total"))
-    row = row.filter(F.size("lanes") > 0).withColumn("total", F.when(F.col("total") <= MOST_SLOTS, F.col("total")).otherwise(F.raise_error(F.lit(f"the weights sum to more than {MOST_SLOTS}"))))
+    """(lane, weight, total, slot, k) for one period, from one row per lane (lane, weight: positive integer).
+
+    Lanes of one weight have the same windows, so they take turns by name: a slot chooses among weights, not lanes. The time is that of slots times different weights.
+    """
+    numbered = lanes.select("lane", F.col("weight").cast("long").alias("weight")).withColumn("i", F.row_number().over(W.partitionBy(F.lit(1)).orderBy("lane")).cast("long"))
+    of_weight = numbered.groupBy("weight").agg(F.array_sort(F.collect_list("i")).alias("members")).withColumn("m", F.size("members").cast("long"))
+    row = of_weight.agg(F.array_sort(F.collect_list(F.struct("weight", "m", "members"))).alias("classes"), F.sum(F.col("weight") * F.col("m")).alias("total"))
+    # slots are gathered in about as many pieces as a piece has slots, since adding to an array copies it
+    row = row.filter(F.size("classes") > 0).withColumn("piece", F.ceil(F.sqrt("total")))
 
     def pick(state: Column, slot: Column) -> Column:
-        def window(lane: Column, i: Column) -> Column:
-            k = F.get(state["done"], i)
-            release = F.floor(k * F.col("total") / lane["weight"])
-            deadline = F.ceil((k + 1) * F.col("total") / lane["weight"])
-            return F.when(release <= slot, F.struct(deadline.alias("deadline"), i.alias("i")))
+        def window(c: Column, at: Column) -> Column:
+            done = F.get(state["done"], at)
+            k = F.floor(done / c["m"])
+            release = F.floor(k * F.col("total") / c["weight"])
+            deadline = F.ceil((k + 1) * F.col("total") / c["weight"])
+            return F.when(release <= slot, F.struct(deadline.alias("deadline"), F.get(c["members"], (done % c["m"]).cast("int")).alias("i"), k.alias("k"), at.alias("at")))
+
+        def run(best: Column) -> Column:
+            return F.struct(
+                F.transform(state["done"], lambda n, at: F.when(at == best["at"], n + 1).otherwise(n)).alias("done"),
+                F.concat(state["slots"], F.array(F.struct(best["i"].alias("i"), best["k"].alias("k")))).alias("slots"),
+            )
+
+        # by way of an array of one, so that the best is found once
+        return F.get(F.transform(F.array(F.array_min(F.array_compact(F.transform("classes", window)))), run), 0)
 
-        best = F.array_min(F.array_compact(F.transform("lanes", window)))["i"]
-        return F.struct(
-            F.transform(state["done"], lambda k, i: F.when(i == best, k + 1).otherwise(k)).alias("done"),
-            F.concat(state["slots"], F.array(F.struct(best.cast("long").alias("i"), F.get(state["done"], best).alias("k")))).alias("slots"),
-        )
+    none = F.array().cast("array<struct<i:bigint,k:bigint>>")
 
-    start = F.struct(F.transform("lanes", lambda _: F.lit(0).cast("long")).alias("done"), F.array().cast("array<struct<i:bigint,k:bigint>>").alias("slots"))
-    slots = F.aggregate(F.sequence(F.lit(0).cast("long"), F.col("total") - 1), start, pick)["slots"]
-    lane = F.get("lanes", F.col("s.i").cast("int"))
-    return row.select("lanes", "total", F.posexplode(slots).alias("slot", "s")).select(lane["lane"].alias("lane"), lane["weight"].alias("weight"), "total", F.col("slot").cast("long").alias("slot"), F.col("s.k").alias("k"))
+    def piece(state: Column, first: Column) -> Column:
+        slots = F.sequence(first, F.least(first + F.col("piece"), F.col("total")) - 1)
+        ran = F.aggregate(slots, F.struct(state["done"].alias("done"), none.alias("slots")), pick)
+        return F.get(F.transform(F.array(ran), lambda r: F.struct(r["done"].alias("done"), F.concat(state["pieces"], F.array(r["slots"])).alias("pieces"))), 0)
+
+    start = F.struct(F.transform("classes", lambda _: F.lit(0).cast("long")).alias("done"), F.array().cast("array<array<struct<i:bigint,k:bigint>>>").alias("pieces"))
+    slots = F.flatten(F.aggregate(F.sequence(F.lit(0).cast("long"), F.col("total") - 1, F.col("piece")), start, piece)["pieces"])
+    ran = row.select("total", F.posexplode(slots).alias("slot", "s")).select("total", F.col("slot").cast("long").alias("slot"), F.col("s.i").alias("i"), F.col("s.k").alias("k"))
+    return ran.join(numbered, "i").select("lane", "weight", "total", "slot", "k")
 
 
 def order_key(doc_id: Column, seed: int) -> Column:
@@ -65,9 +80,9 @@ def mix_sources(docs: DataFrame, weights: dict[str, int] | None = None, default_
     own = [c for c in docs.columns if c not in added]
     keyed = docs.select(*own, F.coalesce("source", F.lit("")).alias("lane"), order_key(F.col("doc_id"), seed).alias("__key")).withColumn("__cell", F.substr("__key", F.lit(1), F.lit(3)))
     ids = docs.select(F.coalesce("source", F.lit("")).alias("lane"), F.substr(order_key(F.col("doc_id"), seed), F.lit(1), F.lit(3)).alias("__cell"))
-    # at most 4096 cells a lane, and as many lanes as weights allow in a period
+    # at most 4096 cells a lane
     cells = ids.groupBy("lane", "__cell").agg(F.count(F.lit(1)).alias("n"))
-    before = cells.select("lane", "__cell", (F.sum("n").over(W.partitionBy("lane").orderBy("__cell").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")).alias("__before"))
+    before = cells.select("lane", "__cell", "n", (F.sum("n").over(W.partitionBy("lane").orderBy("__cell").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")).alias("__before"))
     lanes = cells.groupBy("lane").agg(F.sum("n").alias("n"))
     if weights is None:
         largest = F.max("n").over(W.partitionBy(F.lit(1)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
@@ -77,16 +92,20 @@ def mix_sources(docs: DataFrame, weights: dict[str, int] | None = None, default_
         for lane, w in weights.items():
             weight = F.when(F.col("lane") == lane, F.lit(w)).otherwise(weight)
     lanes = lanes.withColumn("weight", weight.cast("long"))
-    blocks = F.ceil(F.col("n") / block_docs)
-    # the first block that a lane doesn't have would run in the slot `missing`; the period has MOST_SLOTS rows at most
-    missing = F.floor(blocks / F.col("weight")) * F.col("total") + F.col("slot")
-    whole = W.partitionBy("total").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    period = schedule(lanes).join(lanes.select("lane", "n"), "lane").withColumn("end", F.min(F.when(F.col("k") == blocks % F.col("weight"), missing)).over(whole))
-    # a row per slot of a period: at most MOST_SLOTS, which bounds what is broadcast
-    period = F.broadcast(period.select("lane", F.col("k").alias("__k"), F.col("slot").alias("__slot"), F.col("weight").alias("__weight"), F.col("total").alias("__total"), F.col("end").alias("__end")))
+    # a row per lane, with the slot of each of its blocks in a period
+    turns = schedule(lanes).groupBy("lane", "weight", "total").agg(F.array_sort(F.collect_list(F.struct("k", "slot")))["slot"].alias("slots"))
+    turns = turns.join(lanes.select("lane", "n"), "lane")
+
+    def slot_of(block: Column) -> Column:
+        return F.floor(block / F.col("weight")) * F.col("total") + F.get("slots", (block % F.col("weight")).cast("int"))
+
+    # the first block that a lane doesn't have ends the mixture
+    end = turns.agg(F.min(slot_of(F.ceil(F.col("n") / block_docs))).alias("__end"))
+    # the slots of the blocks that a cell has documents of: about one for block_docs documents and at most two more
+    first = F.floor(F.col("__before") / block_docs)
+    last = F.floor((F.col("__before") + F.col("n") - 1) / block_docs)
+    places = before.join(turns.drop("n"), "lane").select("lane", "__cell", "__before", first.alias("__first"), F.transform(F.sequence(first, last), slot_of).alias("__slots"))
     place = F.row_number().over(W.partitionBy("lane", "__cell").orderBy("__key", "doc_id"))
-    ranked = keyed.join(before, ["lane", "__cell"]).withColumn("__rank", F.col("__before") + place - 1).withColumn("block", F.floor(F.col("__rank") / block_docs))
-    by_lane = F.broadcast(lanes.select("lane", F.col("weight").alias("__of")))
-    placed = ranked.join(by_lane, "lane").withColumn("__k", F.col("block") % F.col("__of")).join(period, ["lane", "__k"])
-    slot = F.floor(F.col("block") / F.col("__weight")) * F.col("__total") + F.col("__slot")
-    return placed.withColumn("slot", slot).select(*own, "lane", "block", "slot", (F.col("slot") * block_docs + F.col("__rank") % block_docs).alias("position"), (F.col("slot") < F.col("__end")).alias("in_mix"))
+    ranked = keyed.withColumn("__place", place).join(places, ["lane", "__cell"]).withColumn("__rank", F.col("__before") + F.col("__place") - 1)
+    placed = ranked.withColumn("block", F.floor(F.col("__rank") / block_docs)).withColumn("slot", F.get("__slots", (F.col("block") - F.col("__first")).cast("int"))).crossJoin(F.broadcast(end))
+    return placed.select(*own, "lane", "block", "slot", (F.col("slot") * block_docs + F.col("__rank") % block_docs).alias("position"), (F.col("slot") < F.col("__end")).alias("in_mix"))

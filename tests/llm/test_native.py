@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import heapq
 import random
 
 import pytest
@@ -44,6 +45,24 @@ def test_schedule_stays_within_a_block(spark, weights):
     assert had == weights
 
 
+def test_schedule_of_very_many_sources(spark):
+    """Weights that sum to some 40,000 slots, against earliest deadline first, source by source."""
+    weights = {f"s{i:04}": 20 if i % 50 else 1 + i // 50 % 3 for i in range(2050)}
+    names, total = sorted(weights), sum(weights.values())
+    lanes = spark.createDataFrame(list(weights.items()), "lane string, weight long")
+    got = sorted((r.slot, r.lane, r.k) for r in mixing.schedule(lanes).collect())
+    waiting, ready, expected = [(0, i, 0) for i in range(len(names))], [], []
+    heapq.heapify(waiting)
+    for slot in range(total):
+        while waiting and waiting[0][0] <= slot:
+            _, i, k = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(k + 1) * total // weights[names[i]]), i, k))
+        _, i, k = heapq.heappop(ready)
+        expected.append((slot, names[i], k))
+        heapq.heappush(waiting, ((k + 1) * total // weights[names[i]], i, k + 1))
+    assert got == expected
+
+
 def test_mixture_keeps_weights_until_a_source_ends(spark):
     docs = spark.createDataFrame([(i, "a" if i < 300 else "b" if i < 360 else "c") for i in range(400)], "doc_id long, source string")
     got = mixing.mix_sources(docs, {"a": 2}, default_weight=1, block_docs=4).orderBy("position").collect()
