@@ -7,7 +7,7 @@ from test_near_dedup import brute
 from test_tokens import expected
 
 import corpus_pipeline
-from penumbra.llm import decontam
+from penumbra.llm import decontam, mixing
 from penumbra.llm.common import shared_folder
 
 SF = "/root/testdata/sf0.01"
@@ -64,6 +64,15 @@ def test_mixture_has_its_weights(stages):
     assert all(abs(after.get(s, 0) - total * w / share) <= 17 for s, w in weights.items())
 
 
+def test_mixing_keeps_every_document(spark):
+    """With a source of one document, a hot one, a null one and others: all stay, in the mixture's order."""
+    source = lambda i: "one" if i == 0 else None if i == 1 else "hot" if i < 700 else f"s{i % 10}"
+    docs = spark.createDataFrame([(i, source(i), f"text {i}") for i in range(1500)], "doc_id long, source string, text string")
+    got = [tuple(r) for r in corpus_pipeline.mix_to_weights(spark, docs, SF).collect()]
+    assert sorted(got, key=lambda r: r[0]) == [tuple(r) for r in docs.collect()]
+    assert [r[0] for r in got] == [r.doc_id for r in mixing.mix_sources(docs).orderBy("position").collect()]
+
+
 def test_tokens_are_those_of_the_documents(stages):
     got = [tuple(r) for r in stages[5].orderBy("start").collect()]
     assert got == expected([(r.doc_id, r.text) for r in stages[4].collect()])
