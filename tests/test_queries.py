@@ -33,11 +33,3 @@ def test_path_nodes_are_ways(spark, sf):
         nodes = [n for _, n in sorted(way)]
         assert [s for s, _ in sorted(way)] == list(range(len(way)))
         assert all((min(p), max(p)) in joined for p in zip(nodes, nodes[1:], strict=False))
-
-
-def test_entry(spark):
-    import __spark_entry__ as entry
-
-    df = entry.entry(spark)
-    assert df.count() > 0 and "altitude" in df.columns
-    assert set(entry.oracle_sql()) <= set(entry.queries())
