@@ -19,10 +19,12 @@ SPACE = " \t\n\x0b\x0c\r"
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share (spark.checkpoint.dir).
 
-    Only where that setting is absent, as in tests, a folder of this machine takes its place.
+    Only in local mode, where one machine runs everything, does a folder of this machine take its place if that setting is absent.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -35,6 +37,27 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Into so many parts the rows of a key are dealt where one key may hold much of a table.
+SALTS = 64
+
+
+def salt_of(*columns: str) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(SALTS)).cast("int")
+
+
+def with_least(rows: DataFrame, key: str, value: str, least: str, salt: Column) -> DataFrame:
+    """rows with the least value of their key, and n, the number of the key's rows. rows need columns key and value, which aren't null.
+
+    Least values are found by (key, salt) first and come back the same way, so a key with most of the rows never meets in one task. salt must
+    give a row the same part each time it is computed.
+    """
+    dealt = rows.withColumn("__salt", salt)
+    parts = dealt.groupBy(key, "__salt").agg(F.min(value).alias(least), F.count(F.lit(1)).alias("n"))
+    whole = parts.groupBy(F.col(key).alias("__key")).agg(F.min(least).alias(least), F.sum("n").alias("n"))
+    back = parts.select(F.col(key).alias("__key"), F.col("__salt").alias("__of")).join(whole, "__key")
+    return dealt.join(back, (F.col(key) == F.col("__key")) & (F.col("__salt") == F.col("__of"))).drop("__salt", "__key", "__of")
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z only; lower() does that already where every character is one byte."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, ASCII_UPPER, ASCII_UPPER.lower()))
@@ -62,14 +85,17 @@ def per_worker(key: str, make: Callable):
 
 
 class Memo(dict):
-    """word -> make(word), forgotten as a whole once it holds `most` words, so its memory is bounded."""
+    """word -> make(word), forgotten as a whole once it holds `most` words; words of more than `longest` bytes or characters aren't kept. So its memory is bounded."""
 
-    def __init__(self, make, most: int = 600_000):
+    def __init__(self, make, most: int = 600_000, longest: int = 64):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.longest = make, most, longest
 
     def __missing__(self, word):
+        value = self.make(word)
+        if len(word) > self.longest:
+            return value
         if len(self) >= self.most:
             self.clear()
-        value = self[word] = self.make(word)
+        self[word] = value
         return value

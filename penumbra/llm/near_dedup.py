@@ -1,16 +1,15 @@
 """Near-duplicate documents: MinHash bands, sequential Bayesian verification, connected components.
 
 1. Each text's set of word shingles, its size, a 128-bit hash of the set and MINHASHES minima are computed in one pass; equal sets are then one class.
-2. Classes that share a band key are linked to the least of them; components of these candidate links are the groups in which links can lie.
-3. Each group is dealt to tasks in blocks of BLOCK classes: a small group is one block, a large one all pairs of its blocks. In a task,
-   candidates (a band key in common) go through the minima in batches; a pair is dropped once the posterior probability that its
-   similarity reaches the threshold is below MISS. What survives is decided on the full sets, until the two are connected.
-4. Components of the links found give the classes' ids.
+2. Classes that share a band key are compared with the least of them: their minima go batch by batch, and a pair is dropped once the posterior probability that its
+   similarity reaches the threshold is below MISS. Texts are fetched for the surviving pairs alone, which are decided on the full sets.
+3. Where classes of different components of these links still share a band key, all such pairs are compared, in blocks of minima, and survivors decided as before. So no
+   candidate is passed over, and a large group of copies, which step 2 has made one component, costs no pairs.
+4. Components of all links found give the classes' ids.
 """
 
 from __future__ import annotations
 
-import functools
 import math
 from collections.abc import Iterator
 
@@ -19,16 +18,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from penumbra.llm.common import Memo, stored, words
+from penumbra.llm.common import SALTS, Memo, salt_of, stored, with_least, words
 
-#: Minima, in bands of ROWS each. At similarity 0.85 a pair shares no band with probability (1 - 0.85**5)**20 = 8e-6, at 0.8 with 4e-4.
-BANDS, ROWS = 20, 5
-MINHASHES = BANDS * ROWS
-#: For lower thresholds shorter bands: at similarity 0.8, (1 - 0.8**4)**25 = 2e-6.
-LOW_BANDS, LOW_ROWS = 25, 4
+#: Minima of a set, and the most that a pair at the threshold may be missed by sharing no band.
+MINHASHES, UNSEEN = 100, 1e-5
 #: Minima compared at a time, and the posterior probability below which a pair is given up.
 BATCH, MISS = 20, 1e-6
+#: Classes compared with one another in a task.
 BLOCK = 1024
+#: Rows of one class from which their join with its result is dealt out.
+HOT = 10_000
 P1, P2 = np.uint64(0x9E3779B185EBCA87), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -81,7 +80,15 @@ def band_keys(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return keys.view(np.int64)
 
 
-@functools.cache
+def banding(threshold: float) -> tuple[int, int]:
+    """(bands, rows): the longest bands with which a pair at the threshold shares none with a probability of UNSEEN at most."""
+    for rows in range(20, 0, -1):
+        bands = MINHASHES // rows
+        if (1 - threshold**rows) ** bands <= UNSEEN:
+            return bands, rows
+    raise ValueError(f"{MINHASHES} minima can't find pairs of similarity {threshold}")
+
+
 def least_matches(threshold: float, miss: float = MISS) -> tuple[int, ...]:
     """By number of minima compared: the least number of matches at which P(similarity >= threshold) is miss or more.
 
@@ -99,8 +106,26 @@ def least_matches(threshold: float, miss: float = MISS) -> tuple[int, ...]:
     return tuple(out)
 
 
+def survivors(x: np.ndarray, y: np.ndarray, least: tuple[int, ...]) -> np.ndarray:
+    """The rows in which the signatures x and y [pair, minimum] may belong to a pair at the threshold, compared batch by batch."""
+    at, matches = np.arange(len(x)), np.zeros(len(x), np.int64)
+    for b in range(0, MINHASHES, BATCH):
+        matches = matches + (x[at, b : b + BATCH] == y[at, b : b + BATCH]).sum(axis=1)
+        keep = matches >= least[b + BATCH]
+        at, matches = at[keep], matches[keep]
+    return at
+
+
+def shingle_sets(texts: list[str | None], k: int, hash_of: Memo) -> list[np.ndarray]:
+    out = []
+    for text in texts:
+        w = words(text)
+        out.append(shingles(np.fromiter(map(hash_of.__getitem__, w), np.uint64, len(w)), k))
+    return out
+
+
 def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, n_shingles, set_hash binary, signature binary, keys array<long>, shingles binary) per row of docs; nulls for empty sets."""
+    """(doc_id, version, salt, n_shingles, set_hash binary, signature binary, keys array<long>) per row of docs (doc_id, version, salt, text); the last three are null for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
@@ -111,10 +136,7 @@ def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
-                sets = []
-                for text in batch.column("text").to_pylist():
-                    w = words(text)
-                    sets.append(shingles(np.fromiter(map(hash_of.__getitem__, w), np.uint64, len(w)), k))
+                sets = shingle_sets(batch.column("text").to_pylist(), k, hash_of)
                 full = [i for i, s in enumerate(sets) if len(s)]
                 sig = minima([sets[i] for i in full]) if full else np.zeros((0, MINHASHES), np.uint32)
                 keys = band_keys(sig, bands, rows)
@@ -122,16 +144,16 @@ def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
                 pick = lambda f: [f(i) if i in place else None for i in range(len(sets))]  # noqa: E731, B023
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("doc_id"),
+                        *(batch.column(c) for c in ("doc_id", "version", "salt")),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array(pick(lambda i: hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest()), pa.binary()),  # noqa: B023
                         pa.array(pick(lambda i: sig[place[i]].tobytes()), pa.binary()),  # noqa: B023
                         pa.array(pick(lambda i: keys[place[i]]), pa.list_(pa.int64())),  # noqa: B023
                     ],
-                    names=["doc_id", "n_shingles", "set_hash", "signature", "keys"],
+                    names=["doc_id", "version", "salt", "n_shingles", "set_hash", "signature", "keys"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_hash binary, signature binary, keys array<long>")
+    return docs.select("doc_id", "version", "salt", "text").mapInArrow(run, "doc_id long, version long, salt int, n_shingles long, set_hash binary, signature binary, keys array<long>")
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -139,19 +161,17 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
     Alternates the two steps by which neighbours are hung on the least one of them, above and then below a node, until
     nothing changes: a number of rounds that grows with the logarithm of the number of nodes. Each round is written to the shared folder. Only sums are
-    collected.
+    collected. The neighbours of a hub are dealt out by with_least.
     """
     now = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct(), name)
     mark = None
     while True:
         # every neighbour above a node is hung on the least of the node and its neighbours
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("of"), F.least("a", "m").alias("m"))
-        large = both.filter("b > a").join(least, F.col("a") == F.col("of")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = with_least(both, "a", "b", "m", salt_of("b")).filter("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
         # every neighbour below a node, and the node, is hung on the least of them
-        low = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("of"), "m")
-        small = large.join(low, F.col("a") == F.col("of"))
-        now = stored(small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select(F.col("of").alias("a"), F.col("m").alias("b"))).filter("a != b").distinct(), name)
+        small = with_least(large, "a", "b", "m", salt_of("b"))
+        now = stored(small.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*").filter("a != b").distinct(), name)
         row = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
         if (row["n"], row["s"]) == mark:
             break
@@ -159,112 +179,172 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).union(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
 
 
-def link_block(left: dict, right: dict | None, k: int, percent: int, bands: int, rows: int) -> list[tuple[int, int]]:
-    """Links that connect what is linked among classes of one block, or between two: {"id", "text", "signature"} of lists each."""
-    import xxhash
-
-    hash_of = Memo(xxhash.xxh3_64_intdigest)
-
-    def load(block: dict):
-        sets = []
-        for text in block["text"]:
-            w = words(text)
-            sets.append(shingles(np.fromiter(map(hash_of.__getitem__, w), np.uint64, len(w)), k))
-        sig = np.frombuffer(b"".join(block["signature"]), np.uint32).reshape(len(sets), MINHASHES)
-        return sets, sig, band_keys(sig, bands, rows)
-
-    sets, sig, keys = load(left)
-    ids, n = list(left["id"]), len(sets)
-    if right is not None:
-        more, more_sig, more_keys = load(right)
-        sets, ids = sets + more, ids + list(right["id"])
-        sig, keys = np.concatenate([sig, more_sig]), np.concatenate([keys, more_keys])
-    sizes = np.array([len(s) for s in sets])
-    flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
-    at = np.concatenate([[0], np.cumsum(sizes)])
-    mark = np.zeros(int(flat.max()) + 1, bool)
-    part, found = np.arange(len(sets)), []
-    least = least_matches(percent / 100)
-    for x in range(n):
-        others = np.arange(x + 1, n) if right is None else np.arange(n, len(sets))
+def _dealt(pairs: DataFrame) -> DataFrame:
+    """(a, block, id, second) from pairs (a, b): rows for b by blocks of BLOCK, and one for a, which comes first, in each of its blocks."""
+    counted = with_least(pairs.select("a", "b"), "a", "b", "least", salt_of("b"))
+    blocks = F.ceil(F.col("n") / BLOCK)
+    placed = counted.select("a", "b", F.pmod(F.xxhash64("b"), blocks).cast("int").alias("block"))
+    return placed.select("a", "block", F.col("b").alias("id"), F.lit(1).alias("second")).union(placed.select("a", "block", F.col("a").alias("id"), F.lit(0).alias("second")).distinct())
+
+
+def _in_turn(dealt: DataFrame) -> DataFrame:
+    return dealt.repartition("a", "block").sortWithinPartitions("a", "block", "second", "id")
+
+
+def _firsts(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...], size: int) -> Iterator[tuple[list, list]]:
+    """(seconds, their firsts), as rows of columns, for some rows at a time: a task holds one first and `size` seconds."""
+    first = None
+    for whole in batches:
+        for at in range(0, whole.num_rows, size):
+            batch = whole.slice(at, size)
+            rows, own = [], []
+            for second, *row in zip(*(batch.column(c).to_pylist() for c in ("second", *columns)), strict=True):
+                if second:
+                    rows.append(row)
+                    own.append(first)
+                else:
+                    first = row
+            yield rows, own
+
+
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
+
+
+def prune(pairs: DataFrame, reps: DataFrame, least: tuple[int, ...]) -> DataFrame:
+    """The pairs (a, b) of ids in reps (id, signature) that may reach the threshold, by their minima."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, own in _firsts(batches, ("id", "signature"), 2000):
+            if rows:
+                x, y = (np.frombuffer(b"".join(r[1] for r in side), np.uint32).reshape(len(side), MINHASHES) for side in (rows, own))
+                yield _pairs([(own[i][0], rows[i][0]) for i in survivors(x, y, least).tolist()])
+
+    return _in_turn(_dealt(pairs).join(reps.select("id", "signature"), "id")).mapInArrow(run, "a long, b long")
+
+
+def decide(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of ids in reps (id, version) that are linked, by the full sets of the texts in docs (doc_id, version, text)."""
+    texts = docs.filter("doc_id is not null and text is not null").groupBy("doc_id", "version").agg(F.first("text").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        hash_of = Memo(xxhash.xxh3_64_intdigest)
+        known, own_set = None, None
+        for rows, own in _firsts(batches, ("id", "text"), 64):
+            found = []
+            for (b, text), first in zip(rows, own, strict=True):
+                if first is not known:
+                    known, own_set = first, shingle_sets([first[1]], k, hash_of)[0]
+                other = shingle_sets([text], k, hash_of)[0]
+                both = len(np.intersect1d(own_set, other, assume_unique=True))
+                if 100 * both >= percent * (len(own_set) + len(other) - both):
+                    found.append((first[0], b))
+            if found:
+                yield _pairs(found)
+
+    wanted = _dealt(pairs).join(reps.select("id", "version"), "id")
+    met = wanted.join(texts, (F.col("id") == F.col("doc_id")) & (wanted["version"] == texts["version"]))
+    return _in_turn(met.select("a", "block", "id", "second", "text")).mapInArrow(run, "a long, b long")
+
+
+def compare_blocks(rows: list[tuple], i: int, j: int, band: int, percent: int, bands: int, width: int, least: tuple[int, ...]) -> list[tuple[int, int]]:
+    """Pairs that may be linked, of rows (id, component, place, n_shingles, signature) of one band key: within block i, or between blocks i and j.
+
+    A pair with several keys in common is taken by the first band alone; pairs of one component are connected already.
+    """
+    block = np.array([r[2] for r in rows])
+    sig = np.frombuffer(b"".join(r[4] for r in rows), np.uint32).reshape(len(rows), MINHASHES)
+    ids, part, sizes = (np.array([r[c] for r in rows], np.int64) for c in (0, 1, 3))
+    keys, out = band_keys(sig, bands, width), []
+    second = np.flatnonzero(block == j)
+    for x in np.flatnonzero(block == i).tolist():
+        others = second[second > x] if i == j else second
         others = others[part[others] != part[x]]
         # sizes alone rule out what can't reach the threshold
-        low, high = np.minimum(sizes[others], sizes[x]), np.maximum(sizes[others], sizes[x])
-        others = others[100 * low >= percent * high]
-        others = others[(keys[others] == keys[x]).any(axis=1)]
-        matches = np.zeros(len(others), np.int64)
-        for b in range(0, MINHASHES, BATCH):
-            matches += (sig[others, b : b + BATCH] == sig[x, b : b + BATCH]).sum(axis=1)
-            keep = matches >= least[b + BATCH]
-            others, matches = others[keep], matches[keep]
-        if not len(others):
-            continue
-        own = flat[at[x] : at[x + 1]]
-        mark[own] = True
-        for y in others[np.argsort(-matches, kind="stable")]:
-            if part[y] == part[x]:
-                continue
-            both = int(np.count_nonzero(mark[flat[at[y] : at[y + 1]]]))
-            if 100 * both >= percent * (int(sizes[x]) + int(sizes[y]) - both):
-                found.append((ids[x], ids[y]))
-                part[part == part[y]] = part[x]
-        mark[own] = False
-    return found
-
-
-def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame:
-    """Returns (doc_id, n_shingles, component_id, kept), one row per row of docs (doc_id, text).
+        others = others[100 * np.minimum(sizes[others], sizes[x]) >= percent * np.maximum(sizes[others], sizes[x])]
+        others = others[(keys[others] == keys[x]).argmax(axis=1) == band]
+        kept = others[survivors(sig[others], np.broadcast_to(sig[x], (len(others), MINHASHES)), least)]
+        out += [(min(ids[x], ids[y]), max(ids[x], ids[y])) for y in kept.tolist()]
+    return out
 
-    Two documents are linked if 100 * |intersection| >= percent * |union| for their sets of runs of k words (lower-cased A-Z, split at ASCII
-    white space; a shorter text is one run). component_id is the least doc_id reachable by links, kept says that it is the row's own.
-    Texts without words, null texts among them, are linked with nothing. Rows with a null doc_id are returned with kept = true and no component_id, linked with
-    nothing. Repeated rows get the same answer. Other columns are ignored; an empty table gives no rows.
+
+def across(reps: DataFrame, linked: DataFrame, percent: int, bands: int, width: int, least: tuple[int, ...]) -> DataFrame:
+    """Pairs (a, b) of different components that share a band key and may reach the threshold.
+
+    A key's most common component is only compared with the key's other classes, so a group of copies and a stranger cost as many comparisons as there are copies.
     """
-    spark = docs.sparkSession
-    bands, rows = (BANDS, ROWS) if percent >= 84 else (LOW_BANDS, LOW_ROWS)
-    sigs = stored(signatures(docs, k, bands, rows), "signatures")
-    known = sigs.filter(F.col("doc_id").isNotNull() & F.col("set_hash").isNotNull())
-    # one class for equal sets
-    classes = known.groupBy("set_hash").agg(F.min("doc_id").alias("id"))
-    reps = stored(known.join(classes, (known["doc_id"] == classes["id"]) & (known["set_hash"] == classes["set_hash"]), "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "signature", "keys"), "classes")
-    keyed = reps.select("id", F.explode("keys").alias("key"))
-    heads = keyed.groupBy("key").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "head")
-    near = keyed.join(heads, "key").filter("id != head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()
-    groups = components(near, "candidates")
-    # a group of n classes has ceil(n / BLOCK) blocks
-    blocks = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    members = groups.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))
-    dealt = (
-        members.join(reps.select("id", "signature"), "id").join(texts, "id").dropDuplicates(["id"])
-        .select("id", "signature", "text", "component", "block", F.explode(pairs).alias("p"))
-        .select("id", "signature", "text", "component", "block", "p.i", "p.j")
-    )
+    tagged = reps.join(linked, "id", "left").select("id", F.coalesce("component", "id").alias("part"), F.posexplode("keys").alias("band", "key"))
+    parts = tagged.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"))
+    mixed = parts.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "part")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    # keys with several components are few; each goes to SALTS parts, since one of them may be in very many classes
+    mixed = mixed.select(F.col("key").alias("of"), F.col("main.part").alias("main"), blocks(F.col("main.n")).alias("mains"), blocks(F.col("n") - F.col("main.n")).alias("rests"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    met = tagged.withColumn("own", salt_of("id")).join(mixed, (F.col("key") == F.col("of")) & (F.col("own") == F.col("salt")))
+    main = F.col("part") == F.col("main")
+    block = F.pmod(F.xxhash64("id"), F.when(main, F.col("mains")).otherwise(F.col("rests"))).cast("int")
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    pair = lambda a, b: F.struct(a.alias("i"), b.alias("j"))
+    rests, mains = upto(F.col("rests")), upto(F.col("mains"))
+    with_rest = F.transform(rests, lambda o: pair(F.least("block", o), F.greatest("block", o)))
+    with_main = F.transform(mains, lambda o: pair(F.col("block"), F.col("rests") + o))
+    of_main = F.transform(rests, lambda o: pair(o, F.col("rests") + F.col("block")))
+    dealt = met.withColumn("block", block).withColumn("is_main", main).select("key", "band", "id", "part", F.when(F.col("is_main"), F.col("rests") + F.col("block")).otherwise(F.col("block")).alias("place"), F.explode(F.when(F.col("is_main"), of_main).otherwise(F.concat(with_rest, with_main))).alias("p"))
+    full = dealt.join(reps.select("id", "n_shingles", "signature"), "id").select("key", "band", "p.i", "p.j", "id", "part", "place", "n_shingles", "signature")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
+        for batch in batches:
+            for key, band, i, j, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "band", "i", "j", "id", "part", "place", "n_shingles", "signature")), strict=True):
+                if (key, band, i, j) != now:
+                    if len(held) > 1:
+                        yield _pairs(compare_blocks(held, now[2], now[3], now[1], percent, bands, width, least))
+                    now, held = (key, band, i, j), []
+                held.append(row)
+        if len(held) > 1:
+            yield _pairs(compare_blocks(held, now[2], now[3], now[1], percent, bands, width, least))
 
-        def links() -> pa.RecordBatch:
-            _, i, j = now
-            parts = [[r for r in held if r[3] == which] for which in ([i] if i == j else [i, j])]
-            blocks = [{"id": [r[0] for r in p], "signature": [r[1] for r in p], "text": [r[2] for r in p]} for p in parts]
-            found = link_block(blocks[0], blocks[1] if i != j else None, k, percent, bands, rows) if all(parts) else []
-            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
+    # rows of a (key, pair of blocks) come one after the other: two blocks of minima at a time in memory
+    return full.repartition("key", "i", "j").sortWithinPartitions("key", "band", "i", "j", "id").mapInArrow(run, "a long, b long")
 
-        for batch in batches:
-            for id_, sig, text, block, *key in zip(*(batch.column(c).to_pylist() for c in ("id", "signature", "text", "block", "component", "i", "j")), strict=True):
-                if key != now:
-                    if held:
-                        yield links()
-                    now, held = key, []
-                held.append((id_, sig, text, block))
-        if held:
-            yield links()
-
-    # rows of a (group, pair of blocks) come one after the other, two blocks at a time in memory
-    links = dealt.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "id").mapInArrow(run, "a long, b long")
-    linked = components(links, "links")
-    of_class = classes.join(linked, "id", "left").select("set_hash", F.coalesce("component", "id").alias("component_id"))
-    out = sigs.select("doc_id", "n_shingles", "set_hash").join(of_class, "set_hash", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"), (F.col("doc_id").isNull() | F.col("component_id").eqNullSafe(F.col("doc_id"))).alias("kept"))
+
+def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, miss: float = MISS) -> DataFrame:
+    """Returns (doc_id, n_shingles, component_id, kept), one row per row of docs (doc_id, text).
+
+    Two documents are linked if 100 * |intersection| >= percent * |union| for their sets of runs of k words (lower-cased A-Z, split at ASCII
+    white space; a shorter text is one run). component_id is the least doc_id reachable by links, kept says that it is the row's own.
+    A pair at the threshold is missed with a probability of at most UNSEEN (no band in common) and miss (given up by its minima); what is linked is decided on full sets.
+    Texts without words, null texts among them, are linked with nothing. Rows with a null doc_id are returned with kept = true and no component_id, linked with
+    nothing. Repeated rows get the same answer. Rows of one doc_id with several texts count as one document with the text whose set has the least hash; all of them get
+    its component. Other columns are ignored; an empty table gives no rows.
+    """
+    bands, width = banding(percent / 100)
+    least = least_matches(percent / 100, miss)
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("version", F.xxhash64("text"))
+    sigs = stored(signatures(source.withColumn("salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS)).cast("int")), k, bands, width), "signatures")
+    whole = F.col("doc_id").isNotNull() & F.col("set_hash").isNotNull()
+    known = sigs.filter(whole)
+    # one class for equal sets, named by the least doc_id
+    classes = known.groupBy("set_hash").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n"))
+    once = known.groupBy("doc_id", "set_hash").agg(F.min("version").alias("version"), *[F.first(c).alias(c) for c in ("n_shingles", "signature", "keys")])
+    named = classes.select(F.col("id").alias("__id"), F.col("set_hash").alias("__set"))
+    reps = once.join(named, (F.col("doc_id") == F.col("__id")) & (F.col("set_hash") == F.col("__set")), "left_semi")
+    reps = stored(reps.groupBy(F.col("doc_id").alias("id")).agg(F.min(F.struct("set_hash", "version", "n_shingles", "signature", "keys")).alias("r")).select("id", "r.version", "r.n_shingles", "r.signature", "r.keys"), "classes")
+    keyed = reps.select("id", F.explode("keys").alias("key"))
+    stars = with_least(keyed, "key", "id", "head", salt_of("id")).filter("id != head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
+    near = stored(prune(stars, reps, least), "near")
+    links = stored(decide(near, reps, source, k, percent), "links")
+    linked = components(links)
+    others = stored(across(reps, linked, percent, bands, width, least), "others")
+    if not others.isEmpty():
+        more = decide(others, reps, source, k, percent)
+        linked = components(linked.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
+    # a class with very many rows is joined with its component in parts
+    sizes = classes.groupBy(F.col("id").alias("of")).agg(F.max("n").alias("most"))
+    answer = linked.join(sizes, F.col("id") == F.col("of")).select("of", "component", F.explode(F.when(F.col("most") > HOT, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("part"))
+    own = with_least(known.select("doc_id", "n_shingles", "set_hash", "salt"), "set_hash", "doc_id", "id", F.col("salt"))
+    own = own.select("doc_id", "n_shingles", "id", F.when(F.col("n") > HOT, F.col("salt")).otherwise(F.lit(0)).alias("own_part"))
+    found = own.join(answer, (F.col("id") == F.col("of")) & (F.col("own_part") == F.col("part")), "left").select("doc_id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
+    out = found.union(sigs.filter(~whole).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id").isNull() | F.col("component_id").eqNullSafe(F.col("doc_id"))).alias("kept"))

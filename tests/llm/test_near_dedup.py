@@ -56,6 +56,25 @@ def test_blocks_lose_no_link(spark, monkeypatch):
     assert got == brute(rows, 3, 85)
 
 
+def test_chained_boilerplate_is_told_apart(spark, monkeypatch):
+    """Texts that overlap their neighbours by two thirds share bands from one end of the chain to the other, yet only real copies are linked."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    rng = random.Random(6)
+    long = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(4000)]
+    rows = [(i, " ".join(long[20 * i : 20 * i + 120])) for i in range(190)]
+    rows += [(1000 + i, f"{t} end") for i, t in rows[::3]] + [(2000 + i, t) for i, t in rows[::7]]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows, 3, 85)
+
+
+def test_banding_holds_its_promise():
+    for percent in range(20, 100):
+        bands, width = near_dedup.banding(percent / 100)
+        assert bands * width <= near_dedup.MINHASHES and (1 - (percent / 100) ** width) ** bands <= near_dedup.UNSEEN
+    with pytest.raises(ValueError):
+        near_dedup.banding(0.05)
+
+
 def test_pruning_keeps_what_reaches_the_threshold():
     least = near_dedup.least_matches(0.85)
     rng = np.random.default_rng(0)
@@ -87,3 +106,11 @@ def test_same_as_brute_force_on_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(docs.withColumn("id", F.lit(1))).collect()}
     assert got == brute([(r.doc_id, r.text) for r in docs.collect()], 3, 85)
+
+
+def test_one_row_very_often_and_two_texts_of_one_id(spark):
+    """Ten thousand copies of one row; a doc_id that comes with two texts."""
+    hot = spark.range(10_000).select(F.lit(50).cast("long").alias("doc_id"), F.lit("a b c d e f g").alias("text"))
+    rest = spark.createDataFrame([(7, "a b c d e f g"), (60, "q r s t u"), (60, "v w x y z"), (None, "a b c d e f g")], "doc_id long, text string")
+    got = near_dedup.near_duplicates(hot.union(rest)).groupBy("doc_id", "component_id", "kept").count().collect()
+    assert {tuple(r) for r in got} == {(50, 7, False, 10_000), (7, 7, True, 1), (60, 60, True, 2), (None, None, True, 1)}
