@@ -11,6 +11,7 @@ escape. A block's last word may be partly used: the block's number of ids tells.
 
 from __future__ import annotations
 
+import json
 import unicodedata
 import zlib
 from array import array
@@ -32,6 +33,8 @@ COUNTS, BITS = (np.array(x) for x in zip(*SHAPES, strict=True))
 #: At most this share of a payload's ids become escapes.
 ESCAPED = 0.03
 PAD = int(COUNTS.max())
+#: Blocks that are coded at a time, which bounds the memory that a long text takes beside its ids.
+AT_ONCE = 4096
 FILE = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("chunk", T.IntegerType()), T.StructField("before", T.LongType()), T.StructField("doc_ids", T.ArrayType(T.LongType())), T.StructField("n_tokens", T.ArrayType(T.IntegerType())), T.StructField("payload", T.BinaryType())])
 
 
@@ -52,6 +55,15 @@ def _grid(flat: np.ndarray, blocks: int) -> np.ndarray:
 def encode(ids: np.ndarray) -> bytes:
     """ids: uint32, any number of them, none included."""
     n, blocks = len(ids), -(-len(ids) // BLOCK)
+    parts = [_encode(ids[i : i + AT_ONCE * BLOCK]) for i in range(0, n, AT_ONCE * BLOCK)]
+    words, counts, escapes, escape_counts = ([p[i] for p in parts] for i in range(4))
+    offsets = [np.concatenate([[0], np.cumsum(np.concatenate([np.zeros(0, np.int64), *c]))]).astype("<u4").tobytes() for c in (counts, escape_counts)]
+    return b"".join([MAGIC, np.array([n, blocks, sum(map(len, escapes))], "<u4").tobytes(), *offsets, *(e.astype("<u4").tobytes() for e in escapes), *(w.astype("<u8").tobytes() for w in words)])
+
+
+def _encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(words, words by block, escapes, escapes by block) of some blocks."""
+    n, blocks = len(ids), -(-len(ids) // BLOCK)
     need = NARROW[np.minimum(ids, (1 << 16) - 1)]
     large = np.flatnonzero(ids >= (1 << 16) - 1)
     need[large] = BITS[np.searchsorted((1 << BITS) - 1, ids[large].astype(np.int64), side="right")]
@@ -71,8 +83,7 @@ def encode(ids: np.ndarray) -> bytes:
         np.putmask(best, np.maximum(most[p][:, :BLOCK], most[p][:, c - p : c - p + BLOCK]) <= b, np.uint8(s))
     # from word to word, in all blocks at once
     sizes = np.full(blocks, BLOCK)
-    if blocks:
-        sizes[-1] = n - BLOCK * (blocks - 1)
+    sizes[-1] = n - BLOCK * (blocks - 1)
     begins, flat, base = np.zeros(blocks * BLOCK, bool), best.ravel(), np.arange(blocks) * BLOCK
     at, ends = base.copy(), base + sizes
     while len(at):
@@ -92,9 +103,7 @@ def encode(ids: np.ndarray) -> bytes:
             parts = flat_values[cells]
             np.putmask(parts, flat_escaped[cells], np.uint64((1 << b) - 1))
             words[rows] |= np.bitwise_or.reduce(parts << (np.arange(c) * b).astype(np.uint64), axis=1)
-    first_word = np.searchsorted(block, np.arange(blocks + 1)).astype("<u4")
-    first_escape = np.concatenate([[0], np.cumsum(escaped.sum(1))]).astype("<u4")
-    return b"".join([MAGIC, np.array([n, blocks, first_escape[-1]], "<u4").tobytes(), first_word.tobytes(), first_escape.tobytes(), values[escaped].astype("<u4").tobytes(), words.astype("<u8").tobytes()])
+    return words, np.bincount(block, minlength=blocks), values[escaped], escaped.sum(1)
 
 
 def decode(payload: bytes, first: int = 0, last: int | None = None) -> np.ndarray:
@@ -107,6 +116,8 @@ def decode(payload: bytes, first: int = 0, last: int | None = None) -> np.ndarra
     word_at = np.frombuffer(payload, "<u4", blocks + 1, at).astype(np.int64)
     escape_at = np.frombuffer(payload, "<u4", blocks + 1, at + 4 * (blocks + 1)).astype(np.int64)
     at += 8 * (blocks + 1)
+    if last - first > AT_ONCE:
+        return np.concatenate([decode(payload, i, min(last, i + AT_ONCE)) for i in range(first, last, AT_ONCE)])
     wanted = last - first
     if wanted <= 0:
         return np.zeros(0, np.uint32)
@@ -132,6 +143,33 @@ def decode(payload: bytes, first: int = 0, last: int | None = None) -> np.ndarra
 
 #: What ends a word apart from letters; the tokenizer parts it from the letters before.
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: The steps before the model in a tokenizers file whose texts may be encoded word by word.
+BY_WORDS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
+def by_words(tokenizer) -> bool:
+    """Whether a text's ids are its words' ids in order: white space parts words and leaves nothing, and letters are lower-cased one by one for a BPE model without chance."""
+    spec = json.loads(tokenizer.to_str())
+    model, added = spec["model"], spec["added_tokens"] or []
+    plain = all(not a["lstrip"] and not a["rstrip"] and not a["single_word"] and not a["content"].isalpha() and not any(c.isspace() for c in a["content"]) for a in added)
+    return all(spec[k] == v for k, v in BY_WORDS.items()) and model["type"] == "BPE" and not model["dropout"] and not model["ignore_merges"] and plain
+
+
+def text_encoder(tokenizer):
+    """text -> its ids as little-endian uint32. A word that comes again isn't encoded again, where the tokenizer allows it."""
+    if not by_words(tokenizer):
+        return lambda text: array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+    ids_of = word_encoder(tokenizer)
+    return lambda text: b"".join(map(ids_of.__getitem__, text.encode("utf-8", "surrogatepass").split()))
 
 
 def word_encoder(tokenizer) -> Memo:
@@ -175,8 +213,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int =
     holds one chunk and one document. Each document ends with end_id; a null or empty text is end_id alone. Null doc_ids come first; repeated
     rows are documents of their own, next to each other, equal doc_ids by text. An empty table is written as no rows.
 
-    White space must be a boundary that leaves no id, as it is in tokenizers that drop it: a text's ids are then its words' ids in
-    order, and a word that comes again is not encoded again (see word_encoder).
+    With a tokenizer that drops white space (see by_words), words that come again aren't encoded again; any other encodes whole texts.
     """
     spark = docs.sparkSession
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -186,7 +223,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int =
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tokenizers import Tokenizer
 
-        ids_of = per_worker(f"word ids of {tokenizer_file}", lambda: word_encoder(Tokenizer.from_file(tokenizer_file)))
+        ids_of = per_worker(f"text ids of {tokenizer_file}", lambda: text_encoder(Tokenizer.from_file(tokenizer_file)))
         shard, chunk, before, held, doc_ids, sizes = 0, 0, 0, 0, [], []
         parts: list[bytes] = []
 
@@ -201,7 +238,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int =
 
         for batch in batches:
             for doc_id, text, shard in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "shard")), strict=True):
-                ids = b"".join(map(ids_of.__getitem__, text.encode().split())) + end
+                ids = ids_of(text) + end
                 parts.append(ids)
                 doc_ids.append(doc_id)
                 sizes.append(len(ids) // 4)

@@ -1,3 +1,4 @@
+import functools
 import zlib
 
 import numpy as np
@@ -45,6 +46,41 @@ def test_word_encoder_equals_tokenizer(spark, sf):
         assert got == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@functools.cache
+def loaded():
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(FILE)
+    assert token_output.by_words(tokenizer)
+    return tokenizer, token_output.text_encoder(tokenizer)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(max_size=60))
+def test_any_text_equals_tokenizer(text):
+    tokenizer, encode = loaded()
+    assert np.frombuffer(encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_a_tokenizer_that_keeps_white_space_encodes_whole_texts():
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(tokenizer_file("byte_bpe_50k.json"))
+    text = "Two  spaces, a\ttab\n\nand lines"
+    assert not token_output.by_words(tokenizer)
+    assert np.frombuffer(token_output.text_encoder(tokenizer)(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_long_payloads_are_coded_in_parts(monkeypatch):
+    ids = np.random.default_rng(0).integers(0, 50_000, 20_000).astype(np.uint32)
+    ids[::1000] = 2**32 - 1
+    whole = token_output.encode(ids)
+    monkeypatch.setattr(token_output, "AT_ONCE", 3)
+    parts = token_output.encode(ids)
+    assert (token_output.decode(whole) == ids).all() and (token_output.decode(parts) == ids).all()
+    assert (token_output.decode(parts, 5, 17) == ids[5 * token_output.BLOCK : 17 * token_output.BLOCK]).all()
+
+
 def expected(rows):
     from tokenizers import Tokenizer
 
