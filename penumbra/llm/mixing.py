@@ -68,7 +68,7 @@ def mix_sources(docs: DataFrame, weights: dict[str, int] | None = None, default_
     (size / largest size) ** POWER, rounded, at least 1, so that a source with most of the documents doesn't have most of the mixture. Ordered by position, the rows where in_mix holds are the
     mixture: it ends at the first slot whose source has no block left, since from there the weights can't be kept; what
     other sources have beyond it is in_mix = false. Nothing is dropped here. A null source is the source "". Added columns replace ones
-    of the same name. Repeated rows are rows of their own (ties in doc_id: any order). An empty table gives none.
+    of the same name, in upper or lower case. Repeated rows are rows of their own; ties in doc_id, a null one among them, go by a hash of the row. An empty table gives none.
 
     Ranks within a source are found in two steps, so that a source with most of the rows is spread: counts by (source, first digits of the
     key), then a rank within each such cell, which holds about 1/4096 of the source.
@@ -77,8 +77,10 @@ def mix_sources(docs: DataFrame, weights: dict[str, int] | None = None, default_
     if bad or block_docs < 1:
         raise ValueError("weights and block_docs must be positive integers")
     added = ("lane", "block", "slot", "position", "in_mix")
-    own = [c for c in docs.columns if c not in added]
-    keyed = docs.select(*own, F.coalesce("source", F.lit("")).alias("lane"), order_key(F.col("doc_id"), seed).alias("__key")).withColumn("__cell", F.substr("__key", F.lit(1), F.lit(3)))
+    own = [c for c in docs.columns if c.lower() not in added]
+    # rows of one doc_id go by a hash of all that can be hashed, so that a task that runs again deals them as before
+    plain = [f.name for f in docs.schema if not any(x in f.dataType.simpleString() for x in ("map<", "variant"))]
+    keyed = docs.select(*own, F.coalesce("source", F.lit("")).alias("lane"), order_key(F.col("doc_id"), seed).alias("__key"), F.xxhash64(*plain).alias("__tie")).withColumn("__cell", F.substr("__key", F.lit(1), F.lit(3)))
     ids = docs.select(F.coalesce("source", F.lit("")).alias("lane"), F.substr(order_key(F.col("doc_id"), seed), F.lit(1), F.lit(3)).alias("__cell"))
     # at most 4096 cells a lane
     cells = ids.groupBy("lane", "__cell").agg(F.count(F.lit(1)).alias("n"))
@@ -105,7 +107,7 @@ def mix_sources(docs: DataFrame, weights: dict[str, int] | None = None, default_
     first = F.floor(F.col("__before") / block_docs)
     last = F.floor((F.col("__before") + F.col("n") - 1) / block_docs)
     places = before.join(turns.drop("n"), "lane").select("lane", "__cell", "__before", first.alias("__first"), F.transform(F.sequence(first, last), slot_of).alias("__slots"))
-    place = F.row_number().over(W.partitionBy("lane", "__cell").orderBy("__key", "doc_id"))
+    place = F.row_number().over(W.partitionBy("lane", "__cell").orderBy("__key", "doc_id", "__tie"))
     ranked = keyed.withColumn("__place", place).join(places, ["lane", "__cell"]).withColumn("__rank", F.col("__before") + F.col("__place") - 1)
     placed = ranked.withColumn("block", F.floor(F.col("__rank") / block_docs)).withColumn("slot", F.get("__slots", (F.col("block") - F.col("__first")).cast("int"))).crossJoin(F.broadcast(end))
     return placed.select(*own, "lane", "block", "slot", (F.col("slot") * block_docs + F.col("__rank") % block_docs).alias("position"), (F.col("slot") < F.col("__end")).alias("in_mix"))
