@@ -7,6 +7,7 @@ a bounded sample of documents then train a logistic scorer on hashed shapes of w
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from penumbra.llm.common import Memo
 
-#: Expected number of documents in the scorer's training sample; the sample is cut off at twice that.
+#: Expected number of documents in the scorer's training sample.
 SAMPLE = 4000
 FEATURES, CALM = 2048, 6
 #: name: (clean if below, junk if above) of a share between 0 and 1, or the other way round if the first is larger.
@@ -27,7 +28,7 @@ LABELLERS = {
     "repeats": (0.05, 0.15),  # words equal to the word before
     "shouts": (0.05, 0.25),  # exclamation marks per word
     "bars": (0.02, 0.2),  # words that are separators
-    "variety": (0.25, 0.12),  # distinct words in 100 words, averaged
+    "variety": (0.25, 0.12),  # distinct words in every 100 words, of all words
     "stops": (0.03, 0.005),  # words that end a sentence or clause
 }
 ODD = np.zeros(256, bool)
@@ -48,7 +49,7 @@ def measures(text: str | None) -> list[float] | None:
     n = len(w)
     upper = counts[UPPER].sum()
     again = sum(map(bytes.__eq__, w, w[1:]))
-    variety = np.mean([len(set(w[i : i + 100])) / min(100, n - i) for i in range(0, max(1, n - 50), 100)])
+    variety = sum(len(set(w[i : i + 100])) for i in range(0, n, 100)) / n
     stops = sum(x[-1] in b".,;:?" for x in w)
     return [counts[ODD].sum() / len(raw), upper / max(1, upper + counts[LOWER].sum()), again / n, counts[33] / n, sum(x in (b"|", b"||", b"-", b"/") for x in w) / n, float(variety), stops / n]
 
@@ -93,16 +94,16 @@ def weak_labels(patterns: dict[int, int], rounds: int = 100) -> dict[int, float]
     return dict(zip(keys.tolist(), post.tolist(), strict=True))
 
 
+#: Upper case to X, lower case and bytes of longer characters to x, digits to 9, ASCII marks as they are.
+KINDS = bytes(88 if 65 <= b <= 90 else 120 if 97 <= b <= 122 or b >= 128 else 57 if 48 <= b <= 57 else b for b in range(256))
+RUN = re.compile(rb"(.)\1+", re.DOTALL)
+
+
 def shape(word: bytes) -> int:
-    """The bucket of a word's shape: runs of upper case, lower case, digits and other bytes, ASCII marks as they are."""
+    """The bucket of a word's shape: its runs of one kind of byte, as one each, and its length in steps of four, 24 bytes and more being one step."""
     import xxhash
 
-    out = bytearray()
-    for b in word[:24]:
-        c = 88 if 65 <= b <= 90 else 120 if 97 <= b <= 122 or b >= 128 else 57 if 48 <= b <= 57 else b
-        if not out or out[-1] != c:
-            out.append(c)
-    return xxhash.xxh3_64_intdigest(bytes(out) + bytes([min(len(word), 24) // 4])) % (FEATURES - 1)
+    return xxhash.xxh3_64_intdigest(RUN.sub(rb"\1", word.translate(KINDS)) + bytes([min(len(word), 24) // 4])) % (FEATURES - 1)
 
 
 def features(text: str | None, shapes: Memo) -> np.ndarray:
@@ -128,7 +129,11 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = 400, rate: float = 0
 
 
 def fit_quality(docs: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
-    """The scorer's weights and bias. Counts cover all documents; the scorer sees about `sample` of them, 2 * sample at most."""
+    """The scorer's weights and bias. Counts of votes cover all rows of docs (doc_id, text); the scorer sees about `sample` different rows.
+
+    Rows are chosen by a hash of doc_id and text, each once however often it is repeated, so a job that runs again chooses the same. Null texts are empty ones; a null
+    doc_id is a value like others. An empty table gives weights of zero and a bias for clean.
+    """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id"), "text")
 
@@ -143,7 +148,7 @@ def fit_quality(docs: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, floa
     if not total:
         return np.zeros(FEATURES), -1.0
     part = min(1.0, sample / total)
-    chosen = texts.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int(part * (1 << 30))).limit(2 * sample)
+    chosen = texts.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int(part * (1 << 30))).distinct()
 
     def feature_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shapes = Memo(shape)
@@ -152,7 +157,8 @@ def fit_quality(docs: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, floa
             x = [features(s, shapes) for s in t]
             yield pa.RecordBatch.from_arrays([pa.array([np.flatnonzero(r).astype(np.int32) for r in x], pa.list_(pa.int32())), pa.array([r[r > 0] for r in x], pa.list_(pa.float64())), pa.array([votes(s) for s in t], pa.int64())], names=["at", "share", "pattern"])
 
-    data = chosen.mapInArrow(feature_run, "at array<int>, share array<double>, pattern long").collect()
+    # as many rows as the sample has, and only their features
+    data = sorted(chosen.mapInArrow(feature_run, "at array<int>, share array<double>, pattern long").collect())
     x, y = np.zeros((len(data), FEATURES), np.float32), np.zeros(len(data), np.float32)
     for i, r in enumerate(data):
         x[i, r["at"]] = r["share"]
@@ -161,7 +167,10 @@ def fit_quality(docs: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, floa
 
 
 def with_quality(docs: DataFrame, model: tuple[np.ndarray, float], score: str = "score") -> DataFrame:
-    """docs with a column of the probability of being clean, 0 to 1; it replaces a column of that name. No shuffle."""
+    """docs with a column of the probability of being clean, 0 to 1; it replaces a column of that name. No shuffle.
+
+    A null or empty text gets the share of clean documents; all rows and other columns stay. An empty table gives no rows.
+    """
     weights, bias = model
 
     @F.pandas_udf("double")
