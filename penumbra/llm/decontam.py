@@ -1,24 +1,37 @@
-"""Benchmark decontamination: n-grams of the test items seed candidate passages, Smith-Waterman alignment scores them.
-
-1. Hashes of all of the items' n-grams are put into a bit table of fixed size. None is passed over for being common or rare: whichever run of N words
-   an edited copy has left leads to it.
-2. One pass looks for them (by bit table, then an exact join on the hash) and takes the passage around each as a candidate.
-3. Candidates are aligned with their items word by word; the score is that of the best local alignment as a share of a perfect copy's.
+"""Benchmark decontamination: rare n-grams of the test items seed candidate passages, Smith-Waterman alignment scores them.
+
+1. One pass looks for the items' n-grams in all documents (a bit table of fixed size, then an exact join) and keeps where they stand, by document.
+2. An n-gram is a seed if few documents have it, or not many more than have the rarest of its item that any document has: that is about as many as hold a copy of the
+   item, so an n-gram beyond it is common for other reasons. Seeds give candidates: a document, an item, and about where it would begin.
+3. Only documents with candidates are read again. Candidates are aligned with their items word by word; the score is that of the best local alignment as a share of a
+   perfect copy's.
+4. Items too short for that are found where they are a whole line, sentence or clause.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from penumbra.llm.common import Memo, row_key, stored
 
 N = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
+#: An n-gram is rare if at most this share of the documents has it, or FEW documents, or MORE times as many as have its item's rarest.
+RARE, FEW, MORE = 0.01, 100, 3
+#: Parts that a seed's documents are dealt to.
+PARTS = 16
+#: Cells of alignment tables at a time.
+CELLS = 1 << 20
+#: What parts lines, sentences and clauses.
+CLAUSE = re.compile(rb"[\n.!?;:]+")
 #: 2**25 bits are 4 MB, whatever the number of items; more items than it can tell apart cost time, not results.
 TABLE_BITS = 25
 #: Bytes other than ASCII letters, digits and parts of longer characters part words.
@@ -88,84 +101,178 @@ def align(item: np.ndarray, passages: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return best, end
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, min_words: int = 5) -> DataFrame:
-    """Returns (doc_id, item_id, score, last_word): documents that hold a copy of an item, edited or not, with score >= least.
+def clauses(text: str | None) -> list[tuple[bytes, int]]:
+    """(its words joined, the number of the text's words up to its end) of each line, sentence and clause with words; of several in a row also those of a whole line."""
+    out, at = [], 0
+    for line in (text or "").encode("utf-8", "surrogatepass").split(b"\n"):
+        parts = [b" ".join(p.translate(PLAIN).split()) for p in CLAUSE.split(line)]
+        parts, begin = [p for p in parts if p], at
+        for p in parts:
+            at += p.count(b" ") + 1
+            out.append((p, at))
+        if len(parts) > 1 and at - begin <= 64:
+            out.append((b" ".join(parts), at))
+    return out
 
-    A copy is looked for wherever N words of an item in a row stand unchanged; one that has no such run is not found, whatever its score.
-    docs: doc_id, text; benchmark: item_id, text; other columns are ignored. score is 1 for a word-for-word copy (rounded to 4 places); last_word
-    counts the document's words up to the end of the copy. Items of fewer than min_words words are left out, since chance
-    repeats them. Null or empty texts match nothing, a null doc_id is returned as such, repeated rows give one result, as do repeated items; a
-    document with several items has a row for each. Empty tables give no rows.
-    """
 
-    def items_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def items_of(benchmark: DataFrame, min_words: int) -> DataFrame:
+    """(item_id, item: its words, size, slack, short, at, hash) for each n-gram of each item; a short item has one row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hash_of = hasher()
+        kinds = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.int64())
         for batch in batches:
             out = []
-            for item, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            for item_id, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 w = plain_words(text)
-                if len(w) >= min_words:
-                    out += [(item, i, int(h), b" ".join(w).decode("utf-8", "surrogatepass"), len(w)) for i, h in enumerate(gram_hashes(w, hash_of))]
+                item, short = b" ".join(w).decode("utf-8", "surrogatepass"), len(w) < min_words
+                grams = gram_hashes(w, hash_of).tolist() if not short else [clause_hash(b" ".join(w))] if w else []
+                out += [(item_id, item, len(w), max(8, len(w) // 4), short, at, h) for at, h in enumerate(grams)]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.int32()), strict=True)], names=["item_id", "at", "hash", "item", "size"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["item_id", "item", "size", "slack", "short", "at", "hash"])
+
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null").distinct()
+    return rows.mapInArrow(run, "item_id long, item string, size int, slack int, short boolean, at int, hash long").dropDuplicates(["item_id", "item", "at"])
 
-    grams = stored(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null").distinct().mapInArrow(items_run, "item_id long, at int, hash long, item string, size int"), "items")
-    longest = grams.agg(F.max("size")).first()[0] or 0
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    spark = docs.sparkSession
-    table = spark.sparkContext.broadcast(bit_table(grams))
 
-    slack = max(8, longest // 4)
+def clause_hash(words: bytes) -> int:
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(words, seed=1) - (1 << 63)
+
+
+def occurrences(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, row, hash, places array<int>) of the items' n-grams in docs (doc_id, row, text); a short item's places are the ends of clauses that equal it."""
+    spark = docs.sparkSession
+    long_bits, short_bits = (spark.sparkContext.broadcast(bit_table(items.filter(kind))) for kind in ("not short", "short"))
+    any_short = any(short_bits.value)
 
-    def seek_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, hash_of = np.frombuffer(table.value, np.uint8), hasher()
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string())
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, few, hash_of = np.frombuffer(long_bits.value, np.uint8), np.frombuffer(short_bits.value, np.uint8), hasher()
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()))
         for batch in batches:
             out = []
             for doc, row, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row", "text")), strict=True):
-                w = plain_words(text)
-                h = gram_hashes(w, hash_of)
+                h = gram_hashes(plain_words(text), hash_of)
+                found: dict[int, list[int]] = {}
                 for at in np.flatnonzero(in_table(h, bits)).tolist():
-                    first = max(0, at - longest - slack)
-                    passage = b" ".join(w[first : at + longest + slack])
-                    out.append((doc, row, int(h[at]), at, first, passage.decode("utf-8", "surrogatepass")))
+                    found.setdefault(int(h[at]), []).append(at)
+                if any_short:
+                    for part, end in clauses(text):
+                        one = clause_hash(part)
+                        if in_table(np.array([one], np.int64), few)[0]:
+                            found.setdefault(one, []).append(end)
+                out += [(doc, row, x, places) for x, places in found.items()]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "row", "hash", "pos", "first", "passage"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "row", "hash", "places"])
+
+    return docs.select("doc_id", "row", "text").mapInArrow(run, "doc_id long, row long, hash long, places array<int>")
 
-    found = source.withColumn("row", row_key(F.col("doc_id"), F.col("text"))).mapInArrow(seek_run, "doc_id long, row long, hash long, pos int, first int, passage string")
+
+def seeds_of(items: DataFrame, found: DataFrame, documents: int) -> DataFrame:
+    """The n-grams in items that lead to candidates: rare ones, by the number of documents in found that have them. Short items stay as they are."""
+    counts = found.groupBy("hash").agg(F.count(F.lit(1)).alias("n"))
+    held = items.join(counts, "hash")
+    rarest = F.min("n").over(W.partitionBy("item_id", "item"))
+    rare = F.col("n") <= F.greatest(F.lit(max(FEW, RARE * documents)), MORE * rarest)
+    return held.withColumn("rare", rare | F.col("short")).filter("rare").drop("n", "rare")
+
+
+def _row_in(rows: DataFrame, column: str) -> Column:
+    """Whether column may be among rows (hash), by a bit table of fixed size: no for most that are not."""
+    table = rows.sparkSession.sparkContext.broadcast(bit_table(rows))
+
+    @F.pandas_udf("boolean")
+    def among(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        bits = np.frombuffer(table.value, np.uint8)
+        for x in batches:
+            yield pd.Series(in_table(x.to_numpy(np.int64), bits))
+
+    return among(column)
+
+
+def aligned(pending: list[tuple], least: float) -> pa.RecordBatch | None:
+    """Scores of candidates (doc_id, item_id, item, near: the window's words by their numbers in the item, or -1, first: the window's place); None if none reaches least."""
+    by_item: dict = {}
+    for doc, item_id, item, near, first in pending:
+        by_item.setdefault((item_id, item), []).append((doc, near, first))
+    out = []
+    for (item_id, item), rows in by_item.items():
+        words = item_codes(item)[1]
+        grid = np.full((len(rows), max(len(r[1]) for r in rows)), -1)
+        for n, (_, near, _) in enumerate(rows):
+            grid[n, : len(near)] = near
+        best, end = align(words, grid)
+        for n in np.flatnonzero(best >= least * MATCH * len(words)).tolist():
+            out.append((rows[n][0], item_id, round(float(best[n]) / (MATCH * len(words)), 4), rows[n][2] + int(end[n]) + 1))
+    if not out:
+        return None
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.int64()), strict=True)], names=["doc_id", "item_id", "score", "last_word"])
+
+
+def item_codes(item: str) -> tuple[dict[bytes, int], np.ndarray]:
+    w = item.encode("utf-8", "surrogatepass").split(b" ")
+    code = {x: i for i, x in enumerate(dict.fromkeys(w))}
+    return code, np.array([code[x] for x in w])
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, min_words: int = 5) -> DataFrame:
+    """Returns (doc_id, item_id, score, last_word): documents that hold a copy of an item, edited or not, with score >= least.
+
+    docs: doc_id, text; benchmark: item_id, text; other columns are ignored. A copy is looked for wherever a rare run of N words (see seeds_of) of an item
+    stands unchanged; one that has no such run is not found, whatever its score. score is 1 for a word-for-word copy (rounded to 4 places); last_word
+    counts the document's words up to the end of the copy, the first of equally good ones. An item of fewer than min_words words, which chance repeats within
+    sentences, is found where it is a whole line, sentence or clause, with score 1. Items and texts without words, null ones among them, match nothing. A null doc_id
+    or item_id is returned as such, repeated rows give one result, as do repeated items; a document with several items has a row for each. Empty tables give no rows.
+    """
+    items = stored(items_of(benchmark, min_words), "items")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row", row_key(F.col("doc_id"), F.col("text"))).filter("text is not null")
+    found = stored(occurrences(source, items), "occurrences")
+    seeds = stored(seeds_of(items, found, source.count()), "seeds")
+    # a seed that very many documents have is dealt to several parts
+    dealt = seeds.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    met = found.withColumn("part", F.pmod("row", F.lit(PARTS)).cast("int")).join(dealt, ["hash", "part"])
+    begins = F.array_distinct(F.transform("places", lambda p: F.when(F.col("short"), p).otherwise(F.floor((p - F.col("at")) / F.col("slack")).cast("int"))))
     # one candidate for n-grams on nearly the same diagonal
-    candidates = found.join(grams, "hash").withColumn("diagonal", F.floor((F.col("pos") - F.col("at")) / slack)).dropDuplicates(["doc_id", "row", "item_id", "item", "diagonal"])
+    candidates = stored(met.select("doc_id", "row", "item_id", "item", "size", "slack", "short", F.explode(begins).alias("begin")).distinct(), "candidates")
+    exact = candidates.filter("short").select("doc_id", "item_id", F.lit(1.0).alias("score"), F.col("begin").cast("long").alias("last_word"))
+    asked = candidates.filter("not short")
+    nothing = lambda t: F.lit(None).cast(t)
+    texts = source.filter(_row_in(asked.select(F.col("row").alias("hash")), "row")).groupBy("doc_id", "row").agg(F.first("text").alias("text"))
+    # a document's text comes before its candidates, so a task holds one text at a time; its candidates are dealt apart from other documents' alone
+    both = texts.select("doc_id", "row", "text", *[nothing(t).alias(c) for c, t in (("item_id", "long"), ("item", "string"), ("size", "int"), ("slack", "int"), ("begin", "int"))], F.lit(0).alias("second"))
+    both = both.unionByName(asked.select("doc_id", "row", nothing("string").alias("text"), "item_id", "item", "size", "slack", "begin", F.lit(1).alias("second")))
 
-    def align_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64())
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pending, cells = [], 0
+        own, coded, codes = [], None, {}
         for whole in batches:
-            for start in range(0, whole.num_rows, 2048):
-                batch = whole.slice(start, 2048)
-                by_item: dict = {}
-                for doc, item_id, item, first, pos, at, passage in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "item_id", "item", "first", "pos", "at", "passage")), strict=True):
-                    by_item.setdefault((item_id, item), []).append((doc, first, pos - at, passage))
-                out = []
-                for (item_id, item), rows in by_item.items():
-                    code = {w: i for i, w in enumerate(dict.fromkeys(item.split(" ")))}
-                    words = np.array([code[w] for w in item.split(" ")])
-                    grid, firsts = np.full((len(rows), len(words) + 2 * slack + 1), -1), []
-                    for n, (_, first, begin, passage) in enumerate(rows):
-                        skip = max(0, begin - slack - first)
-                        near = [code.get(w, -1) for w in passage.split(" ")[skip : skip + grid.shape[1]]]
-                        grid[n, : len(near)] = near
-                        firsts.append(first + skip)
-                    best, end = align(words, grid)
-                    for n in np.flatnonzero(best >= least * MATCH * len(words)).tolist():
-                        out.append((rows[n][0], item_id, round(float(best[n]) / (MATCH * len(words)), 4), firsts[n] + int(end[n]) + 1))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "item_id", "score", "last_word"])
-
-    scored = candidates.select("doc_id", "item_id", "item", "first", "pos", "at", "passage").mapInArrow(align_run, "doc_id long, item_id long, score double, last_word long")
-    best = scored.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", (-F.col("last_word")).alias("neg"))).alias("m"))
+            for start in range(0, whole.num_rows, 500):
+                batch = whole.slice(start, 500)
+                for doc, text, item_id, item, size, slack, begin, second in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "item_id", "item", "size", "slack", "begin", "second")), strict=True):
+                    if not second:
+                        own = plain_words(text)
+                        continue
+                    if item != coded:
+                        coded, codes = item, item_codes(item)[0]
+                    # as far as a copy can reach whose words lie a slack beside the diagonals of this candidate
+                    first = max(0, (begin - 1) * slack)
+                    near = [codes.get(w, -1) for w in own[first : (begin + 2) * slack + size]]
+                    pending.append((doc, item_id, item, near, first))
+                    cells += len(near)
+                    if cells > CELLS:
+                        if (made := aligned(pending, least)) is not None:
+                            yield made
+                        pending, cells = [], 0
+        if pending and (made := aligned(pending, least)) is not None:
+            yield made
+
+    scored = both.repartition("doc_id", "row").sortWithinPartitions("doc_id", "row", "second", "item_id", "item", "begin").mapInArrow(run, "doc_id long, item_id long, score double, last_word long")
+    best = scored.union(exact).groupBy("doc_id", "item_id").agg(F.max(F.struct("score", (-F.col("last_word")).alias("neg"))).alias("m"))
     return best.select("doc_id", "item_id", F.col("m.score").alias("score"), (-F.col("m.neg")).alias("last_word"))
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.5) -> DataFrame:
-    """The rows of docs, all columns, whose document holds no copy of an item. Rows with a null doc_id go only if a null doc_id is contaminated."""
+    """The rows of docs, all columns, whose document holds no copy of an item. Rows with a null doc_id go only if a null doc_id is contaminated, null and empty texts stay; an empty table gives none."""
     bad = stored(contaminated(docs, benchmark, least).select(F.col("doc_id").alias("__bad")).distinct(), "contaminated")
     return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("__bad")), "left_anti")
