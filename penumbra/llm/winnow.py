@@ -6,12 +6,14 @@ kept with its position. Two texts that share K + WINDOW - 1 characters in a row
 
 from __future__ import annotations
 
+import base64
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 K, WINDOW = 16, 16
@@ -80,8 +82,17 @@ def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return both / (total - both)
 
 
-def digest(hashes: np.ndarray, positions: np.ndarray) -> str:
-    return hashlib.blake2b(hashes.astype("<u4").tobytes() + positions.astype("<u8").tobytes(), digest_size=16).hexdigest()
+def written(hashes: np.ndarray, positions: np.ndarray) -> str:
+    """Marks as text: base64 of all hashes (little-endian uint32), then of all distances from one position to the next, the first from 0 (uint16)."""
+    gaps = np.diff(positions, prepend=0)
+    return base64.b64encode(hashes.astype("<u4").tobytes() + gaps.astype("<u2").tobytes()).decode()
+
+
+def read_marks(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, positions) of a fingerprint that written() made."""
+    raw = base64.b64decode(text)
+    n = len(raw) // 6
+    return np.frombuffer(raw, "<u4", n).astype(np.uint32), np.cumsum(np.frombuffer(raw, "<u2", n, 4 * n).astype(np.int64))
 
 
 def fingerprints(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
@@ -104,47 +115,56 @@ def fingerprints(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_chars long, marks array<struct<hash:bigint,position:bigint>>")
 
 
-def _ranges(spark: SparkSession, docs: DataFrame, parts: int) -> tuple[list[int], dict[int, int]]:
-    """Lower bounds of ranges of doc_id with about as many rows each, and the largest doc_id by range: two lists as long as there are ranges."""
-    ids = docs.select("doc_id")
-    cuts = ids.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 20 * parts).alias("cuts")).first()["cuts"] if parts > 1 else []
-    cuts = sorted(set(cuts or []))
-    first = ids.groupBy(_range_of(cuts).alias("part")).agg(F.max("doc_id").alias("top")).collect()
-    return cuts, {r["part"]: r["top"] for r in first}
+def _nested(cuts: Column, parts: int) -> Column:
+    """A sorted array in pieces of about sqrt(parts), so that a place is found by looking at some of them."""
+    piece = max(1, int(parts**0.5))
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(cuts) - 1) / piece).cast("int")), lambda i: F.slice(cuts, i * piece + 1, piece))
+
+
+def _range_of(key: Column, nested: Column, parts: int) -> Column:
+    """The number of cuts below key, by pieces and then within one: ranges are numbered from the least keys up."""
+    piece = max(1, int(parts**0.5))
+    before = F.greatest(F.lit(0), F.size(F.filter(nested, lambda p: p[0] < key)) - 1)
+    return before * piece + F.size(F.filter(F.get(nested, before), lambda c: c < key))
 
 
-def _range_of(cuts: list[int]):
-    """Ranges are numbered from the largest doc_ids down."""
-    above = F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]).cast("array<long>"), lambda c: F.col("doc_id") <= c)
-    return F.size(above)
+def _in_ranges(source: DataFrame, parts: int) -> DataFrame:
+    """source (doc_id, ...) with part, the number of a range of doc_ids. The ranges' bounds are one row of at most `parts` numbers, which is broadcast."""
+    if parts == 1:
+        return source.withColumn("part", F.lit(0))
+    cuts = F.array_sort(F.array_distinct(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 20 * parts)))
+    bounds = source.select("doc_id").agg(cuts.alias("cuts")).filter("cuts is not null").select(_nested(F.col("cuts"), parts).alias("cuts"))
+    return source.crossJoin(F.broadcast(bounds)).withColumn("part", _range_of(F.col("doc_id"), F.col("cuts"), parts)).drop("cuts")
 
 
 def edited_likeness(docs: DataFrame, k: int = K, window: int = WINDOW, parts: int | None = None) -> DataFrame:
     """How fingerprints follow an edit: for each row of docs (doc_id, text; null text: empty), in descending doc_id, its last third is replaced
     by as many first characters (or all) of the next document's text; the last row's next is the first.
 
-    Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_marks. A null doc_id sorts below all others,
+    Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_marks; fingerprints hold all marks, hashes and positions (see
+    read_marks). A null doc_id sorts below all others,
     equal doc_ids by text, descending. Other columns are ignored; an empty table gives no rows.
 
-    One shuffle by ranges of doc_id; the first row of each range is also sent to the range before, whose last row needs it, so no row
-    is looked up and no global window runs in one task. A task holds two texts at a time.
+    One shuffle by ranges of doc_id, each its own partition; the largest doc_id of each range is also sent to the range above, whose last row needs it, so no row
+    is looked up and no window over documents runs in one task. A task holds two texts at a time.
     """
-    spark = docs.sparkSession
+    if not 0 < window < 1 << 16:
+        raise ValueError("a window is of 1 to 65535 hashes")
     lowest = -(1 << 63)
     source = docs.select(F.col("doc_id").cast("long").alias("own"), F.coalesce(F.col("doc_id").cast("long"), F.lit(lowest)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    parts = parts or 3 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts, tops = _ranges(spark, source, parts)
-    order = sorted(tops)
-    part = _range_of(cuts)
-    target = F.array(F.struct(part.alias("part"), F.lit(0).alias("peek")))
-    if order:
-        before = F.create_map(*[F.lit(x) for i, p in enumerate(order) for x in (p, order[i - 1])])
-        top = F.create_map(*[F.lit(x).cast("long") if j else F.lit(x) for p in order for j, x in enumerate((p, tops[p]))])
-        extra = F.array(F.struct(before[part].alias("part"), F.lit(1).alias("peek")))
-        target = F.when(top[part] == F.col("doc_id"), F.concat(target, extra)).otherwise(target)
+    parts = parts or 3 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = _in_ranges(source, parts)
+    # a row per range: its largest doc_id, and the next range above (of the last: the first), which needs that document's text; at most `parts` rows, one window over them
+    up = W.partitionBy(F.lit(1)).orderBy("part")
+    tops = placed.groupBy("part").agg(F.max("doc_id").alias("top"))
+    first = F.first("part").over(up.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    heads = tops.select("top", F.coalesce(F.lead("part").over(up), first).alias("above"))
+    own = F.struct(F.col("part"), F.lit(0).alias("peek"))
+    extra = F.struct(F.col("above").alias("part"), F.lit(1).alias("peek"))
+    target = F.when(F.col("above").isNull(), F.array(own)).otherwise(F.array(own, extra))
     dealt = (
-        source.withColumn("to", F.explode(target)).select("own", "doc_id", "text", "to.part", "to.peek")
-        .repartition(parts, "part").sortWithinPartitions("part", "peek", F.desc("doc_id"), F.desc("text"))
+        placed.join(F.broadcast(heads), F.col("doc_id") == F.col("top"), "left").withColumn("to", F.explode(target)).select("own", "doc_id", "text", "to.part", "to.peek")
+        .repartitionById(parts, F.col("part")).sortWithinPartitions("part", "peek", F.desc("doc_id"), F.desc("text"))
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +174,7 @@ def edited_likeness(docs: DataFrame, k: int = K, window: int = WINDOW, parts: in
 
         def seen(own, part, text):
             h, p = marks(codes := code_points(text), k, window)
-            return own, part, text, len(codes), tally(h), digest(h, p), len(h)
+            return own, part, text, len(codes), tally(h), written(h, p), len(h)
 
         for batch in batches:
             for own, text, part, peek in zip(*(batch.column(c).to_pylist() for c in ("own", "text", "part", "peek")), strict=True):
@@ -166,7 +186,7 @@ def edited_likeness(docs: DataFrame, k: int = K, window: int = WINDOW, parts: in
                     cut = n // 3
                     edited = old[: n - cut] + text[:cut]
                     h, p = marks(code_points(edited), k, window)
-                    rows.append((last[0], n, hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), print_, digest(h, p), likeness(hashes, tally(h)), likeness(hashes, now[4]), count))
+                    rows.append((last[0], n, hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), print_, written(h, p), likeness(hashes, tally(h)), likeness(hashes, now[4]), count))
                 last = None if peek else now
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)

@@ -181,10 +181,11 @@ def test_shared_run_has_a_shared_mark():
         assert set(a.tolist()) & set(b.tolist())
 
 
-def test_edits_follow_the_next_document(spark, sf):
+@pytest.mark.parametrize("parts", [1, 7, 400])
+def test_edits_follow_the_next_document(spark, sf, parts):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = sorted(((r.doc_id, r.text or "") for r in docs.collect()), reverse=True)
-    got = {r.doc_id: r for r in winnow.edited_likeness(docs, parts=7).collect()}
+    got = {r.doc_id: r for r in winnow.edited_likeness(docs, parts=parts).collect()}
     assert len(got) == len(rows)
     for n, (i, t) in enumerate(rows):
         after = rows[(n + 1) % len(rows)][1]
@@ -192,7 +193,7 @@ def test_edits_follow_the_next_document(spark, sf):
         edited = t[: len(t) - cut] + after[:cut]
         r = got[i]
         assert r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-        assert r.fingerprint == winnow.digest(*winnow.marks(winnow.code_points(t))) and r.edited_fingerprint == winnow.digest(*winnow.marks(winnow.code_points(edited)))
+        assert all((x == y).all() for f, whole in ((r.fingerprint, t), (r.edited_fingerprint, edited)) for x, y in zip(winnow.read_marks(f), winnow.marks(winnow.code_points(whole)), strict=True))
         tally = lambda x: winnow.tally(winnow.marks(winnow.code_points(x))[0])
         assert r.near_edited == winnow.likeness(tally(t), tally(edited)) and r.near_next == winnow.likeness(tally(t), tally(after))
 
@@ -279,6 +280,28 @@ def test_decontamination_equals_full_search(spark, sf):
     assert {r.doc_id for r in left.collect()} == {r.doc_id for r in docs.collect()} - {i for i, _ in got}
 
 
+def test_short_items_are_whole_clauses(spark):
+    bench = spark.createDataFrame([(1, "Yes."), (2, "forty two"), (3, "one two three four")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "Is it? Yes! Or so"), (2, "yes it is"), (3, "The answer:\nForty, two\nis known"), (4, "forty two trees"), (5, "a\none. two! Three four\nb"), (6, None), (7, "so: one two three four")], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.score, r.last_word) for r in decontam.contaminated(docs, bench).collect()}
+    assert got == {(1, 1): (1.0, 3), (3, 2): (1.0, 4), (5, 3): (1.0, 5), (7, 3): (1.0, 5)}
+
+
+def test_common_runs_are_no_seeds_unless_the_item_has_no_others(spark):
+    """A run of words in every document; an item with other words beside it, and one of common runs alone."""
+    docs = [(i, f"it is known that everybody says so d{i} e{i} f{i}") for i in range(400)]
+    docs += [(1000, "alpha beta gamma it is known that delta epsilon zeta eta theta")]
+    items = [(1, "alpha beta gamma it is known that delta epsilon zeta eta theta"), (2, "it is known that everybody says so")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    own = decontam.items_of(bench, 5)
+    source = frame.withColumn("row", F.xxhash64("doc_id"))
+    seeds = {(r.item_id, r["at"]) for r in decontam.seeds_of(own, decontam.occurrences(source, own), 401).collect()}
+    assert {(1, 0), (1, 1), (1, 7), (1, 9)} <= seeds and not {(1, 3), (1, 4)} & seeds and {at for i, at in seeds if i == 2} == set(range(5))
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(frame, bench).collect()}
+    assert got == {(1000, 1), (1000, 2)} | {(i, 2) for i in range(400)}
+
+
 def test_decontamination_awkward_rows(spark):
     docs = awkward(spark)
     bench = spark.createDataFrame([(1, "one two three four five six seven eight"), (1, "one two three four five six seven eight"), (None, None), (3, "")], "item_id long, text string")
