@@ -1,9 +1,9 @@
 """Toxicity: a support vector machine with a gapped subsequence string kernel, made linear by Nyström landmarks.
 
-Two words are alike by the letter triples that both hold in order, gaps allowed and discounted, so an insult with letters put in or between still is like
-itself. Landmarks are words that tell toxic training documents from others, and harmless words most like them. A sentence is the sum of its words'
-likenesses to the landmarks, whitened; a linear machine is trained on the sentences of labelled documents. Documents are judged by the
-sum and the share of what their words add to it, through a logistic curve fitted on training documents that the machine hasn't seen.
+Two words are alike by the letter triples that both hold in order, gaps allowed and discounted (up to two letters passed over within a gap, GAPS lists which), so an insult
+with letters put in or between still is like itself. Landmarks are words that tell toxic training documents from others, and harmless words most like them. A sentence is
+the sum of its words' likenesses to the landmarks, whitened; a linear machine is trained on the sentences of labelled documents. A document is judged by the machine's
+decisions on its sentences, the highest and the sum of those above zero, through a logistic curve fitted on training documents that the machine hasn't seen.
 """
 
 from __future__ import annotations
@@ -17,23 +17,29 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from penumbra.llm.common import per_worker
 
-#: The most toxic and other documents that training reads, and the landmarks of each kind.
-TOXIC, OTHERS = 2000, 3000
+#: The most toxic and other documents that training reads, and the most characters of them, whole texts as long as there is room.
+TOXIC, OTHERS, CHARACTERS = 2000, 3000, 50_000_000
+#: The landmarks of each kind.
 LANDMARKS, HARMLESS = 96, 32
 #: Gaps between the letters of a triple (1: none), the discount for each letter passed over, buckets for triples, the power of the kernel.
 GAPS, DISCOUNT, BUCKETS, POWER = ((1, 1), (1, 2), (2, 1), (2, 2), (1, 3), (3, 1)), 0.6, 1 << 13, 3
 #: Likenesses below this count as none, which spares most words the whole kernel.
 FLOOR = 0.3
-SENTENCE = re.compile(r"[.!?\n]+")
+#: Marks that end a sentence with the word they stand at; a sentence of more words than this goes on as a new one.
+ENDS, SENTENCE = (".", "!", "?"), 50
 SPELLED = re.compile(r"(?:^|\s)\S(?:\s+\S){3}(?=\s|$)")
 EDGE = "\x02\x03"  # stand for a word's begin and end
+#: What a document is judged by: see Model.decisions.
+JUDGED = 3
 #: Odd factors that spread letters over buckets.
 SPREAD = np.array([0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
-LONGEST = 40  # letters of a word that the kernel looks at
+#: The kernel looks at words of more letters by overlapping pieces: PIECE letters from each STEP-th on.
+LONGEST, PIECE, STEP = 40, 16, 4
 
 
 def unit(word: str) -> str:
@@ -59,9 +65,27 @@ def units(text: str) -> list[str]:
     return out
 
 
+def sentence_starts(tokens: list[str]) -> list[int]:
+    """Where sentences begin, the first at 0; none in an empty list."""
+    starts, begin = [], 0
+    for i, t in enumerate(tokens, 1):
+        if t.endswith(ENDS) or i - begin >= SENTENCE:
+            starts.append(begin)
+            begin = i
+    if begin < len(tokens):
+        starts.append(begin)
+    return starts
+
+
+def pieces(word: str) -> list[str]:
+    """The word, or what the kernel looks at of a longer one: every run of PIECE - STEP letters is within a piece."""
+    if len(word) <= LONGEST:
+        return [word]
+    return [word[i : i + PIECE] for i in range(0, len(word) - PIECE + STEP, STEP)]
+
+
 def triples(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word, bucket, weight) of all gapped triples, in no order; each word's weights have length 1."""
-    words = [w[:LONGEST] for w in words]
     sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
     flat = np.frombuffer((EDGE[0] + (EDGE[1] + EDGE[0]).join(words) + EDGE[1]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     owner = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
@@ -152,56 +176,77 @@ def fit_machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 5
 
 
 class Values(dict):
-    """What words add to a document's toxicity; a word not met before is not a number."""
+    """What words add to the machine's decision; a word not met before is not a number."""
 
     def __missing__(self, word):
         return math.nan
 
 
 class Model:
-    """What scoring needs: a value per word, and the curve that turns a document's sums into a probability."""
+    """What scoring needs: a value per word, the machine's bias, and the curve that turns a document's decisions into a probability."""
+
+    #: Words whose values are kept, of up to LONGEST characters.
+    MOST = 400_000
 
-    def __init__(self, table, ceiling, weights, curve, prior):
-        self.table, self.ceiling, self.weights, self.curve, self.prior = table, ceiling, weights, curve, prior
+    def __init__(self, table, weights, bias, curve, prior):
+        self.table, self.weights, self.bias, self.curve, self.prior = table, weights, bias, curve, prior
+        self.ceiling = None if table is None else table.max(axis=1)
         self.values, self.units = Values(), Values()
 
-    def learn(self, words: set[str]) -> None:
-        """Fills in the values of words; forgets all when there are very many."""
-        if len(self.values) > 800_000:
+    def plain(self) -> tuple:
+        """All that a task needs to make the model again."""
+        return self.table, self.weights, self.bias, self.curve, self.prior
+
+    def valued(self, words: list[str]) -> dict[str, float]:
+        """The values of units: of a long one, that of its piece with the highest."""
+        out = dict.fromkeys(words, 0.0)
+        owners, parts = [], []
+        for w in words:
+            if len(w) >= 3:
+                cut = pieces(w)
+                parts += cut
+                owners += [w] * len(cut)
+        for i in range(0, len(parts), 10_000):
+            at, near = kernel(parts[i : i + 10_000], self.table, self.ceiling)
+            for j, value in zip(at.tolist(), (near @ self.weights).tolist(), strict=True):
+                w = owners[i + j]
+                out[w] = value if len(w) <= LONGEST else max(out[w], value)
+        return out
+
+    def learn(self, words: set[str]) -> dict[str, float]:
+        """The values of words not met before; keeps those of short ones, and forgets all when there are very many."""
+        if len(self.values) > self.MOST:
             self.values.clear()
             self.units.clear()
         plain = {w: unit(w) for w in words}
-        new = [u for u in set(plain.values()) if u not in self.units]
-        self.units.update(dict.fromkeys(new, 0.0))
-        new = [u for u in new if len(u) >= 3]
-        for i in range(0, len(new), 10_000):
-            at, near = kernel(new[i : i + 10_000], self.table, self.ceiling)
-            for j, value in zip(at.tolist(), (near @ self.weights).tolist(), strict=True):
-                self.units[new[i + j]] = value
-        self.values.update({w: self.units[u] for w, u in plain.items()})
-
-    def sums(self, texts: list[list[str]]) -> np.ndarray:
-        """A row for each text: two sums of what its words add, and whether that is nothing."""
+        new = self.valued([u for u in set(plain.values()) if u not in self.units])
+        self.units.update({u: v for u, v in new.items() if len(u) <= LONGEST})
+        found = {w: new[u] if u in new else self.units[u] for w, u in plain.items()}
+        self.values.update({w: v for w, v in found.items() if len(w) <= LONGEST})
+        return found
+
+    def decisions(self, texts: list[list[str]]) -> np.ndarray:
+        """A row for each text: the highest decision on a sentence, and the sum of those above zero, as it is and by the text's length."""
         found = [np.fromiter(map(self.values.__getitem__, w), float, len(w)) for w in texts]
         gaps = [np.flatnonzero(np.isnan(v)).tolist() for v in found]
-        self.learn({w[j] for w, at in zip(texts, gaps, strict=True) for j in at})
-        out = np.empty((len(texts), 3))
+        new = self.learn({w[j] for w, at in zip(texts, gaps, strict=True) for j in at})
+        out = np.zeros((len(texts), JUDGED))
+        out[:, 0] = self.bias
         for n, (w, v, at) in enumerate(zip(texts, found, gaps, strict=True)):
             if at:
-                v[at] = [self.values[w[j]] for j in at]
-            total = float(np.minimum(v[v > 0.15], 2.0).sum())
-            out[n] = np.log1p(total), np.log1p(200 * total / max(20, len(w))), total == 0
+                v[at] = [new[w[j]] for j in at]
+            if v.any():
+                by_sentence = np.add.reduceat(v, sentence_starts(w)) + self.bias
+                total = float(np.maximum(by_sentence, 0).sum())
+                out[n] = by_sentence.max(), np.log1p(total), np.log1p(200 * total / max(20, len(w)))
         return out
 
     def scores(self, texts: list[list[str]]) -> np.ndarray:
         if self.table is None:
             return np.full(len(texts), self.prior)
-        z = self.sums(texts) @ self.curve[:3] + self.curve[3]
+        z = self.decisions(texts) @ self.curve[:JUDGED] + self.curve[JUDGED]
         return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
-    def __getstate__(self):
-        return self.__dict__ | {"values": Values(), "units": Values()}
-
 
 def fit_toxicity(rows: list[tuple[str, int, int]], counts: tuple[int, int]) -> Model:
     """rows: (text, toxic 0 or 1, part 0 or 1); counts: the labelled documents of each class, for the natural share.
@@ -210,15 +255,15 @@ def fit_toxicity(rows: list[tuple[str, int, int]], counts: tuple[int, int]) -> M
     """
     prior = (counts[1] + 0.5) / (sum(counts) + 1)
     if len({y for _, y, _ in rows}) < 2:
-        return Model(None, None, None, None, prior)
+        return Model(None, None, 0.0, None, prior)
     split = [[r for r in rows if r[2] == p] for p in (0, 1)]
     if any(sum(y == c for _, y, _ in part) < 4 for part in split for c in (0, 1)):
         split = [rows, rows]
-    sentences = [([s for s in SENTENCE.split(t) if s.strip()], y) for t, y, _ in split[0]]
-    sets = [[set(map(unit, units(t))) for t, y, _ in split[0] if y == c] for c in (0, 1)]
+    documents = [(units(t), y) for t, y, _ in split[0]]
+    sets = [[set(map(unit, w)) for w, y in documents if y == c] for c in (0, 1)]
     landmarks = pick_landmarks(sets)
     if not landmarks:
-        return Model(None, None, None, None, prior)
+        return Model(None, None, 0.0, None, prior)
     table = landmark_table(landmarks)
     ceiling = table.max(axis=1)
     # whitening: likenesses among the landmarks to the power -1/2
@@ -227,15 +272,15 @@ def fit_toxicity(rows: list[tuple[str, int, int]], counts: tuple[int, int]) -> M
     values, vectors = np.linalg.eigh(gram**POWER)
     whiten = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 0.05))) @ vectors.T
     known: dict[str, np.ndarray] = {}
-    vocabulary = sorted(set().union(*sets[0], *sets[1]))
-    vocabulary = [w for w in vocabulary if len(w) >= 3]
+    vocabulary = [w for w in sorted(set().union(*sets[0], *sets[1])) if 3 <= len(w) <= LONGEST]
     for i in range(0, len(vocabulary), 20_000):
         at, near = kernel(vocabulary[i : i + 20_000], table, ceiling)
         known.update({vocabulary[i + j]: near[n] for n, j in enumerate(at.tolist())})
     x, y = [], []
-    for parts, label in sentences:
-        for s in parts:
-            hit = [known[u] for u in map(unit, units(s)) if u in known]
+    for tokens, label in documents:
+        starts = sentence_starts(tokens)
+        for begin, end in zip(starts, [*starts[1:], None], strict=False):
+            hit = [known[u] for u in map(unit, tokens[begin:end]) if u in known]
             if hit:
                 x.append(np.sum(hit, axis=0))
                 y.append(2 * label - 1)
@@ -245,28 +290,28 @@ def fit_toxicity(rows: list[tuple[str, int, int]], counts: tuple[int, int]) -> M
     x, y = np.array(x, float) @ whiten, np.array(y, float)
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
     w, b = fit_machine(x, y, weight)
-    model = Model(table, ceiling, (whiten @ w).astype(np.float32), np.zeros(4), prior)
-    z = model.sums([units(t) for t, _, _ in split[1]])
+    model = Model(table, (whiten @ w).astype(np.float32), b, np.zeros(JUDGED + 1), prior)
+    z = model.decisions([units(t) for t, _, _ in split[1]])
     label = np.array([y for _, y, _ in split[1]], float)
     # rows stand for as many as their class has
     share = np.where(label > 0, counts[1] / max(1, label.sum()), counts[0] / max(1, (1 - label).sum()))
     share /= share.sum()
-    curve, m, v = np.zeros(4), np.zeros(4), np.zeros(4)
+    curve, m, v = (np.zeros(JUDGED + 1) for _ in range(3))
     z1 = np.c_[z, np.ones(len(z))]
     for t in range(1, 3001):
-        g = z1.T @ (share * (1 / (1 + np.exp(-np.clip(z1 @ curve, -50, 50))) - label)) + 1e-4 * curve * [1, 1, 1, 0]
+        g = z1.T @ (share * (1 / (1 + np.exp(-np.clip(z1 @ curve, -50, 50))) - label)) + 1e-4 * curve * ([1] * JUDGED + [0])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         curve = curve - 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-10)
     model.curve = curve
     return model
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, others: int = OTHERS, predict_from: float = 0.3) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, others: int = OTHERS, characters: int = CHARACTERS, predict_from: float = 0.3) -> DataFrame:
     """Returns (doc_id, held_out, score, predicted) for every row of docs (doc_id, text), from labels (doc_id, toxic).
 
     Labels of rows whose crc32(doc_id as text) mod 4 is 2 are never read for learning. Of the others, at most `toxic` toxic and
-    `others` other documents, chosen by a hash of doc_id, train the model on the driver; null labels are no labels, of several labels of a document the highest
-    counts. A null or empty text has no toxic words and gets the score of such texts; a null doc_id counts as empty text. Other columns are ignored; repeated rows are scored
+    `others` other documents, chosen by a hash of doc_id, train the model on the driver, and of these, in that order, as many as have `characters` characters together;
+    null labels are no labels, of several labels of a document the highest counts, and of several texts of a labelled doc_id a shortest. A null or empty text has no toxic words and gets the score of such texts; a null doc_id counts as empty text. Other columns are ignored; repeated rows are scored
     alike; an empty table gives no rows.
     """
     spark = docs.sparkSession
@@ -278,16 +323,25 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, other
     # ids of a bounded sample: at most `toxic` + `others` rows, which bounds what is broadcast
     picked = known.filter("toxic = 1").orderBy(order, "doc_id").limit(toxic).union(known.filter("toxic = 0").orderBy(order, "doc_id").limit(others))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    sample = texts.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").select("text", "toxic", F.pmod(F.shiftright(order, 20), F.lit(2)).cast("int").alias("part")).toArrow()
+    chosen = texts.join(F.broadcast(picked), "doc_id")
+    # how long their texts are, a row per document: toxic and others in turn, so that both have room
+    sizes_of = chosen.groupBy("doc_id", "toxic").agg(F.min(F.length("text")).alias("n")).withColumn("turn", F.row_number().over(W.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")))
+    until = F.sum("n").over(W.partitionBy(F.lit(1)).orderBy("turn", "toxic").rowsBetween(W.unboundedPreceding, 0))
+    fitting = sizes_of.withColumn("until", until).filter(F.col("until") <= characters).select("doc_id", "toxic", "n")
+    sample = (
+        texts.join(F.broadcast(fitting), "doc_id").filter(F.length("text") == F.col("n")).groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+        .orderBy("doc_id").select("text", "toxic", F.pmod(F.shiftright(order, 20), F.lit(2)).cast("int").alias("part")).toArrow()
+    )
     rows = list(zip(*(sample.column(c).to_pylist() for c in ("text", "toxic", "part")), strict=True))
-    model = spark.sparkContext.broadcast(fit_toxicity(rows, (sizes.get(0, 0), sizes.get(1, 0))))
+    # arrays alone travel, so executors need no copy of this module to read them
+    model = spark.sparkContext.broadcast(fit_toxicity(rows, (sizes.get(0, 0), sizes.get(1, 0))).plain())
     name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # one model at a time, with the words it has met in this worker's tasks so far
         kept = per_worker("toxicity", dict)
         if kept.get("name") != name:
-            kept.update(name=name, model=model.value)
+            kept.update(name=name, model=Model(*model.value))
         own = kept["model"]
         for whole in batches:
             for at in range(0, whole.num_rows, 500):

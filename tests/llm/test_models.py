@@ -359,6 +359,60 @@ def test_units_see_through_marks_and_spaces():
     assert toxicity.unit("Id-i.ot!") == "idiot" and toxicity.units("") == []
 
 
+def test_long_words_are_seen_whole():
+    """An insult far behind the 40th letter of a run-together word adds as much as behind the 20th; every run of a piece's letters less a step is in one piece."""
+    word = "abcdefghijklmnopqrstuvwxyz" * 8
+    for size in (41, 57, 100, 208):
+        cut = toxicity.pieces(word[:size])
+        runs = {p[i : i + toxicity.PIECE - toxicity.STEP] for p in cut for i in range(len(p))}
+        assert all(word[i : i + toxicity.PIECE - toxicity.STEP] in runs for i in range(size - toxicity.PIECE + toxicity.STEP + 1))
+    rows = [(f"you are an idiot number {i}. go away", 1, i % 2) for i in range(40)] + [(f"the tree stands by house {i}. it is green", 0, i % 2) for i in range(40)]
+    model = toxicity.fit_toxicity(rows, (40, 40))
+    junk = "qzwxvkjh" * 12
+    near, far, none = model.valued([junk[:24] + "idiot" + junk[:16], junk + "idiot" + junk, junk + junk]).values()
+    assert far == pytest.approx(near, abs=0.05) and far > none + 0.05
+
+
+def test_scores_are_the_machines_decisions(spark):
+    """Scores of the query against a plain version: likenesses letter by letter, sums by sentence, the bias, and the curve."""
+    rng = random.Random(3)
+    harmless = "tree house river walk green stone path light the a of and is".split()
+    insults = ["idiot", "ixdiot", "moron", "clown", "i d i o t"]
+    rows = []
+    for i in range(240):
+        w = [rng.choice(harmless) for _ in range(rng.randint(4, 30))]
+        if i % 4 == 0:
+            w.insert(rng.randrange(len(w)), rng.choice(insults))
+        text = " ".join(w)
+        rows.append((i, text.replace(" and ", ". And ") + rng.choice([".", "!", ""]), int(i % 4 == 0)))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.score_toxicity(docs, labels).collect()}
+    learned = [(i, t, y) for i, t, y in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    part = {r.doc_id: r.p for r in docs.select("doc_id", F.pmod(F.shiftright(F.xxhash64("doc_id"), 20), F.lit(2)).alias("p")).collect()}
+    counts = (sum(y == 0 for *_, y in learned), sum(y for *_, y in learned))
+    model = toxicity.fit_toxicity([(t, y, part[i]) for i, t, y in learned], counts)
+    marks = toxicity.pick_landmarks([[set(map(toxicity.unit, toxicity.units(t))) for i, t, y in learned if part[i] == 0 and y == c] for c in (0, 1)])
+
+    def value(word):
+        likes = [plain_kernel(word, m) for m in marks] if len(word) >= 3 else []
+        return sum(k**toxicity.POWER * w for k, w in zip(likes, model.weights, strict=False) if k >= toxicity.FLOOR)
+
+    for i, t, _ in rows:
+        decided, now = [], []
+        for token in toxicity.units(t):
+            now.append(value(toxicity.unit(token)))
+            if token[-1] in ".!?":
+                decided.append(sum(now) + model.bias)
+                now = []
+        decided += [sum(now) + model.bias] if now else []
+        total = sum(max(0, d) for d in decided)
+        z = np.dot([max(decided), math.log1p(total), math.log1p(200 * total / max(20, len(toxicity.units(t))))], model.curve[:3]) + model.curve[3]
+        assert got[i].score == pytest.approx(1 / (1 + math.exp(-z)), abs=0.03)
+    held = [(got[i].predicted, y) for i, _, y in rows if got[i].held_out]
+    assert sum(p == y for p, y in held) / len(held) > 0.95
+
+
 def test_toxicity_on_held_out_documents(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
