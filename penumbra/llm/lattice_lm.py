@@ -1,13 +1,14 @@
 """Language-model scores by subword lattices: the probability of a text is summed over all its segmentations.
 
 Words are spelled with the pieces of an existing vocabulary (a sentencepiece model), the first with the word mark; a word's lattice has an edge for each
-piece that fits, one for the bytes of each character, so that no text has probability 0, and one over the whole word if training has it. The
-probability of a word is the sum over all paths, found with a forward recursion in log space; a text's is the product over its words and its end.
+piece that fits and one for the bytes of each character, so that no text has probability 0. The probability of a word is the sum over all paths, found with a
+forward recursion in log space; a text's is the product over its words and its end. A text is thus a run of pieces, drawn one by one from one distribution with the end in it.
 
-The vocabulary's own scores are merge ranks, not probabilities: the pieces' probabilities are counts of its own segmentation of all distinct
-training words, followed by rounds of expectation maximisation over their lattices. The edge over a whole word has its training count less a discount, which is
-estimated from how many words occur once and twice; the pieces share what is discounted. All probabilities sum to one. Word counts and expected piece
-counts come from all training rows, by shuffles.
+The vocabulary's own scores are merge ranks, not probabilities: the pieces' probabilities are counts of its own segmentation of the training words, each as often as it
+occurs, followed by rounds of expectation maximisation over their lattices. Word counts and expected piece counts come from all training rows, by shuffles.
+
+Beside that score, word_score is that of a lattice in which every training word is an edge of its own: it has its training count less a discount, which is
+estimated from how many words occur once and twice; the pieces share what is discounted.
 """
 
 from __future__ import annotations
@@ -51,14 +52,15 @@ class Pieces:
         self.longest = max(map(len, self.ids))
         self.known = sorted({*self.ids.values(), *self.bytes.values()})
 
-    def log_probabilities(self, counts: dict[int, float]) -> np.ndarray:
-        """Natural logs by id, with -inf at the end for ids of -1."""
+    def log_probabilities(self, counts: dict[int, float], ends: float = 0.0) -> tuple[np.ndarray, float]:
+        """Natural logs by id, with -inf at the last place for ids of -1, and that of the end, of which there were `ends`."""
         p = np.zeros(self.size + 1)
         p[self.known] = SMOOTH
         for i, c in counts.items():
             p[i] += c
+        total = p.sum() + ends + SMOOTH
         with np.errstate(divide="ignore"):
-            return np.log(p / p.sum())
+            return np.log(p / total), math.log((ends + SMOOTH) / total)
 
 
 def lattices(group: list[str], pieces: Pieces, logs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -90,8 +92,8 @@ def lattices(group: list[str], pieces: Pieces, logs: np.ndarray) -> tuple[np.nda
     return ids, edge, raw, alpha
 
 
-def expected_counts(group: list[str], pieces: Pieces, logs: np.ndarray) -> np.ndarray:
-    """How often each piece is used in spelling the words, over all segmentations by their probability."""
+def expected_counts(group: list[str], times: np.ndarray, pieces: Pieces, logs: np.ndarray) -> np.ndarray:
+    """How often each piece is used in spelling the words, each as often as times says, over all segmentations by their probability."""
     ids, edge, raw, alpha = lattices(group, pieces, logs)
     rows, n, width = ids.shape
     beta = np.full((rows, n + 1), -np.inf)
@@ -103,10 +105,10 @@ def expected_counts(group: list[str], pieces: Pieces, logs: np.ndarray) -> np.nd
     out = np.zeros(pieces.size)
     total = alpha[:, n]
     for k in range(1, width + 1):
-        p = np.exp(alpha[:, : n - k + 1] + edge[:, : n - k + 1, k - 1] + beta[:, k:] - total[:, None])
+        p = np.exp(alpha[:, : n - k + 1] + edge[:, : n - k + 1, k - 1] + beta[:, k:] - total[:, None]) * times[:, None]
         at = ids[:, : n - k + 1, k - 1]
         out += np.bincount(at[at >= 0], p[at >= 0], minlength=pieces.size)
-    p = np.exp(alpha[:, :n] + raw + beta[:, 1:] - total[:, None])
+    p = np.exp(alpha[:, :n] + raw + beta[:, 1:] - total[:, None]) * times[:, None]
     for r, c in zip(*np.nonzero(p > 1e-9), strict=True):
         for b in group[r][c - 1].encode("utf-8", "surrogatepass"):
             out[pieces.bytes[b]] += p[r, c]
@@ -152,32 +154,34 @@ def word_counts(source: DataFrame) -> DataFrame:
 
 
 def piece_counts(counts: DataFrame, model_file: str, logs: np.ndarray | None) -> dict[int, float]:
-    """Counts of pieces in the words of counts (word), each word once: of the vocabulary's own segmentation, or expected ones under logs. As many as pieces."""
+    """Counts of pieces in the words of counts (word, c): of the vocabulary's own segmentation, or expected ones under logs. As many as pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(model_file)
         total = np.zeros(pieces.size)
         for batch in batches:
-            raw = batch.column("word").to_pylist()
+            raw, times = batch.column("word").to_pylist(), batch.column("c").to_numpy(zero_copy_only=False).astype(float)
             if logs is None:
                 ids = pieces.model.encode([w.decode("utf-8", "surrogatepass") for w in raw], num_threads=1)
-                total += np.bincount(np.fromiter(chain.from_iterable(ids), np.int64), minlength=pieces.size)
+                sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+                total += np.bincount(np.fromiter(chain.from_iterable(ids), np.int64), np.repeat(times, sizes), minlength=pieces.size)
             else:
-                for _, group in by_length(raw):
-                    total += expected_counts(group, pieces, logs)
+                for at, group in by_length(raw):
+                    total += expected_counts(group, times[at], pieces, logs)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.float64())], names=["piece", "n"])
 
-    rows = counts.select("word").mapInArrow(run, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
+    rows = counts.select("word", "c").mapInArrow(run, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
     return {r["piece"]: r["n"] for r in rows}
 
 
-def lattice_scores(docs: DataFrame, model_file: str, rounds: int = 1) -> DataFrame:
-    """Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs (doc_id, text).
+def lattice_scores(docs: DataFrame, model_file: str, rounds: int = 2) -> DataFrame:
+    """Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, word_score for every row of docs (doc_id, text).
 
     Rows whose crc32(doc_id as text) mod 10 is 0 are held out of learning (a null doc_id counts as empty text). Tokens are the words, lower-cased A-Z and
-    split at ASCII white space, and an end. score is the log10 probability of the text under the model above, base_score under the smoothed
-    unigram frequencies of words. A null or empty text is the end alone. Without training rows the pieces are equally likely and the end is certain. Repeated rows are rows of their own;
+    split at ASCII white space, and an end. score is the log10 probability of the text, summed over all segmentations into pieces; word_score that with training words as
+    edges of their own; base_score that under the smoothed unigram frequencies of words. A null or empty text is the end alone. Without training rows the pieces and the end
+    are equally likely. Repeated rows are rows of their own;
     other columns are ignored; an empty table gives no rows.
 
     Head words (at most HEAD, by their share of all tokens) are looked up in the tasks that read the texts; only
@@ -192,13 +196,13 @@ def lattice_scores(docs: DataFrame, model_file: str, rounds: int = 1) -> DataFra
     tokens, kinds = (row["n"] or 0) + trained, row["v0"] + (trained > 0)
     discount = (row["v1"] + 0.5) / (row["v1"] + 2 * row["v2"] + 1)
     shared_part = math.log(discount * row["v0"] / tokens) if row["v0"] else 0.0
-    logs = Pieces(model_file).log_probabilities({})
+    logs, end_log = Pieces(model_file).log_probabilities({})
     if row["v0"]:
         for step in range(rounds + 1):
-            logs = Pieces(model_file).log_probabilities(piece_counts(counts.filter("c > 0"), model_file, logs if step else None))
+            logs, end_log = Pieces(model_file).log_probabilities(piece_counts(counts.filter("c > 0"), model_file, logs if step else None), trained)
     space = tokens + 0.1 * (kinds + 1)
     base = lambda c: np.log10((c + 0.1) / space)
-    end_base, end_score = float(base(trained)), math.log10(trained / tokens) if trained else 0.0
+    end_base, end_score, end_word = float(base(trained)), end_log / LN10, math.log10(trained / tokens) if trained else 0.0
 
     def score_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Pieces(model_file)
@@ -209,22 +213,22 @@ def lattice_scores(docs: DataFrame, model_file: str, rounds: int = 1) -> DataFra
                 out[at] = lattices(group, own, logs)[3][:, -1]
             with np.errstate(divide="ignore"):
                 whole = np.log(np.maximum(c.to_numpy(zero_copy_only=False) - discount, 0) / max(1, tokens))
-            out = np.logaddexp(whole, out + shared_part) / LN10
-            yield pa.RecordBatch.from_arrays([batch.column("word"), c, pa.array(base(c.to_numpy(zero_copy_only=False))), pa.array(out)], names=["word", "c", "base", "score"])
+            mixed = np.logaddexp(whole, out + shared_part) / LN10
+            yield pa.RecordBatch.from_arrays([batch.column("word"), c, pa.array(base(c.to_numpy(zero_copy_only=False))), pa.array(out / LN10), pa.array(mixed)], names=["word", "c", "base", "score", "mixed"])
 
-    scored = stored(counts.mapInArrow(score_words, "word binary, c long, base double, score double"), "word-scores")
+    scored = stored(counts.mapInArrow(score_words, "word binary, c long, base double, score double, mixed double"), "word-scores")
     least = max(1, math.ceil(tokens / HEAD))
     head = scored.filter(F.col("c") > least).toArrow()
-    shared = spark.sparkContext.broadcast((head.column("word").to_pylist(), head.column("base").to_numpy(), head.column("score").to_numpy()))
+    shared = spark.sparkContext.broadcast((head.column("word").to_pylist(), *(head.column(c).to_numpy() for c in ("base", "score", "mixed"))))
 
     class Places(dict):
         def __missing__(self, word):
             return -1
 
     def score_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        listed, head_base, head_score = shared.value
+        listed, head_base, head_score, head_mixed = shared.value
         places = Places(zip(listed, range(len(listed)), strict=True))
-        names = ["doc_id", "row", "held_out", "word", "n", "n_tokens", "n_known", "base_score", "score"]
+        names = ["doc_id", "row", "held_out", "word", "n", "n_tokens", "n_known", "base_score", "score", "word_score"]
         for whole in batches:
             for start in range(0, whole.num_rows, 1000):
                 batch = whole.slice(start, 1000)
@@ -234,28 +238,28 @@ def lattice_scores(docs: DataFrame, model_file: str, rounds: int = 1) -> DataFra
                     at = np.fromiter(map(places.__getitem__, w), np.int64, len(w))
                     tail = Counter([w[j] for j in np.flatnonzero(at < 0).tolist()])
                     at = at[at >= 0]
-                    sums.append((len(w) + 1, len(at) + (trained > 0), head_base[at].sum() + end_base, head_score[at].sum() + end_score))
+                    sums.append((len(w) + 1, len(at) + (trained > 0), head_base[at].sum() + end_base, head_score[at].sum() + end_score, head_mixed[at].sum() + end_word))
                     rest += tail.keys()
                     times += tail.values()
                     owners += [i] * len(tail)
                 own, m = batch.num_rows, len(rest)
                 which = pa.array(owners, pa.int64())
                 pad = lambda x, t: pa.concat_arrays([pa.array(x, t), pa.nulls(m, t)])  # noqa: E731, B023
-                n_tokens, n_known, bases, scores = zip(*sums, strict=True)
+                n_tokens, n_known, *scores = zip(*sums, strict=True)
                 both = lambda c: pa.concat_arrays([batch.column(c), batch.column(c).take(which)])  # noqa: E731, B023
                 yield pa.RecordBatch.from_arrays(
-                    [both("doc_id"), both("row"), both("held_out"), pa.concat_arrays([pa.nulls(own, pa.binary()), pa.array(rest, pa.binary())]), pa.concat_arrays([pa.array([1] * own, pa.int64()), pa.array(times, pa.int64())]), pad(n_tokens, pa.int64()), pad(n_known, pa.int64()), pad(bases, pa.float64()), pad(scores, pa.float64())],
+                    [both("doc_id"), both("row"), both("held_out"), pa.concat_arrays([pa.nulls(own, pa.binary()), pa.array(rest, pa.binary())]), pa.concat_arrays([pa.array([1] * own, pa.int64()), pa.array(times, pa.int64())]), pad(n_tokens, pa.int64()), pad(n_known, pa.int64()), *(pad(x, pa.float64()) for x in scores)],
                     names=names,
                 )
 
     parts = source.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("row"), (~F.col("train")).alias("held_out"), "text").mapInArrow(
-        score_texts, "doc_id long, row long, held_out boolean, word binary, n long, n_tokens long, n_known long, base_score double, score double"
+        score_texts, "doc_id long, row long, held_out boolean, word binary, n long, n_tokens long, n_known long, base_score double, score double, word_score double"
     )
     # read once from the shared folder, since the sums of the texts and their other words go different ways
     parts = stored(parts, "text-parts")
     tail = parts.filter("word is not null").select("doc_id", "row", "held_out", "word", "n").join(scored.filter(F.col("c") <= least), "word")
-    tail = tail.select("doc_id", "row", "held_out", F.lit(0).alias("rows"), F.lit(0).alias("n_tokens"), F.when(F.col("c") > 0, F.col("n")).otherwise(0).alias("n_known"), (F.col("n") * F.col("base")).alias("base_score"), (F.col("n") * F.col("score")).alias("score"))
-    whole = parts.filter("word is null").select("doc_id", "row", "held_out", F.lit(1).alias("rows"), "n_tokens", "n_known", "base_score", "score")
-    sums = whole.unionByName(tail).groupBy("doc_id", "row", "held_out").agg(*[F.sum(c).alias(c) for c in ("rows", "n_tokens", "n_known", "base_score", "score")])
+    tail = tail.select("doc_id", "row", "held_out", F.lit(0).alias("rows"), F.lit(0).alias("n_tokens"), F.when(F.col("c") > 0, F.col("n")).otherwise(0).alias("n_known"), (F.col("n") * F.col("base")).alias("base_score"), (F.col("n") * F.col("score")).alias("score"), (F.col("n") * F.col("mixed")).alias("word_score"))
+    whole = parts.filter("word is null").select("doc_id", "row", "held_out", F.lit(1).alias("rows"), "n_tokens", "n_known", "base_score", "score", "word_score")
+    sums = whole.unionByName(tail).groupBy("doc_id", "row", "held_out").agg(*[F.sum(c).alias(c) for c in ("rows", "n_tokens", "n_known", "base_score", "score", "word_score")])
     each = F.explode(F.array_repeat(F.lit(1), F.col("rows").cast("int")))
-    return sums.select("doc_id", "held_out", each.alias("one"), (F.col("n_tokens") / F.col("rows")).cast("long").alias("n_tokens"), (F.col("n_known") / F.col("rows")).cast("long").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), (F.col("base_score") / F.col("rows")).alias("base_score"), (F.col("score") / F.col("rows")).alias("score")).drop("one")
+    return sums.select("doc_id", "held_out", each.alias("one"), (F.col("n_tokens") / F.col("rows")).cast("long").alias("n_tokens"), (F.col("n_known") / F.col("rows")).cast("long").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), (F.col("base_score") / F.col("rows")).alias("base_score"), *[(F.col(c) / F.col("rows")).alias(c) for c in ("score", "word_score")]).drop("one")

@@ -79,9 +79,9 @@ def test_forward_sums_equal_all_segmentations():
 def test_expected_counts_equal_derivatives():
     """Expected counts are the derivative of the log probability by the pieces' logs."""
     pieces = lattice_lm.Pieces(PIECES)
-    logs = pieces.log_probabilities({})
+    logs, _ = pieces.log_probabilities({})
     word = "nation"
-    counts = lattice_lm.expected_counts([word], pieces, logs)
+    counts = lattice_lm.expected_counts([word], np.ones(1), pieces, logs)
     for i in np.argsort(-counts)[:6]:
         up, down = logs.copy(), logs.copy()
         up[i] += 1e-5
@@ -107,9 +107,61 @@ def test_scores(spark, sf):
         assert r.held_out == (i in held) and r.n_tokens == len(tokens) and r.train_tokens == n
         assert r.n_known == sum(w in counts for w in tokens)
         assert r.base_score == pytest.approx(sum(math.log10((counts.get(w, 0) + 0.1) / (n + 0.1 * (v + 1))) for w in tokens), rel=1e-9)
-        assert -20 * 10 * len(tokens) < r.score < 0
-    per = lambda rs: sum(r.score for r in rs) / sum(r.n_tokens for r in rs)
-    assert per([got[i] for i in held]) < per([r for i, r in got.items() if i not in held]) < -1
+        assert -20 * 10 * len(tokens) < min(r.score, r.word_score) and max(r.score, r.word_score) < 0
+    per = lambda rs, c: sum(r[c] for r in rs) / sum(r.n_tokens for r in rs)
+    for c in ("score", "word_score"):
+        assert per([got[i] for i in held], c) < per([r for i, r in got.items() if i not in held], c) < -1
+
+
+def test_scores_equal_all_segmentations_one_by_one(spark):
+    """The query against a plain version: training by counts of segmentations that are listed one by one, with the same rounds."""
+    texts = ["the cat sat", "The cat", "nation of cats the cat", "", "état née cat", "a rat sat on the nation", "xq zz cat"] * 4
+    docs = list(enumerate(texts, 1))
+    pieces = lattice_lm.Pieces(PIECES)
+    train = [t for i, t in docs if zlib.crc32(str(i).encode()) % 10 != 0]
+    words = [w for t in train for w in t.encode().lower().decode().split()]
+
+    def paths(word):
+        """(pieces) of each segmentation."""
+        s = lattice_lm.MARK + word
+
+        def rest(i):
+            if i == len(s):
+                yield ()
+            for j in range(i + 1, len(s) + 1):
+                if s[i:j] in pieces.ids:
+                    yield from ((pieces.ids[s[i:j]], *p) for p in rest(j))
+            if 0 < i < len(s):
+                yield from ((*(pieces.bytes[b] for b in s[i].encode()), *p) for p in rest(i + 1))
+
+        return list(rest(0))
+
+    listed = {w: paths(w) for w in {w for _, t in docs for w in t.encode().lower().decode().split()}}
+
+    def spread(counts):
+        p = {i: lattice_lm.SMOOTH for i in pieces.known}
+        for i, n in counts.items():
+            p[i] += n
+        total = sum(p.values()) + len(train) + lattice_lm.SMOOTH
+        return {i: x / total for i, x in p.items()}, (len(train) + lattice_lm.SMOOTH) / total
+
+    counts = {}
+    for w in words:
+        for i in pieces.model.encode(w):
+            counts[i] = counts.get(i, 0) + 1
+    p, end = spread(counts)
+    for _ in range(2):
+        counts = {}
+        for w in words:
+            weights = [math.prod(p[i] for i in path) for path in listed[w]]
+            for path, x in zip(listed[w], weights, strict=True):
+                for i in path:
+                    counts[i] = counts.get(i, 0) + x / sum(weights)
+        p, end = spread(counts)
+    got = {r.doc_id: r.score for r in lattice_lm.lattice_scores(spark.createDataFrame(docs, "doc_id long, text string"), PIECES, rounds=2).collect()}
+    for i, t in docs:
+        plain = math.log10(end) + sum(math.log10(sum(math.prod(p[x] for x in path) for path in listed[w])) for w in t.encode().lower().decode().split())
+        assert got[i] == pytest.approx(plain, rel=1e-6)
 
 
 def test_probabilities_sum_to_one(spark):
@@ -119,7 +171,7 @@ def test_probabilities_sum_to_one(spark):
     ask = spark.createDataFrame([(1000 + i, w) for i, w in enumerate(probes)], "doc_id long, text string").filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0)
     got = lattice_lm.lattice_scores(docs.unionByName(ask), PIECES).collect()
     # one token in eight is an end, which each of these texts has once
-    assert sum(10**r.score for r in got if r.doc_id >= 1000) < 1 / 7
+    assert all(sum(10 ** r[c] for r in got if r.doc_id >= 1000) < 1 / 7 for c in ("score", "word_score"))
 
 
 def test_head_and_tail_agree(spark, sf, monkeypatch):
@@ -127,7 +179,7 @@ def test_head_and_tail_agree(spark, sf, monkeypatch):
     a = {r.doc_id: r for r in lattice_lm.lattice_scores(docs, PIECES, rounds=0).collect()}
     monkeypatch.setattr(lattice_lm, "HEAD", 50)
     b = {r.doc_id: r for r in lattice_lm.lattice_scores(docs, PIECES, rounds=0).collect()}
-    assert all(a[i].n_known == b[i].n_known and a[i].score == pytest.approx(b[i].score, rel=1e-9) for i in a)
+    assert all(a[i].n_known == b[i].n_known and a[i].score == pytest.approx(b[i].score, rel=1e-9) and a[i].word_score == pytest.approx(b[i].word_score, rel=1e-9) for i in a)
 
 
 def test_language_model_awkward_rows(spark):
