@@ -78,6 +78,13 @@ def test_tokens_are_those_of_the_documents(stages):
     assert got == expected([(r.doc_id, r.text) for r in stages[4].collect()])
 
 
+def test_one_of_repeated_rows_stays(spark):
+    rows = [(1, "a b c d e f g", "x"), (1, "a b c d e f g", "x"), (2, "A b c d e f g", "y"), (3, None, "x"), (3, None, "x"), (None, "p q r", "x"), (None, "p q r", "x"), (None, None, "x"), (4, "", "x"), (5, "", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = [tuple(r) for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()]
+    assert sorted(got, key=repr) == sorted([rows[0], rows[3], rows[5], *rows[7:]], key=repr)
+
+
 def test_stages_bear_awkward_rows(spark):
     docs, none = awkward(spark), empty(spark)
     for _, stage in corpus_pipeline.STAGES[:-1]:
