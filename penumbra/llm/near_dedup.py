@@ -3,8 +3,8 @@
 1. Each text's set of word shingles, its size, a 128-bit hash of the set and MINHASHES minima are computed in one pass; equal sets are then one class.
 2. Classes that share a band key are compared with the least of them: their minima go batch by batch, and a pair is dropped once the posterior probability that its
    similarity reaches the threshold is below MISS. Texts are fetched for the surviving pairs alone, which are decided on the full sets.
-3. Where classes of different components of these links still share a band key, all such pairs are compared, in blocks of minima, and survivors decided as before. So no
-   candidate is passed over, and a large group of copies, which step 2 has made one component, costs no pairs.
+3. Where classes of different components of these links still share a band key, all such pairs are compared, in blocks: by minima, and where a block has survivors, by the full
+   sets of these. So no candidate is passed over, and a large group of copies, which step 2 has made one component, costs no pairs.
 4. Components of all links found give the classes' ids.
 """
 
@@ -18,14 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from penumbra.llm.common import SALTS, Memo, salt_of, stored, with_least, words
+from penumbra.llm.common import SALTS, Memo, per_worker, salt_of, stored, with_least, words
 
 #: Minima of a set, and the most that a pair at the threshold may be missed by sharing no band.
 MINHASHES, UNSEEN = 100, 1e-5
 #: Minima compared at a time, and the posterior probability below which a pair is given up.
 BATCH, MISS = 20, 1e-6
-#: Classes compared with one another in a task.
-BLOCK = 1024
+#: Classes compared with one another in a task, and the shingles that they have together.
+BLOCK, SHINGLES = 1024, 1 << 20
 #: Rows of one class from which their join with its result is dealt out.
 HOT = 10_000
 P1, P2 = np.uint64(0x9E3779B185EBCA87), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -249,64 +249,125 @@ def decide(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent:
     return _in_turn(met.select("a", "block", "id", "second", "text")).mapInArrow(run, "a long, b long")
 
 
-def compare_blocks(rows: list[tuple], i: int, j: int, band: int, percent: int, bands: int, width: int, least: tuple[int, ...]) -> list[tuple[int, int]]:
-    """Pairs that may be linked, of rows (id, component, place, n_shingles, signature) of one band key: within block i, or between blocks i and j.
-
-    A pair with several keys in common is taken by the first band alone; pairs of one component are connected already.
-    """
-    block = np.array([r[2] for r in rows])
-    sig = np.frombuffer(b"".join(r[4] for r in rows), np.uint32).reshape(len(rows), MINHASHES)
-    ids, part, sizes = (np.array([r[c] for r in rows], np.int64) for c in (0, 1, 3))
-    keys, out = band_keys(sig, bands, width), []
-    second = np.flatnonzero(block == j)
-    for x in np.flatnonzero(block == i).tolist():
-        others = second[second > x] if i == j else second
-        others = others[part[others] != part[x]]
-        # sizes alone rule out what can't reach the threshold
-        others = others[100 * np.minimum(sizes[others], sizes[x]) >= percent * np.maximum(sizes[others], sizes[x])]
-        others = others[(keys[others] == keys[x]).argmax(axis=1) == band]
-        kept = others[survivors(sig[others], np.broadcast_to(sig[x], (len(others), MINHASHES)), least)]
-        out += [(min(ids[x], ids[y]), max(ids[x], ids[y])) for y in kept.tolist()]
-    return out
-
-
-def across(reps: DataFrame, linked: DataFrame, percent: int, bands: int, width: int, least: tuple[int, ...]) -> DataFrame:
-    """Pairs (a, b) of different components that share a band key and may reach the threshold.
-
-    A key's most common component is only compared with the key's other classes, so a group of copies and a stranger cost as many comparisons as there are copies.
+class Block:
+    """Classes of one band key that a task compares: rows (id, component, place, n_shingles, signature), of block i, or of blocks i and j."""
+
+    def __init__(self, rows: list[tuple], i: int, j: int, band: int, percent: int, bands: int, width: int, least: tuple[int, ...]):
+        self.ids, self.part, self.place, self.sizes = (np.array([r[c] for r in rows], np.int64) for c in range(4))
+        self.signatures = np.frombuffer(b"".join(r[4] for r in rows), np.uint32).reshape(len(rows), MINHASHES)
+        self.keys = band_keys(self.signatures, bands, width)
+        self.i, self.j, self.band, self.percent, self.least = i, j, band, percent, least
+
+    def candidates(self) -> Iterator[tuple[int, np.ndarray]]:
+        """(x, ys): rows that may be linked, by sizes and minima. A pair with several keys in common is taken by the first band alone, pairs of one component are passed over."""
+        second = np.flatnonzero(self.place == self.j)
+        for x in np.flatnonzero(self.place == self.i).tolist():
+            others = second[second > x] if self.i == self.j else second
+            others = others[self.part[others] != self.part[x]]
+            # sizes alone rule out what can't reach the threshold
+            others = others[100 * np.minimum(self.sizes[others], self.sizes[x]) >= self.percent * np.maximum(self.sizes[others], self.sizes[x])]
+            others = others[(self.keys[others] == self.keys[x]).argmax(axis=1) == self.band]
+            if len(others):
+                kept = others[survivors(self.signatures[others], np.broadcast_to(self.signatures[x], (len(others), MINHASHES)), self.least)]
+                if len(kept):
+                    yield x, kept
+
+    def busy(self) -> list[int]:
+        """Ids in any candidate."""
+        found = [np.concatenate([[x], ys]) for x, ys in self.candidates()]
+        return self.ids[np.unique(np.concatenate(found))].tolist() if found else []
+
+    def links(self, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+        """Links by the full sets; what they connect becomes one component, whose pairs need no more looking at."""
+        flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        at = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+        mark, found = np.zeros(int(flat.max()) + 1, bool), []
+        for x, ys in self.candidates():
+            own = flat[at[x] : at[x + 1]]
+            mark[own] = True
+            for y in ys.tolist():
+                if self.part[y] == self.part[x]:
+                    continue
+                other = flat[at[y] : at[y + 1]]
+                both = int(np.count_nonzero(mark[other]))
+                if 100 * both >= self.percent * (len(own) + len(other) - both):
+                    found.append((int(self.ids[x]), int(self.ids[y])))
+                    self.part[self.part == self.part[y]] = self.part[x]
+            mark[own] = False
+        return found
+
+
+def across(reps: DataFrame, linked: DataFrame, docs: DataFrame, k: int, percent: int, bands: int, width: int, least: tuple[int, ...]) -> DataFrame:
+    """Links (a, b) between classes of different components that share a band key.
+
+    A key's classes are compared in blocks, by minima first; only classes that have a candidate there fetch their texts, and pairs are never rows. A key's most common
+    component is only compared with the key's other classes, so a group of copies and a stranger cost as many comparisons as there are copies.
     """
-    tagged = reps.join(linked, "id", "left").select("id", F.coalesce("component", "id").alias("part"), F.posexplode("keys").alias("band", "key"))
-    parts = tagged.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"))
-    mixed = parts.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "part")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    tagged = reps.join(linked, "id", "left").select("id", "n_shingles", F.coalesce("component", "id").alias("part"), F.posexplode("keys").alias("band", "key"))
+    parts = tagged.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("shingles"))
+    mixed = parts.groupBy("key").agg(F.sum("n").alias("n"), F.sum("shingles").alias("shingles"), F.max(F.struct("n", "part", "shingles")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    blocks = lambda n, shingles: F.ceil(F.greatest(n / BLOCK, shingles / SHINGLES)).cast("int")
+    mains, rests = blocks(F.col("main.n"), F.col("main.shingles")), blocks(F.col("n") - F.col("main.n"), F.col("shingles") - F.col("main.shingles"))
     # keys with several components are few; each goes to SALTS parts, since one of them may be in very many classes
-    mixed = mixed.select(F.col("key").alias("of"), F.col("main.part").alias("main"), blocks(F.col("main.n")).alias("mains"), blocks(F.col("n") - F.col("main.n")).alias("rests"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    mixed = mixed.select(F.col("key").alias("of"), F.col("main.part").alias("main"), mains.alias("mains"), rests.alias("rests"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     met = tagged.withColumn("own", salt_of("id")).join(mixed, (F.col("key") == F.col("of")) & (F.col("own") == F.col("salt")))
-    main = F.col("part") == F.col("main")
-    block = F.pmod(F.xxhash64("id"), F.when(main, F.col("mains")).otherwise(F.col("rests"))).cast("int")
+    is_main = F.col("part") == F.col("main")
+    block = F.pmod(F.xxhash64("id"), F.when(is_main, F.col("mains")).otherwise(F.col("rests"))).cast("int")
     upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     pair = lambda a, b: F.struct(a.alias("i"), b.alias("j"))
-    rests, mains = upto(F.col("rests")), upto(F.col("mains"))
-    with_rest = F.transform(rests, lambda o: pair(F.least("block", o), F.greatest("block", o)))
-    with_main = F.transform(mains, lambda o: pair(F.col("block"), F.col("rests") + o))
-    of_main = F.transform(rests, lambda o: pair(o, F.col("rests") + F.col("block")))
-    dealt = met.withColumn("block", block).withColumn("is_main", main).select("key", "band", "id", "part", F.when(F.col("is_main"), F.col("rests") + F.col("block")).otherwise(F.col("block")).alias("place"), F.explode(F.when(F.col("is_main"), of_main).otherwise(F.concat(with_rest, with_main))).alias("p"))
-    full = dealt.join(reps.select("id", "n_shingles", "signature"), "id").select("key", "band", "p.i", "p.j", "id", "part", "place", "n_shingles", "signature")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
-        for batch in batches:
-            for key, band, i, j, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "band", "i", "j", "id", "part", "place", "n_shingles", "signature")), strict=True):
-                if (key, band, i, j) != now:
-                    if len(held) > 1:
-                        yield _pairs(compare_blocks(held, now[2], now[3], now[1], percent, bands, width, least))
-                    now, held = (key, band, i, j), []
-                held.append(row)
+    with_rest = F.transform(upto(F.col("rests")), lambda o: pair(F.least("block", o), F.greatest("block", o)))
+    with_main = F.transform(upto(F.col("mains")), lambda o: pair(F.col("block"), F.col("rests") + o))
+    of_main = F.transform(upto(F.col("rests")), lambda o: pair(o, F.col("rests") + F.col("block")))
+    met = met.withColumn("block", block).withColumn("is_main", is_main)
+    dealt = met.select("key", "band", "id", "part", F.when(F.col("is_main"), F.col("rests") + F.col("block")).otherwise(F.col("block")).alias("place"), F.explode(F.when(F.col("is_main"), of_main).otherwise(F.concat(with_rest, with_main))).alias("p"))
+    key, own = ("key", "band", "i", "j"), ("id", "part", "place", "n_shingles", "signature")
+
+    def by_task(batches: Iterator[pa.RecordBatch], more: tuple[str, ...] = ()) -> Iterator[tuple[tuple, list, list]]:
+        """(key, rows, their other columns), one task's block or pair of blocks after the other."""
+        now, held, rest = None, [], []
+        for whole in batches:
+            for start in range(0, whole.num_rows, 256):
+                batch = whole.slice(start, 256)
+                for row in zip(*(batch.column(c).to_pylist() for c in (*key, *own, *more)), strict=True):
+                    if row[:4] != now:
+                        if len(held) > 1:
+                            yield now, held, rest
+                        now, held, rest = row[:4], [], []
+                    held.append(row[4:9])
+                    rest += [shingle_sets([t], k, hashes())[0] for t in row[9:]]
         if len(held) > 1:
-            yield _pairs(compare_blocks(held, now[2], now[3], now[1], percent, bands, width, least))
+            yield now, held, rest
+
+    def hashes() -> Memo:
+        import xxhash
+
+        return per_worker("hashes of words", lambda: Memo(xxhash.xxh3_64_intdigest))
+
+    def made(now: tuple, held: list) -> Block:
+        return Block(held, now[2], now[3], now[1], percent, bands, width, least)
+
+    def seek(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for now, held, _ in by_task(batches):
+            block = made(now, held)
+            place = dict(zip(block.ids.tolist(), zip(block.part.tolist(), block.place.tolist(), strict=True), strict=True))
+            found = block.busy()
+            columns = [[x] * len(found) for x in now] + [found, [place[i][0] for i in found], [place[i][1] for i in found]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32()), strict=True)], names=[*key, *own[:3]])
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for now, held, sets in by_task(batches, ("text",)):
+            yield _pairs(made(now, held).links(sets))
+
+    def in_turn(rows: DataFrame) -> DataFrame:
+        # the rows of a task's block or pair of blocks come one after the other
+        return rows.repartition("key", "i", "j").sortWithinPartitions(*key, "id")
 
-    # rows of a (key, pair of blocks) come one after the other: two blocks of minima at a time in memory
-    return full.repartition("key", "i", "j").sortWithinPartitions("key", "band", "i", "j", "id").mapInArrow(run, "a long, b long")
+    sized = dealt.join(reps.select("id", "n_shingles", "signature"), "id").select("key", "band", "p.i", "p.j", *own)
+    busy = stored(in_turn(sized).mapInArrow(seek, "key long, band int, i int, j int, id long, part long, place int"), "busy")
+    texts = docs.join(busy.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").groupBy("doc_id", "version").agg(F.first("text").alias("text"))
+    wanted = busy.join(reps.select("id", "version", "n_shingles", "signature"), "id")
+    full = wanted.join(texts, (F.col("id") == F.col("doc_id")) & (wanted["version"] == texts["version"])).select(*key, *own, "text")
+    return in_turn(full).mapInArrow(link, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, miss: float = MISS) -> DataFrame:
@@ -336,9 +397,8 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, miss: float
     near = stored(prune(stars, reps, least), "near")
     links = stored(decide(near, reps, source, k, percent), "links")
     linked = components(links)
-    others = stored(across(reps, linked, percent, bands, width, least), "others")
-    if not others.isEmpty():
-        more = decide(others, reps, source, k, percent)
+    more = stored(across(reps, linked, source, k, percent, bands, width, least), "more-links")
+    if not more.isEmpty():
         linked = components(linked.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
     # a class with very many rows is joined with its component in parts
     sizes = classes.groupBy(F.col("id").alias("of")).agg(F.max("n").alias("most"))
