@@ -21,6 +21,8 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(base)
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -71,7 +73,7 @@ def connected(edges: DataFrame) -> DataFrame:
         low = up.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("of"), "m")
         down = up.join(low, F.col("a") == F.col("of")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = kept(down.union(low.select(F.col("of").alias("a"), F.col("m").alias("b"))).filter("a <> b").distinct(), "components")
-        state = now.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("long"))).first()
+        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == seen:
             break
         seen = state

@@ -102,7 +102,7 @@ def offset(reach: Column, azimuth: Column) -> tuple[Column, Column]:
 
 
 def building_pieces(buildings: DataFrame, suns: DataFrame) -> DataFrame:
-    """The parts whose union is a building's shadow: bucket_start, source_id, piece, sides.
+    """The parts whose union is a building's shadow: bucket_start, source_id, shadow_azimuth, piece, sides.
 
     Piece -2 is the footprint, -1 the footprint moved to the shadow's end, the others are what single sides sweep; parts without area are left out.
     """
@@ -117,7 +117,7 @@ def building_pieces(buildings: DataFrame, suns: DataFrame) -> DataFrame:
         return geo.sides(corners)
 
     swept = F.filter("own", lambda s: F.abs((s["q"]["x"] - s["p"]["x"]) * F.col("dy") - (s["q"]["y"] - s["p"]["y"]) * F.col("dx")) > 1e-9)
-    return shaped.select("bucket_start", "source_id", F.posexplode(F.concat(F.array(F.col("own"), there), F.transform(swept, quad))).alias("piece", "sides")).withColumn("piece", F.col("piece") - 2)
+    return shaped.select("bucket_start", "source_id", "shadow_azimuth", F.posexplode(F.concat(F.array(F.col("own"), there), F.transform(swept, quad))).alias("piece", "sides")).withColumn("piece", F.col("piece") - 2)
 
 
 def swept_area(pieces: DataFrame, step: float = 0.25) -> DataFrame:
