@@ -76,13 +76,12 @@ def capsule(center: Column, radius: Column, length: Column, azimuth: Column, seg
     near = F.transform(F.sequence(F.lit(0), F.lit(m)), lambda i: spot(center["x"], center["y"], heading + math.pi / 2 + i * (math.pi / m)))
     far = F.transform(F.sequence(F.lit(0), F.lit(m)), lambda i: spot(center["x"] + dx, center["y"] + dy, heading - math.pi / 2 + i * (math.pi / m)))
     circle = F.transform(F.sequence(F.lit(0), F.lit(segments - 1)), lambda i: spot(center["x"], center["y"], i * (2 * math.pi / segments)))
-    outline = F.when(length == 0, circle).otherwise(F.concat(near, far))
-    return F.concat(outline, F.slice(outline, 1, 1))
+    return let(F.when(length == 0, circle).otherwise(F.concat(near, far)), lambda outline: F.concat(outline, F.slice(outline, 1, 1)))
 
 
 def sides(ring: Column) -> Column:
     """The sides of a ring, as structs of two points."""
-    return F.transform(F.slice(ring, 1, F.greatest(F.size(ring) - 1, F.lit(0))), lambda p, i: F.struct(p.alias("p"), F.get(ring, i + 1).alias("q")))
+    return let(ring, lambda r: F.transform(F.slice(r, 1, F.greatest(F.size(r) - 1, F.lit(0))), lambda p, i: F.struct(p.alias("p"), F.get(r, i + 1).alias("q"))))
 
 
 def ring_area_twice(ring: Column) -> Column:
