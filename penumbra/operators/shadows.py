@@ -29,17 +29,62 @@ def eligible_trees(trees: DataFrame) -> DataFrame:
     )
 
 
+def without_repeats(ring: Column) -> Column:
+    """A ring's points without those equal to the point before."""
+    return geo.let(ring, lambda r: F.filter(r, lambda p, i: (i == 0) | ~F.get(r, i - 1).eqNullSafe(p)))
+
+
+def crosses_itself(ring: Column) -> Column:
+    """Whether sides of a closed ring without repeated points meet anywhere but at the corner between two that follow one another, or run back over one another."""
+
+    def turn(a: Column, b: Column, c: Column) -> Column:
+        return (b["x"] - a["x"]) * (c["y"] - a["y"]) - (b["y"] - a["y"]) * (c["x"] - a["x"])
+
+    def on(a: Column, b: Column, c: Column) -> Column:
+        return (turn(a, b, c) == 0) & c["x"].between(F.least(a["x"], b["x"]), F.greatest(a["x"], b["x"])) & c["y"].between(F.least(a["y"], b["y"]), F.greatest(a["y"], b["y"]))
+
+    def meet(s: Column, t: Column) -> Column:
+        a, b, c, d = s["p"], s["q"], t["p"], t["q"]
+        across = (F.signum(turn(a, b, c)) * F.signum(turn(a, b, d)) < 0) & (F.signum(turn(c, d, a)) * F.signum(turn(c, d, b)) < 0)
+        return across | on(a, b, c) | on(a, b, d) | on(c, d, a) | on(c, d, b)
+
+    def back(s: Column, t: Column) -> Column:
+        ahead = (s["q"]["x"] - s["p"]["x"]) * (t["q"]["x"] - t["p"]["x"]) + (s["q"]["y"] - s["p"]["y"]) * (t["q"]["y"] - t["p"]["y"])
+        return (turn(s["p"], s["q"], t["q"]) == 0) & (ahead < 0)
+
+    def any_two(numbered: Column) -> Column:
+        n = F.size(numbered)
+
+        def wrong(s: Column, t: Column) -> Column:
+            return F.when(t["i"] == s["i"] + 1, back(s, t)).when((s["i"] == 0) & (t["i"] == n - 1), back(t, s)).otherwise(meet(s, t))
+
+        return F.exists(numbered, lambda s: F.exists(F.slice(numbered, s["i"] + 2, n), lambda t: wrong(s, t)))
+
+    return geo.let(F.transform(geo.sides(ring), lambda s, i: F.struct(s["p"].alias("p"), s["q"].alias("q"), i.alias("i"))), any_two)
+
+
 def valid_ring(ring: Column) -> Column:
-    """Four points or more, all finite, closed, with three distinct corners and some area."""
-    near = F.transform(ring, lambda p: geo.point(p["x"] - ring[0]["x"], p["y"] - ring[0]["y"]))
-    closed = (F.element_at(ring, -1)["x"] == ring[0]["x"]) & (F.element_at(ring, -1)["y"] == ring[0]["y"])
-    return F.when(F.size(ring) < 4, F.lit(False)).otherwise(F.forall(ring, lambda p: finite(p["x"], p["y"])) & closed & (F.size(F.array_distinct(ring)) >= 3) & (F.abs(geo.ring_area_twice(near)) > 0))
+    """Four points or more, all finite, closed, with three distinct corners, some area, and no side that meets another; points repeated in a row count once."""
+
+    def good(r: Column) -> Column:
+        near = F.transform(r, lambda p: geo.point(p["x"] - r[0]["x"], p["y"] - r[0]["y"]))
+        closed = (F.element_at(r, -1)["x"] == r[0]["x"]) & (F.element_at(r, -1)["y"] == r[0]["y"])
+        whole = F.forall(r, lambda p: finite(p["x"], p["y"])) & closed & (F.size(F.array_distinct(r)) >= 3) & (F.abs(geo.ring_area_twice(near)) > 0)
+        return F.when(F.size(r) < 4, F.lit(False)).when(~whole, F.lit(False)).otherwise(~crosses_itself(near))
+
+    return F.when(F.size(ring) < 4, F.lit(False)).otherwise(F.coalesce(geo.let(without_repeats(ring), good), F.lit(False)))
+
+
+def valid_reference(footprint_m: Column, footprint_wgs84: Column) -> Column:
+    """Whether a footprint's first point is finite in metres and on the globe in degrees: drawings are placed by it."""
+    m, w = footprint_m[0][0], footprint_wgs84[0][0]
+    return F.coalesce(finite(m["x"], m["y"], w["x"], w["y"]) & w["x"].between(-180, 180) & w["y"].between(-90, 90), F.lit(False))
 
 
 def eligible_buildings(buildings: DataFrame) -> DataFrame:
     """Normalised buildings (with pos, their order) that throw a shadow; of those with one id the first that qualifies."""
     height = F.col("estimated_height_m")
-    good = buildings.filter(F.col("shade_ready") & F.col("source_id").isNotNull() & finite(height) & (height > 0) & (F.size("footprint_m") > 0) & F.forall("footprint_m", valid_ring))
+    good = buildings.filter(F.col("shade_ready") & F.col("source_id").isNotNull() & finite(height) & (height > 0) & (F.size("footprint_m") > 0) & F.forall("footprint_m", valid_ring) & valid_reference(F.col("footprint_m"), F.col("footprint_wgs84")))
     first = F.row_number().over(W.partitionBy("source_id").orderBy("pos"))
     return good.withColumn("n", first).filter("n = 1").drop("n").withColumn("height_m", height)
 

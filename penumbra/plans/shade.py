@@ -9,9 +9,10 @@ from penumbra.functions import geo
 from penumbra.functions.solar import shadow_length as reach
 from penumbra.functions.solar import with_solar
 from penumbra.operators import shade, shadows
+from penumbra.operators.graph import kept
 from penumbra.plans.ingest import BUILDINGS_CLEAN, POINTS, TREES_CLEAN, buildings, trees, utm_sql
 from penumbra.plans.solar import solar_sql
-from penumbra.plans.tables import EDGES, edges, nodes, raw_buildings
+from penumbra.plans.tables import BUILDINGS, EDGES, edges, nodes, raw_buildings
 from penumbra.registry import query
 
 #: The instants asked about: morning, noon, evening and night of a day in June.
@@ -62,7 +63,9 @@ def suns(spark: SparkSession) -> DataFrame:
 
 
 def ready_buildings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shadows.eligible_buildings(buildings(spark, sf_dir).withColumn("pos", F.col("source_id")))
+    """Buildings that throw a shadow; footprints are projected once and checked once, then written, since all that follows looks at each of them many times."""
+    normal = kept(buildings(spark, sf_dir).withColumn("pos", F.col("source_id")), "buildings")
+    return kept(shadows.eligible_buildings(normal), "eligible")
 
 
 @query("shadow_length", f"WITH {TREES_CLEAN}, {SUNS} SELECT bucket_start, source_id, round({REACH.format(height='height_m')}, 3) AS length_m FROM tree, lit WHERE height_m IS NOT NULL")
@@ -128,16 +131,76 @@ def building_bucket_header(spark: SparkSession, sf_dir: str) -> DataFrame:
     return head.crossJoin(F.broadcast(k)).select("bucket_start", "daylight", F.coalesce("shadow_count", F.lit(0)).alias("shadow_count"), F.coalesce("max_length_m", F.lit(0.0)).alias("max_length_m"), "eligible", "excluded")
 
 
-@query("ring_topology", f"WITH {POINTS} SELECT objectid, CAST(ring - 1 AS INTEGER) AS ring, CAST(ring - 1 AS BIGINT) AS depth, ring = 2 AS hole, CASE WHEN ring = 2 THEN 0 END AS shell FROM ring")
+#: Rings of many kinds in the box of a supplier, each as corners in shares of its width and height: a bow tie, a plain bend, an open one, one with repeated points, one of three
+#: points, one with an unknown point, one that runs out and back, and one whose corner touches a side.
+RING_KINDS = (
+    ((0, 0), (1, 1), (1, 0), (0, 1), (0, 0)),
+    ((0, 0), (1, 0), (1, 0.5), (0.5, 0.5), (0.5, 1), (0, 1), (0, 0)),
+    ((0, 0), (1, 0), (1, 1), (0, 1)),
+    ((0, 0), (0, 0), (1, 0), (1, 1), (1, 1), (0, 1), (0, 0)),
+    ((0, 0), (1, 0), (0, 0)),
+    ((0, 0), (1, 0), (None, 1), (0, 1), (0, 0)),
+    ((0, 0), (1, 0), (1, 1), (1, 2), (1, 1), (0, 1), (0, 0)),
+    ((0, 0), (1, 0), (1, 1), (0.5, 0), (0, 1), (0, 0)),
+)
+#: A house, its yard, a house in the yard with a yard of its own, and a house beside it.
+NESTED = (((0, 0), (1, 0), (1, 1), (0, 1), (0, 0)), *(tuple((a + (1 - 2 * a) * x, a + (1 - 2 * a) * y) for x, y in ((0, 0), (1, 0), (1, 1), (0, 1), (0, 0))) for a in (0.125, 0.25, 0.375)), ((1.25, 0), (1.5, 0), (1.5, 1), (1.25, 1), (1.25, 0)))
+
+
+def _corners(ring) -> list[tuple[str, str]]:
+    """A ring as SQL for either engine: x and y of each corner."""
+    spot = lambda v, low, size: "CAST(NULL AS DOUBLE)" if v is None else f"{low} + {size} * {float(v)}e0"
+    return [(spot(x, "w0", "w"), spot(y, "s0", "h")) for x, y in ring]
+
+
+def _duck(ring) -> str:
+    return "[" + ", ".join(f"{{'x': {x}, 'y': {y}}}" for x, y in _corners(ring)) + "]"
+
+
+def _drawn(ring):
+    return F.array(*[geo.point(F.expr(x), F.expr(y)) for x, y in _corners(ring)])
+
+
+_BOXES = BUILDINGS.split(", raw_building AS")[0]
+_INSIDE = "count(*) FILTER ((s.y > q.y) <> (s.y2 > q.y) AND q.x < (s.x2 - s.x) * (q.y - s.y) / (s.y2 - s.y) + s.x) % 2 = 1"
+
+
+@query(
+    "ring_topology",
+    f"""WITH {_BOXES}, r AS (SELECT objectid, unnest([{", ".join(map(_duck, NESTED))}]) AS points, unnest(range(0, {len(NESTED)})) AS ring FROM raw_box),
+v AS (SELECT objectid, ring, generate_subscripts(points, 1) AS pos, unnest(points) AS p FROM r), s AS (SELECT objectid, ring, pos, p.x AS x, p.y AS y, lead(p.x) OVER w AS x2, lead(p.y) OVER w AS y2 FROM v WINDOW w AS (PARTITION BY objectid, ring ORDER BY pos)),
+area AS (SELECT objectid, ring, abs(sum((x - 0e0) * y2 - x2 * y)) / 2 AS area FROM s GROUP BY ALL), held AS (SELECT q.objectid, q.ring, s.ring AS outer_ring FROM s q JOIN s ON s.objectid = q.objectid AND s.ring <> q.ring WHERE q.pos = 1 GROUP BY ALL HAVING {_INSIDE}),
+depth AS (SELECT a.objectid, a.ring, count(h.outer_ring) AS depth FROM area a LEFT JOIN held h ON h.objectid = a.objectid AND h.ring = a.ring GROUP BY ALL)
+SELECT d.objectid, CAST(d.ring AS INTEGER) AS ring, d.depth, d.depth % 2 = 1 AS hole,
+  CASE WHEN d.depth % 2 = 1 THEN CAST((SELECT arg_max(h.outer_ring, o.depth) FROM held h JOIN depth o ON o.objectid = h.objectid AND o.ring = h.outer_ring WHERE h.objectid = d.objectid AND h.ring = d.ring AND o.depth % 2 = 0) AS INTEGER) END AS shell FROM depth d""",
+)
 def ring_topology(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rings = raw_buildings(spark, sf_dir).select(F.col("objectid").alias("id"), F.posexplode("rings").alias("ring", "points"))
+    """Depth and shell of houses, yards, and houses in yards."""
+    rings = raw_buildings(spark, sf_dir).select(F.col("objectid").alias("id"), F.posexplode(F.array(*map(_drawn, NESTED))).alias("ring", "points"))
     return shadows.ring_depths(rings).select(F.col("id").alias("objectid"), "ring", "depth", "hole", "shell")
 
 
-@query("ring_validate", f"WITH {POINTS} SELECT objectid, CAST(ring - 1 AS INTEGER) AS ring, true AS valid FROM ring")
+@query(
+    "ring_validate",
+    f"""WITH {_BOXES}, r AS (SELECT objectid, CASE objectid % 8 {" ".join(f"WHEN {i} THEN {_duck(k)}" for i, k in enumerate(RING_KINDS))} END AS points FROM raw_box),
+v AS (SELECT objectid, len(points) AS many, generate_subscripts(points, 1) AS pos, unnest(points) AS p FROM r), f AS (SELECT objectid, many, pos, p.x AS x, p.y AS y, lag(p.x) OVER w AS bx, lag(p.y) OVER w AS b_y FROM v WINDOW w AS (PARTITION BY objectid ORDER BY pos)),
+k AS (SELECT objectid, many, x, y, row_number() OVER (PARTITION BY objectid ORDER BY pos) AS i FROM f WHERE pos = 1 OR x IS DISTINCT FROM bx OR y IS DISTINCT FROM b_y),
+s AS (SELECT objectid, i, count(*) OVER (PARTITION BY objectid) - 1 AS n, x AS ax, y AS ay, lead(x) OVER w AS bx, lead(y) OVER w AS b_y FROM k WINDOW w AS (PARTITION BY objectid ORDER BY i)), side AS (SELECT * FROM s WHERE i <= n),
+pair AS (SELECT a.objectid, a.i = 1 AND b.i = a.n AS closing, b.i = a.i + 1 AS following, a.ax, a.ay, a.bx, a.b_y, b.ax AS cx, b.ay AS cy, b.bx AS dx, b.b_y AS dy FROM side a JOIN side b ON b.objectid = a.objectid AND b.i > a.i),
+t AS (SELECT *, sign((bx - ax) * (cy - ay) - (b_y - ay) * (cx - ax)) AS t1, sign((bx - ax) * (dy - ay) - (b_y - ay) * (dx - ax)) AS t2, sign((dx - cx) * (ay - cy) - (dy - cy) * (ax - cx)) AS t3, sign((dx - cx) * (b_y - cy) - (dy - cy) * (bx - cx)) AS t4, (bx - ax) * (dx - cx) + (b_y - ay) * (dy - cy) AS ahead FROM pair),
+bad AS (SELECT DISTINCT objectid FROM t WHERE CASE WHEN following THEN t2 = 0 AND ahead < 0 WHEN closing THEN t4 = 0 AND ahead < 0 ELSE (t1 * t2 < 0 AND t3 * t4 < 0) OR (t1 = 0 AND cx BETWEEN least(ax, bx) AND greatest(ax, bx) AND cy BETWEEN least(ay, b_y) AND greatest(ay, b_y)) OR (t2 = 0 AND dx BETWEEN least(ax, bx) AND greatest(ax, bx) AND dy BETWEEN least(ay, b_y) AND greatest(ay, b_y))
+  OR (t3 = 0 AND ax BETWEEN least(cx, dx) AND greatest(cx, dx) AND ay BETWEEN least(cy, dy) AND greatest(cy, dy)) OR (t4 = 0 AND bx BETWEEN least(cx, dx) AND greatest(cx, dx) AND b_y BETWEEN least(cy, dy) AND greatest(cy, dy)) END),
+whole AS (SELECT objectid, many >= 4 AND count(*) >= 4 AND bool_and(x IS NOT NULL AND y IS NOT NULL) AND count(DISTINCT (x, y)) >= 3 AND arg_min(x, i) = arg_max(x, i) AND arg_min(y, i) = arg_max(y, i) AS fine FROM k GROUP BY objectid, many),
+area AS (SELECT objectid, abs(sum(ax * b_y - bx * ay)) > 1e-15 AS spread FROM side GROUP BY objectid)
+SELECT objectid, coalesce(fine AND spread, false) AND objectid NOT IN (SELECT objectid FROM bad) AS valid FROM whole LEFT JOIN area USING (objectid)""",
+)
 def ring_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rings = raw_buildings(spark, sf_dir).select("objectid", F.posexplode("rings").alias("ring", "points"))
-    return rings.select("objectid", "ring", shadows.valid_ring(F.col("points")).alias("valid"))
+    """Which of rings of many kinds are footprints."""
+    kind = F.col("objectid") % 8
+    ring = F.lit(None).cast("array<struct<x:double,y:double>>")
+    for i, corners in enumerate(RING_KINDS):
+        ring = F.when(kind == i, _drawn(corners)).otherwise(ring)
+    return raw_buildings(spark, sf_dir).select("objectid", shadows.valid_ring(ring).alias("valid"))
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:

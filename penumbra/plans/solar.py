@@ -73,7 +73,7 @@ def refraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TEXT = "concat(CAST(CAST(o_orderdate AS DATE) AS STRING), CASE o_orderkey % 5 WHEN 0 THEN 'T10:00:00Z' WHEN 1 THEN 'T10:00:00-05:00' WHEN 2 THEN 'T10:00:00' WHEN 3 THEN 'T25:00:00Z' ELSE '' END)"
 
 
-@query("time_validate", "SELECT o_orderkey, o_orderkey % 5 < 2 AS valid FROM orders")
+@query("time_validate", f"WITH t AS (SELECT o_orderkey, {_TEXT} AS text FROM orders) SELECT o_orderkey, coalesce(regexp_full_match(text[20:], 'Z|[+-][0-9][0-9]:?[0-9][0-9]') AND TRY_CAST(replace(text[1:19], 'T', ' ') AS TIMESTAMP) BETWEEN TIMESTAMP '1800-01-01' AND TIMESTAMP '2100-12-31', false) AS valid FROM t")
 def time_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = table(spark, sf_dir, "orders").select("o_orderkey", F.expr(_TEXT).alias("text"))
     return texts.select("o_orderkey", solar.valid_instant(F.col("text")).alias("valid"))
