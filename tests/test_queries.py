@@ -7,7 +7,7 @@ from penumbra import registry
 
 QUERIES, SQL = registry.queries(), registry.oracle_sql()
 #: Searches of the graph for both preferences take long; one of them is enough here.
-SLOW = {"route_fastest", "route_shadiest", "route_alternative", "edge_cost", "route_plain", "list_buildings", "unroutable_buildings"}
+SLOW = {"route_fastest", "route_shadiest", "route_alternative", "edge_cost", "list_buildings", "unroutable_buildings"}
 
 
 @pytest.mark.parametrize("name", sorted(set(SQL) - SLOW))
