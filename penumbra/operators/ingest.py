@@ -9,6 +9,9 @@ from penumbra.functions import geo
 from penumbra.functions.text import clean_text, positive_integer, positive_number
 
 FEET, FLOOR_M, SCHEMA_VERSION = 0.3048, 3.5, 1
+UNIT_STATUS = "assumed; source metadata does not declare units"
+TREE_FLAGS = ("dead", "health_unknown", "invalid_geometry", "missing_canopy_spread", "missing_height", "removed", "status_unknown")
+BUILDING_FLAGS = ("height_estimated_from_floors", "invalid_geometry", "missing_floor_count")
 
 
 def flags(*named: tuple[str, Column]) -> Column:
@@ -102,18 +105,30 @@ def counts(rows: DataFrame, kind: str) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("total"), F.count_if("shade_ready").alias("ready")).select(F.lit(kind).alias("kind"), "total", "ready")
 
 
-def envelope(trees: DataFrame, buildings: DataFrame, generated_at: Column, bbox: tuple[float, float, float, float]) -> DataFrame:
-    """One row that says where a data set comes from, what was assumed, and what is in it; generated_at is a UTC instant."""
-    both = counts(trees, "trees").unionByName(counts(buildings, "buildings"))
-    summed = both.agg(*[F.max(F.when(F.col("kind") == kind, F.col(c))).alias(f"{kind}_{c}") for kind in ("trees", "buildings") for c in ("total", "ready")])
+def summary(rows: DataFrame, kind: str, known: tuple[str, ...]) -> DataFrame:
+    """One row: kind_total, kind_ready and kind_flags, a map from each known flag that occurs to how often; in one pass."""
+    flagged = [F.struct(F.lit(flag).alias("key"), F.count_if(F.array_contains("quality_flags", flag)).alias("value")) for flag in known]
+    found = F.filter(F.array(*flagged), lambda e: e["value"] > 0)
+    return rows.agg(F.count(F.lit(1)).alias(f"{kind}_total"), F.count_if("shade_ready").alias(f"{kind}_ready"), F.map_from_entries(found).alias(f"{kind}_flags"))
+
+
+def envelope(trees: DataFrame, buildings: DataFrame, generated_at: Column, bbox: tuple[float, float, float, float], source: tuple[str, str], layers: dict[str, tuple[int, str]]) -> DataFrame:
+    """One row that says where a data set comes from, what was assumed, and what is in it; generated_at is a UTC instant, source a name and an address, layers have an id and a name."""
     west, south, east, north = bbox
-    return summed.select(
+    named = [x for kind, (number, name) in layers.items() for x in (F.lit(kind), F.struct(F.lit(number).alias("id"), F.lit(name).alias("name")))]
+    counted = summary(trees, "trees", TREE_FLAGS).crossJoin(summary(buildings, "buildings", BUILDING_FLAGS))
+    return counted.select(
         F.lit(SCHEMA_VERSION).alias("schema_version"),
         F.concat(F.date_format(generated_at, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z")).alias("generated_at"),
+        F.lit(source[0]).alias("source_name"),
+        F.lit(source[1]).alias("service_url"),
+        F.create_map(*named).alias("layers"),
         F.lit("EPSG:4326").alias("source_crs"),
         F.lit("EPSG:32614").alias("target_crs"),
         F.lit(f"{west},{south},{east},{north}").alias("bbox"),
+        F.lit("feet").alias("tree_dimension_source_unit"),
+        F.lit(UNIT_STATUS).alias("tree_dimension_unit_status"),
         F.lit(FEET).alias("feet_to_metres"),
         F.lit(FLOOR_M).alias("floor_height_m"),
-        *summed.columns,
+        *counted.columns,
     )

@@ -8,46 +8,60 @@ from pyspark.sql import functions as F
 
 from penumbra.functions.geo import bearing_error, percent_error
 
-CLOUDS = ("clear", "partly_cloudy", "overcast")
+TYPES, OBJECTS, PREFERENCES, CLOUDS = ("route", "shadow"), ("building", "tree"), ("fastest", "shadiest"), ("clear", "overcast", "partly_cloudy")
 
 
-def checks() -> list[tuple[str, Column]]:
-    """(field, what is wrong with it) in the order in which they are looked at; the first that holds is reported."""
+def checks() -> list[tuple[Column, str]]:
+    """(when it applies, what is then said) in the order in which an observation is looked at; the first that applies is reported.
+
+    Columns are typed, so a value of another type reads as missing, and so does what an absent object would hold.
+    """
     c = F.col
-    blank = lambda name: c(name).isNull() | (F.btrim(name) == "")
-    outside = lambda name, low, high: c(name).isNull() | F.isnan(name) | ~c(name).between(low, high)
-    negative = lambda name: c(name).isNull() | F.isnan(name) | (c(name) < 0)
-    shadow, route = c("observation_type") == "shadow", c("observation_type") == "route"
+
+    def text(name: str, field: str) -> list[tuple[Column, str]]:
+        return [(c(name).isNull(), f"{field} is required"), (F.btrim(name) == "", f"{field} must be a non-empty string")]
+
+    def one_of(name: str, field: str, values: tuple[str, ...]) -> list[tuple[Column, str]]:
+        return [*text(name, field), (~F.btrim(name).isin(*values), f"{field} must be one of {list(values)}")]
+
+    def number(name: str, field: str, least: int, most: int | None = None) -> list[tuple[Column, str]]:
+        found = [(c(name).isNull(), f"{field} is required"), (F.isnan(name), f"{field} must be a number"), (c(name) < least, f"{field} must be at least {least}")]
+        return found if most is None else [*found, (c(name) > most, f"{field} must be at most {most}")]
+
+    def only(kind: str, *rules: list[tuple[Column, str]]) -> list[tuple[Column, str]]:
+        return [((c("observation_type") == kind) & bad, said) for rule in rules for bad, said in rule]
+
     out = [
-        ("observation_id", blank("observation_id")),
-        ("observed_at", blank("observed_at") | ~c("observed_at").rlike(r"(Z|[+-]\d\d:?\d\d)$") | F.try_to_timestamp(c("observed_at")).isNull()),
-        ("observation_type", F.coalesce(~c("observation_type").isin("shadow", "route"), F.lit(True))),
-        ("location.latitude", outside("latitude", -90, 90)),
-        ("location.longitude", outside("longitude", -180, 180)),
-        ("location.gps_accuracy_m", negative("gps_accuracy_m")),
-        ("conditions.cloud_condition", F.coalesce(~c("cloud_condition").isin(*CLOUDS), F.lit(True))),
-        ("evidence.photo_files", c("photos").isNull() | (c("photos") == 0)),
+        *text("observed_at", "observed_at"),
+        (F.try_to_timestamp(c("observed_at")).isNull(), "observed_at must be ISO 8601"),
+        (~c("observed_at").rlike(r"(Z|[+-]\d\d:?\d\d)$"), "observed_at must include a timezone offset"),
+        *one_of("observation_type", "observation_type", TYPES),
+        *number("latitude", "location.latitude", -90, 90),
+        *number("longitude", "location.longitude", -180, 180),
+        *number("gps_accuracy_m", "location.gps_accuracy_m", 0),
+        *one_of("cloud_condition", "conditions.cloud_condition", CLOUDS),
+        (c("photos").isNull(), "evidence.photo_files is required"),
+        (c("photos") == 0, "evidence.photo_files must contain at least one filename"),
+        *only("shadow", one_of("object_type", "subject.object_type", OBJECTS), text("source_feature_id", "subject.source_feature_id")),
+        *only("route", text("origin_id", "route.origin_id"), text("destination_id", "route.destination_id"), one_of("preference", "route.preference", PREFERENCES)),
     ]
     for side in ("observed", "predicted"):
-        out += [
-            (f"{side}.shadow_bearing_degrees", shadow & outside(f"{side}_bearing", 0, 360)),
-            (f"{side}.shadow_length_m", shadow & negative(f"{side}_length")),
-            (f"{side}.walkway_shade_fraction", shadow & outside(f"{side}_fraction", 0, 1)),
-            (f"{side}.distance_m", route & negative(f"{side}_distance")),
-            (f"{side}.duration_seconds", route & negative(f"{side}_duration")),
-            (f"{side}.shade_fraction", route & outside(f"{side}_fraction", 0, 1)),
-        ]
+        out += only("shadow", number(f"{side}_bearing", f"{side}.shadow_bearing_degrees", 0, 360), number(f"{side}_length", f"{side}.shadow_length_m", 0), number(f"{side}_fraction", f"{side}.walkway_shade_fraction", 0, 1))
+        out += only("route", number(f"{side}_distance", f"{side}.distance_m", 0), number(f"{side}_duration", f"{side}.duration_seconds", 0), number(f"{side}_fraction", f"{side}.shade_fraction", 0, 1))
     return out
 
 
 def violations(observations: DataFrame) -> DataFrame:
-    """observation_id, pos, message: what is first wrong with each observation that isn't right; a repeated id is looked for last."""
-    first = F.get(F.array_compact(F.array(*[F.when(F.coalesce(bad, F.lit(False)), F.lit(field)) for field, bad in checks()])), F.lit(0))
-    checked = observations.withColumn("field", first)
-    nth = F.row_number().over(W.partitionBy("observation_id").orderBy("pos"))
-    named = checked.withColumn("nth", nth).withColumn("field", F.coalesce("field", F.when(F.col("nth") > 1, F.lit("observation_id"))))
-    message = F.concat(F.lit("observation["), F.coalesce("observation_id", F.lit("")), F.lit("]."), F.col("field"), F.when(F.col("nth") > 1, " must be valid and unique").otherwise(" must be valid"))
-    return named.filter("field is not null").select("observation_id", "pos", message.alias("message"))
+    """observation_id, pos, message: what is first wrong with each observation that isn't right; a repeated id is looked for last, an absent one first."""
+    number = F.col("observation_id")
+    path = F.concat(F.lit("observation["), F.btrim(number), F.lit("]."))
+    unnamed = F.when(number.isNull(), "observation.observation_id is required").when(F.btrim(number) == "", "observation.observation_id must be a non-empty string")
+    # rows without an id aren't compared with one another
+    salt = F.when(number.isNull(), F.col("pos"))
+    nth = F.row_number().over(W.partitionBy("observation_id", salt).orderBy("pos"))
+    repeated = F.when(F.col("nth") > 1, F.concat(F.lit("duplicate observation_id: "), number))
+    message = F.coalesce(unnamed, *[F.when(bad, F.concat(path, F.lit(said))) for bad, said in checks()], repeated)
+    return observations.withColumn("nth", nth).select("observation_id", "pos", message.alias("message")).filter("message is not null")
 
 
 def valid(observations: DataFrame) -> DataFrame:
@@ -59,11 +73,11 @@ def shadow_errors(observations: DataFrame) -> DataFrame:
     o = observations.filter("observation_type = 'shadow'")
     apart = lambda name: F.abs(F.col(f"predicted_{name}") - F.col(f"observed_{name}"))
     return o.select(
-        "observation_id", "pos",
+        "observation_id", "pos", "object_type",
         F.round(bearing_error(F.col("observed_bearing"), F.col("predicted_bearing")), 3).alias("bearing_error_degrees"),
         F.round(apart("length"), 3).alias("length_error_m"),
         F.round(percent_error(F.col("observed_length"), F.col("predicted_length")), 3).alias("length_error_percent"),
-        F.round(apart("fraction") * 100, 3).alias("shade_error_points"),
+        F.round(apart("fraction") * 100, 3).alias("walkway_shade_error_percentage_points"),
     )
 
 
@@ -72,22 +86,24 @@ def route_errors(observations: DataFrame) -> DataFrame:
     o = observations.filter("observation_type = 'route'")
     apart = lambda name: F.abs(F.col(f"predicted_{name}") - F.col(f"observed_{name}"))
     return o.select(
-        "observation_id", "pos",
+        "observation_id", "pos", "preference",
         F.round(apart("distance"), 3).alias("distance_error_m"),
         F.round(percent_error(F.col("observed_distance"), F.col("predicted_distance")), 3).alias("distance_error_percent"),
-        F.round(apart("duration"), 3).alias("duration_error_s"),
-        F.round(apart("fraction") * 100, 3).alias("shade_error_points"),
+        F.round(apart("duration"), 3).alias("duration_error_seconds"),
+        F.round(percent_error(F.col("observed_duration"), F.col("predicted_duration")), 3).alias("duration_error_percent"),
+        F.round(apart("fraction") * 100, 3).alias("shade_error_percentage_points"),
     )
 
 
 def means(errors: DataFrame, digits: int = 3) -> DataFrame:
-    """One row: n, and the mean of each error (nulls left out, null if there is none)."""
-    measures = [c for c in errors.columns if c not in ("observation_id", "pos")]
-    return errors.agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(c), digits).alias(c) for c in measures])
+    """One row: count, and the mean of each error (nulls left out, null if there is none)."""
+    measures = [c for c in errors.columns if "_error_" in c]
+    return errors.agg(F.count(F.lit(1)).alias("count"), *[F.round(F.avg(c), digits).alias(f"mean_absolute_{c}") for c in measures])
 
 
 def report(observations: DataFrame) -> DataFrame:
-    """One row of JSON: counts and means by kind of observation."""
-    s = means(shadow_errors(observations)).select(F.struct("*").alias("shadow"))
-    r = means(route_errors(observations)).select(F.struct("*").alias("route"))
-    return s.crossJoin(r).select(F.to_json(F.struct("shadow", "route"), {"pretty": "true"}).alias("report"))
+    """One row: schema_version, observation_count, shadow_summary, route_summary; for write_document. Errors of single observations stay rows of their own."""
+    s = means(shadow_errors(observations)).select(F.struct("*").alias("shadow_summary"))
+    r = means(route_errors(observations)).select(F.struct("*").alias("route_summary"))
+    n = F.col("shadow_summary.count") + F.col("route_summary.count")
+    return s.crossJoin(r).select(F.lit("1.0").alias("schema_version"), n.alias("observation_count"), "shadow_summary", "route_summary")

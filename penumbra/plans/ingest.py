@@ -132,13 +132,20 @@ def ingest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "ingest_envelope",
-    f"""WITH {SUMMARY} SELECT CAST(1 AS INTEGER) AS schema_version, '2026-08-30T15:15:00Z' AS generated_at, 'EPSG:4326' AS source_crs, 'EPSG:32614' AS target_crs,
+    f"""WITH {SUMMARY} SELECT CAST(1 AS INTEGER) AS schema_version, '2026-08-30T15:15:00Z' AS generated_at, 'map service' AS source_name, 'https://maps.example/rest' AS service_url, 'buildings 1 Buildings|trees 4 Trees' AS layers, 'EPSG:4326' AS source_crs, 'EPSG:32614' AS target_crs,
+  'feet' AS tree_dimension_source_unit, 'assumed; source metadata does not declare units' AS tree_dimension_unit_status,
   '-96.346,30.609,-96.338,30.6225' AS bbox, 0.3048e0 AS feet_to_metres, 3.5e0 AS floor_height_m, (SELECT count(*) FROM tree) AS trees_total, (SELECT count(*) FILTER (shade_ready) FROM tree) AS trees_ready,
-  (SELECT count(*) FROM building) AS buildings_total, (SELECT count(*) FILTER (shade_ready) FROM building) AS buildings_ready""",
+  (SELECT count(*) FROM building) AS buildings_total, (SELECT count(*) FILTER (shade_ready) FROM building) AS buildings_ready,
+  (SELECT string_agg(flag || '=' || n, '|' ORDER BY flag) FROM (SELECT flag, count(*) AS n FROM (SELECT unnest(flags) AS flag FROM tree) GROUP BY flag)) AS trees_flags,
+  (SELECT string_agg(flag || '=' || n, '|' ORDER BY flag) FROM (SELECT flag, count(*) AS n FROM (SELECT unnest(flags) AS flag FROM building) GROUP BY flag)) AS buildings_flags""",
 )
 def ingest_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = F.lit("2026-08-30 15:15:00").cast("timestamp_ntz")
-    return ingest.envelope(trees(spark, sf_dir), buildings(spark, sf_dir), at, (WEST, SOUTH, EAST, NORTH))
+    layers = {"trees": (4, "Trees"), "buildings": (1, "Buildings")}
+    row = ingest.envelope(trees(spark, sf_dir), buildings(spark, sf_dir), at, (WEST, SOUTH, EAST, NORTH), ("map service", "https://maps.example/rest"), layers)
+    counted = lambda name: F.array_join(F.transform(F.array_sort(F.map_entries(name)), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), "|")
+    listed = F.array_join(F.transform(F.array_sort(F.map_entries("layers")), lambda e: F.concat_ws(" ", e["key"], e["value"]["id"].cast("string"), e["value"]["name"])), "|")
+    return row.withColumn("layers", listed).withColumn("trees_flags", counted("trees_flags")).withColumn("buildings_flags", counted("buildings_flags"))
 
 
 @query("bbox_filter", f"WITH {TREES} SELECT objectid, x, y FROM raw_tree WHERE x BETWEEN -96.344e0 AND -96.340e0 AND y BETWEEN 30.612e0 AND 30.62e0")

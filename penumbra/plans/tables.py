@@ -49,17 +49,22 @@ OBSERVATION_COLUMNS = {
     "observation_id": "concat('obs-', CAST(CASE WHEN k % 101 = 7 THEN k - 1 ELSE k END AS STRING))",
     "pos": "k",
     "observation_type": "CASE WHEN k % 53 = 11 THEN 'photo' WHEN k % 2 = 0 THEN 'shadow' ELSE 'route' END",
-    "observed_at": "concat(CAST(CAST(o_orderdate AS DATE) AS STRING), 'T13:15:00', CASE k % 43 WHEN 3 THEN '' WHEN 4 THEN 'Z' ELSE '-05:00' END)",
+    "observed_at": "concat(CAST(CAST(o_orderdate AS DATE) AS STRING), 'T13:15:00', CASE k % 43 WHEN 3 THEN '' WHEN 4 THEN 'Z' WHEN 5 THEN ' noon' ELSE '-05:00' END)",
     "latitude": "CASE WHEN k % 97 = 5 THEN 95e0 ELSE 30.6e0 + (k % 10) / 100e0 END",
     "longitude": "CASE WHEN k % 89 = 6 THEN -200e0 ELSE -96.3e0 END",
     "gps_accuracy_m": "CASE WHEN k % 83 = 9 THEN -1e0 ELSE (k % 7) / 2e0 END",
     "cloud_condition": "CASE WHEN k % 41 = 2 THEN 'fog' WHEN k % 3 = 0 THEN 'clear' WHEN k % 3 = 1 THEN 'partly_cloudy' ELSE 'overcast' END",
     "photos": "k % 5",
+    "object_type": "CASE WHEN k % 61 = 10 THEN 'pole' WHEN k % 4 = 0 THEN 'tree' ELSE 'building' END",
+    "source_feature_id": "CASE WHEN k % 67 = 12 THEN ' ' ELSE CAST(k AS STRING) END",
+    "origin_id": "concat('node-', CAST(k % 40 AS STRING))",
+    "destination_id": "CASE WHEN k % 71 = 14 THEN NULL ELSE concat('node-', CAST(k % 41 AS STRING)) END",
+    "preference": "CASE WHEN k % 73 = 15 THEN 'scenic' WHEN k % 3 = 0 THEN 'fastest' ELSE 'shadiest' END",
     "observed_bearing": "(k % 360) * 1e0",
     "predicted_bearing": "((k * 7 + 13) % 360) + 5e-1",
     "observed_length": "CASE WHEN k % 10 = 0 THEN 0e0 ELSE o_totalprice / 1e4 END",
     "predicted_length": "o_totalprice / 11e3 + (k % 5)",
-    "observed_fraction": "(k % 100) / 100e0",
+    "observed_fraction": "CASE WHEN k % 79 = 20 THEN 15e-1 ELSE (k % 100) / 100e0 END",
     "predicted_fraction": "((k * 3) % 100) / 100e0",
     "observed_distance": "o_totalprice / 100e0",
     "predicted_distance": "o_totalprice / 97e0 + (k % 11)",

@@ -54,6 +54,11 @@ def asked(transport: Callable[[str], bytes], url: str) -> dict:
     return answer
 
 
+def object_id(feature: dict) -> object:
+    attributes = feature.get("attributes")
+    return attributes.get("OBJECTID") if isinstance(attributes, dict) else None
+
+
 class Page(InputPartition):
     """Offsets from offset up to end; None: to the layer's end."""
 
@@ -91,20 +96,22 @@ class ArcGISReader(DataSourceReader):
         while partition.end is None or at < partition.end:
             size = self.page_size if partition.end is None else partition.end - at
             answer = asked(transport, self.url(resultOffset=at, resultRecordCount=size))
-            features = answer.get("features")
-            if not isinstance(features, list):
+            page = answer.get("features")
+            if not isinstance(page, list):
                 raise ArcGISError("the service's answer has no features")
             more = answer.get("exceededTransferLimit")
-            numbers = {(feature.get("attributes") or {}).get("OBJECTID") for feature in features}
+            # what is no object is no feature, but counts in the service's offsets
+            features = [feature for feature in page if isinstance(feature, dict)]
+            numbers = {object_id(feature) for feature in features}
             # a service that ignores the offset gives the same features for ever
             if more and numbers <= seen:
                 raise ArcGISError(f"paging stalled at {at}")
             seen |= numbers - {None}
             for n, feature in enumerate(features, at - partition.offset):
-                number = (feature.get("attributes") or {}).get("OBJECTID")
+                number = object_id(feature)
                 yield json.dumps(feature), None if number is None else int(number), partition.offset, n
             # services may answer with fewer features than asked for
-            at += len(features)
+            at += len(page)
             if not more:
                 break
 

@@ -47,7 +47,7 @@ def scan_buildings(spark: SparkSession, path: str) -> DataFrame:
 def scan_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of a graph document: positional arrays of numbers and a kind of way."""
     schema = "nodes array<array<double>>, edges array<array<string>>"
-    document = spark.read.schema(schema).option("multiLine", True).json(path)
+    document = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
     nodes = document.select(F.explode("nodes").alias("n")).select(F.col("n")[0].cast("long").alias("node_id"), F.col("n")[1].alias("lat"), F.col("n")[2].alias("lon"))
     edges = document.select(F.explode("edges").alias("e")).select(F.col("e")[0].cast("long").alias("lo"), F.col("e")[1].cast("long").alias("hi"), F.col("e")[2].cast("double").alias("distance_m"), F.col("e")[3].alias("highway"))
     return nodes, edges
@@ -66,6 +66,7 @@ def scan_observations(spark: SparkSession, path: str) -> DataFrame:
     """Field observations of a document, one row each with the columns that the checks read; a version other than 1.0 is an error."""
     observation = """observation_id string, observation_type string, observed_at string, location struct<latitude:double,longitude:double,gps_accuracy_m:double>,
       conditions struct<cloud_condition:string>, evidence struct<photo_files:array<string>>,
+      subject struct<object_type:string,source_feature_id:string>, route struct<origin_id:string,destination_id:string,preference:string>,
       observed struct<shadow_bearing_degrees:double,shadow_length_m:double,walkway_shade_fraction:double,distance_m:double,duration_seconds:double,shade_fraction:double>,
       predicted struct<shadow_bearing_degrees:double,shadow_length_m:double,walkway_shade_fraction:double,distance_m:double,duration_seconds:double,shade_fraction:double>"""
     whole = StructType([StructField("schema_version", StringType()), StructField("observations", ArrayType(_typed(observation)))])
@@ -73,7 +74,10 @@ def scan_observations(spark: SparkSession, path: str) -> DataFrame:
     rows = F.when(F.col("schema_version").eqNullSafe("1.0") & F.col("observations").isNotNull(), F.col("observations")).otherwise(F.raise_error(F.lit("schema_version must be 1.0 and observations a list")))
     o = document.select(F.posexplode(rows).alias("pos", "o")).select("pos", "o.*")
     sides = [c for side in ("observed", "predicted") for c in (F.col(f"{side}.shadow_bearing_degrees").alias(f"{side}_bearing"), F.col(f"{side}.shadow_length_m").alias(f"{side}_length"), F.coalesce(f"{side}.walkway_shade_fraction", f"{side}.shade_fraction").alias(f"{side}_fraction"), F.col(f"{side}.distance_m").alias(f"{side}_distance"), F.col(f"{side}.duration_seconds").alias(f"{side}_duration"))]
-    return o.select("observation_id", "pos", "observation_type", "observed_at", "location.latitude", "location.longitude", "location.gps_accuracy_m", "conditions.cloud_condition", F.size("evidence.photo_files").alias("photos"), *sides)
+    files = F.col("evidence.photo_files")
+    photos = F.when(F.exists(files, lambda f: F.coalesce(f == "", F.lit(True))), 0).otherwise(F.size(files)).alias("photos")
+    about = ["location.latitude", "location.longitude", "location.gps_accuracy_m", "conditions.cloud_condition", "subject.object_type", "subject.source_feature_id", "route.origin_id", "route.destination_id", "route.preference"]
+    return o.select("observation_id", "pos", "observation_type", "observed_at", *about, photos, *sides)
 
 
 def write_document(row: DataFrame, path: str) -> None:
