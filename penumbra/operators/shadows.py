@@ -84,7 +84,10 @@ def valid_reference(footprint_m: Column, footprint_wgs84: Column) -> Column:
 def eligible_buildings(buildings: DataFrame) -> DataFrame:
     """Normalised buildings (with pos, their order) that throw a shadow; of those with one id the first that qualifies."""
     height = F.col("estimated_height_m")
-    good = buildings.filter(F.col("shade_ready") & F.col("source_id").isNotNull() & finite(height) & (height > 0) & (F.size("footprint_m") > 0) & F.forall("footprint_m", valid_ring) & valid_reference(F.col("footprint_m"), F.col("footprint_wgs84")))
+    # both footprints are named once, since the plan repeats what they are computed from for each naming
+    footprint = F.struct(F.col("footprint_m").alias("m"), F.col("footprint_wgs84").alias("w"))
+    sound = geo.let(footprint, lambda f: (F.size(f["m"]) > 0) & F.forall(f["m"], valid_ring) & valid_reference(f["m"], f["w"]))
+    good = buildings.filter(F.col("shade_ready") & F.col("source_id").isNotNull() & finite(height) & (height > 0) & sound)
     first = F.row_number().over(W.partitionBy("source_id").orderBy("pos"))
     return good.withColumn("n", first).filter("n = 1").drop("n").withColumn("height_m", height)
 

@@ -24,14 +24,15 @@ TREE_COLUMNS = {
     "y": "CASE WHEN k % 23 = 0 THEN NULL ELSE 30.609e0 + 135e-4 * ((k * 104729) % 10009) / 10009e0 END",
 }
 #: Raw attributes of buildings, by the number k of a supplier; w0, s0 is the south-west corner, w and h are the size in degrees.
+#: Every 13th stands on the next one's corner, so that places share their access.
 BUILDING_COLUMNS = {
     "objectid": "k",
     "number": "concat(' ', lpad(CAST(k AS STRING), 4, '0'), ' ')",
     "abbreviation": "CASE k % 4 WHEN 0 THEN NULL WHEN 1 THEN '12.5' ELSE concat('B', CAST(k AS STRING)) END",
     "name": "CASE WHEN k % 29 = 5 THEN '  ' ELSE concat(' ', s_name, ' ') END",
     "floors": "CASE k % 9 WHEN 0 THEN ' ' ELSE CAST(k % 9 AS STRING) END",
-    "w0": "-96.346e0 + 78e-4 * ((k * 6151) % 9973) / 9973e0",
-    "s0": "30.609e0 + 133e-4 * ((k * 7823) % 9967) / 9967e0",
+    "w0": "-96.346e0 + 78e-4 * ((CASE WHEN k % 13 = 1 THEN k + 1 ELSE k END * 6151) % 9973) / 9973e0",
+    "s0": "30.609e0 + 133e-4 * ((CASE WHEN k % 13 = 1 THEN k + 1 ELSE k END * 7823) % 9967) / 9967e0",
     "w": "2e-4 + 2e-5 * (k % 5)",
     "h": "15e-5 + 2e-5 * (k % 7)",
 }
@@ -97,7 +98,8 @@ NODES = f"""grid AS (SELECT k, n, side, CAST(floor(k / side) AS BIGINT) AS r, k
 DISTANCE = "2 * 6371000e0 * asin(sqrt(pow(sin(radians({b}.lat - {a}.lat) / 2), 2) + cos(radians({a}.lat)) * cos(radians({b}.lat)) * pow(sin(radians({b}.lon - {a}.lon) / 2), 2)))"
 EDGES = f"""{NODES}, edge AS (
   SELECT a.node_id AS lo, b.node_id AS hi, round({DISTANCE.format(a="a", b="b")}, 2) AS distance_m, CASE WHEN a.node_id % 3 = 0 THEN 'path' ELSE 'footway' END AS highway
-  FROM node a JOIN node b ON (b.node_id = a.node_id + 1 AND b.r = a.r AND (a.node_id * 31) % 10 <> 0) OR (b.node_id = a.node_id + a.side AND (a.node_id * 17) % 9 <> 0))"""
+  FROM node a JOIN node b ON (b.node_id = a.node_id + 1 AND b.r = a.r AND (a.node_id * 31) % 10 <> 0) OR (b.node_id = a.node_id + a.side AND (a.node_id * 17) % 9 <> 0)
+  WHERE (a.r < a.side // 8 + 2 AND a.c < a.side // 8 + 2) = (b.r < b.side // 8 + 2 AND b.c < b.side // 8 + 2))"""
 OBSERVATIONS = f"obs AS ({_cte(OBSERVATION_COLUMNS, '(SELECT *, o_orderkey AS k FROM orders)')})"
 
 
@@ -135,16 +137,18 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lo, hi, distance_m, highway: neighbours to the right and below, some left out. Two joins on the neighbour's id."""
+    """lo, hi, distance_m, highway: neighbours to the right and below, some left out, and none into the south-western corner. One join on the neighbour's id."""
     from penumbra.functions.geo import haversine
 
     node = nodes(spark, sf_dir)
     k = F.col("node_id")
     right = F.when((k * 31) % 10 != 0, k + 1)
     below = F.when((k * 17) % 9 != 0, k + F.col("side"))
-    ends = node.select("node_id", "r", "lon", "lat", F.explode(F.array(F.struct(right.alias("to"), F.lit(True).alias("row")), F.struct(below.alias("to"), F.lit(False).alias("row")))).alias("e"))
-    other = node.select(F.col("node_id").alias("hi"), F.col("r").alias("r2"), F.col("lon").alias("lon2"), F.col("lat").alias("lat2"))
-    met = ends.join(other, F.col("e.to") == F.col("hi")).filter(~F.col("e.row") | (F.col("r") == F.col("r2")))
+    wide = F.floor(F.col("side") / 8) + 2
+    corner = ((F.col("r") < wide) & (F.col("c") < wide)).alias("corner")
+    ends = node.select("node_id", "r", corner, "lon", "lat", F.explode(F.array(F.struct(right.alias("to"), F.lit(True).alias("row")), F.struct(below.alias("to"), F.lit(False).alias("row")))).alias("e"))
+    other = node.select(F.col("node_id").alias("hi"), F.col("r").alias("r2"), corner.alias("corner2"), F.col("lon").alias("lon2"), F.col("lat").alias("lat2"))
+    met = ends.join(other, F.col("e.to") == F.col("hi")).filter((~F.col("e.row") | (F.col("r") == F.col("r2"))) & (F.col("corner") == F.col("corner2")))
     distance = F.round(haversine(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")), 2)
     return met.select(F.col("node_id").alias("lo"), "hi", distance.alias("distance_m"), F.when(F.col("node_id") % 3 == 0, "path").otherwise("footway").alias("highway"))
 
