@@ -26,6 +26,14 @@ CAPSULES = f"""{TREES_CLEAN}, {SUNS}, cap1 AS (
 ), capsule AS (
   SELECT bucket_start, source_id, i, round(e + CASE WHEN i BETWEEN 9 AND 17 THEN len * cos(d) + r * cos(d - pi() / 2 + (i - 9) * (pi() / 8)) ELSE r * cos(d + pi() / 2 + (i % 18) * (pi() / 8)) END, 3) AS x,
     round(n + CASE WHEN i BETWEEN 9 AND 17 THEN len * sin(d) + r * sin(d - pi() / 2 + (i - 9) * (pi() / 8)) ELSE r * sin(d + pi() / 2 + (i % 18) * (pi() / 8)) END, 3) AS y FROM cap2)"""
+#: The same shadows as drawn on a map: eight segments, in degrees by offsets from the tree.
+DRAWN = f"""{CAPSULES}, draw1 AS (
+  SELECT *, round(len, 3) AS l, 111132.92e0 - 559.82e0 * cos(2 * radians(lat)) + 1.175e0 * cos(4 * radians(lat)) - 0.0023e0 * cos(6 * radians(lat)) AS per_lat,
+    111412.84e0 * cos(radians(lat)) - 93.5e0 * cos(3 * radians(lat)) + 0.118e0 * cos(5 * radians(lat)) AS per_lon FROM cap1
+), draw2 AS (SELECT *, unnest(range(0, 11)) AS i FROM draw1
+), drawn AS (
+  SELECT *, round(e + CASE WHEN i BETWEEN 5 AND 9 THEN l * cos(d) + r * cos(d - pi() / 2 + (i - 5) * (pi() / 4)) ELSE r * cos(d + pi() / 2 + (i % 10) * (pi() / 4)) END, 3) AS x,
+    round(n + CASE WHEN i BETWEEN 5 AND 9 THEN l * sin(d) + r * sin(d - pi() / 2 + (i - 5) * (pi() / 4)) ELSE r * sin(d + pi() / 2 + (i % 10) * (pi() / 4)) END, 3) AS y FROM draw2)"""
 FOOTPRINTS = f"""{BUILDINGS_CLEAN}, {POINTS[POINTS.index("ring AS") :]}, fp AS (
   SELECT u.objectid AS source_id, ring, pos, round(e, 3) AS x, round(n, 3) AS y, estimated_height_m AS height_m FROM utm u JOIN building b ON b.source_id = u.objectid WHERE shade_ready
 ), fside AS (SELECT * FROM (SELECT source_id, ring, pos, height_m, x AS x1, y AS y1, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM fp WINDOW w AS (PARTITION BY source_id, ring ORDER BY pos)) WHERE x2 IS NOT NULL)"""
@@ -87,7 +95,7 @@ def tree_shadow_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("bucket_start", "source_id", F.posexplode("polygon").alias("pos", "p")).select("bucket_start", "source_id", "pos", "p.x", "p.y")
 
 
-@query("metric_to_wgs84")
+@query("metric_to_wgs84", f"WITH {DRAWN} SELECT bucket_start, source_id, CAST(i AS INTEGER) AS pos, round(lon + (x - e) / per_lon, 7) AS lon, round(lat + (y - n) / per_lat, 7) AS lat FROM drawn")
 def metric_to_wgs84(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row per point of each tree shadow as drawn on the map."""
     found = shadows.tree_shadow_map(trees(spark, sf_dir), suns(spark))
