@@ -182,17 +182,3 @@ def swept_area(pieces: DataFrame, step: float = 0.25) -> DataFrame:
     keys = ["bucket_start", "source_id", "line"]
     spans = each.withColumn("west", west).select(*keys, F.explode(inside).alias("s")).select(*keys, "s.t0", "s.t1")
     return covered(spans, keys).groupBy("bucket_start", "source_id").agg(F.sum(F.col("fraction") * (4000 * step)).alias("area_m2"))
-
-
-def building_shadow_map(buildings: DataFrame, suns: DataFrame) -> DataFrame:
-    """bucket_start, source_id, height_m, quality_flags, polygons (degrees): the footprint, the footprint moved, and what each side sweeps; together they are the shadow."""
-    shaped = by_instant(buildings, suns)
-    dx, dy = offset(F.col("reach"), F.col("shadow_azimuth"))
-    shaped = shaped.withColumn("dx", dx).withColumn("dy", dy)
-    moved = lambda p: geo.point(p["x"] + F.col("dx"), p["y"] + F.col("dy"))
-    there = F.transform("footprint_m", lambda r: F.transform(r, moved))
-    quads = F.transform(F.flatten(F.transform("footprint_m", geo.sides)), lambda s: F.array(F.array(s["p"], s["q"], moved(s["q"]), moved(s["p"]), s["p"])))
-    polygons = F.concat(F.array(F.col("footprint_m"), there), quads)
-    first_m, first = F.col("footprint_m")[0][0], F.col("footprint_wgs84")[0][0]
-    drawn = F.transform(polygons, lambda rings: F.transform(rings, lambda r: geo.metric_to_wgs84(r, first_m, first["x"], first["y"])))
-    return shaped.select("bucket_start", "source_id", "height_m", "quality_flags", drawn.alias("polygons"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from penumbra.functions import geo
 from penumbra.functions.solar import shadow_length as reach
 from penumbra.functions.solar import with_solar
-from penumbra.operators import shade, shadows
+from penumbra.operators import outlines, shade, shadows
 from penumbra.operators.graph import kept
 from penumbra.plans.ingest import BUILDINGS_CLEAN, POINTS, TREES_CLEAN, buildings, trees, utm_sql
 from penumbra.plans.solar import solar_sql
@@ -288,12 +288,47 @@ def swept_footprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def building_drawings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shadows.building_shadow_map(ready_buildings(spark, sf_dir), suns(spark))
+    return outlines.building_shadow_map(ready_buildings(spark, sf_dir), suns(spark))
+
+
+@query("shadow_outline")
+def shadow_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per ring around the ground that a building and its shadow cover: what swept_footprint measures, as one outline."""
+    found = outlines.shadow_outlines(ready_buildings(spark, sf_dir), suns(spark))
+    return found.select("bucket_start", "source_id", "ring", "hole", "shell", F.size("points").alias("points"), F.round("area", 3).alias("area_m2"))
+
+
+@query(
+    "building_map_header",
+    # a swept connected footprint is connected, and every footprint here is, so there is one polygon for each shadow
+    f"""WITH {PIECES}, k AS (SELECT count(*) FILTER (shade_ready) AS eligible, count(*) FILTER (NOT shade_ready) AS excluded FROM building)
+SELECT bucket_start, 15 AS bucket_minutes, daylight, round(shadow_azimuth, 4) AS shadow_azimuth, eligible, excluded,
+       CASE WHEN daylight THEN eligible ELSE 0 END AS shadow_count, CASE WHEN daylight THEN eligible ELSE 0 END AS polygon_count FROM solar, k""",
+)
+def building_map_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What goes before the features of a map of building shadows: the bucket, the sun, and how many buildings, shadows and polygons there are."""
+    ready = ready_buildings(spark, sf_dir)
+    total = buildings(spark, sf_dir).agg(F.count(F.lit(1)).alias("total"))
+    k = total.crossJoin(ready.agg(F.count(F.lit(1)).alias("eligible"))).select("eligible", (F.col("total") - F.col("eligible")).alias("excluded"))
+    shells = outlines.shadow_outlines(ready, suns(spark)).filter("not hole").groupBy("bucket_start").agg(F.countDistinct("source_id").alias("shadow_count"), F.count(F.lit(1)).alias("polygon_count"))
+    head = suns(spark).select("bucket_start", F.lit(15).alias("bucket_minutes"), "daylight", F.round("shadow_azimuth", 4).alias("shadow_azimuth")).join(shells, "bucket_start", "left")
+    return head.crossJoin(F.broadcast(k)).withColumns({x: F.coalesce(x, F.lit(0)) for x in ("shadow_count", "polygon_count")})
+
+
+@query(
+    "tree_map_header",
+    f"WITH {TREES_CLEAN}, {SUNS}, k AS (SELECT count(*) FILTER (shade_ready) AS n FROM tree) SELECT bucket_start, 15 AS bucket_minutes, daylight, round(shadow_azimuth, 4) AS shadow_azimuth, CASE WHEN daylight THEN n ELSE 0 END AS shadow_count FROM solar, k",
+)
+def tree_map_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same before the drawing of tree shadows."""
+    found = shadows.by_instant(shadows.eligible_trees(trees(spark, sf_dir)).select("height_m"), suns(spark)).groupBy("bucket_start").agg(F.count(F.lit(1)).alias("shadow_count"))
+    head = suns(spark).select("bucket_start", F.lit(15).alias("bucket_minutes"), "daylight", F.round("shadow_azimuth", 4).alias("shadow_azimuth")).join(found, "bucket_start", "left")
+    return head.withColumn("shadow_count", F.coalesce("shadow_count", F.lit(0)))
 
 
 @query("building_map")
 def building_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row per point of each building shadow as drawn on the map."""
+    """A row per point of each building shadow as drawn on the map: its outline, simplified to 25 cm; ring 0 of a polygon is its shell."""
     polygons = building_drawings(spark, sf_dir).select("bucket_start", "source_id", F.posexplode("polygons").alias("polygon", "rings"))
     rings = polygons.select("bucket_start", "source_id", "polygon", F.posexplode("rings").alias("ring", "points"))
     return rings.select("bucket_start", "source_id", "polygon", "ring", F.posexplode("points").alias("pos", "p")).select("bucket_start", "source_id", "polygon", "ring", "pos", F.col("p.x").alias("lon"), F.col("p.y").alias("lat"))
@@ -304,6 +339,7 @@ def building_geojson(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One feature for each building and instant, with properties as strings."""
     drawn = building_drawings(spark, sf_dir)
     coordinates = F.transform("polygons", lambda rings: F.transform(rings, lambda r: F.transform(r, lambda p: F.array(p["x"], p["y"]))))
-    properties = F.create_map(F.lit("source_id"), F.col("source_id").cast("string"), F.lit("height_m"), F.col("height_m").cast("string"), F.lit("quality_flags"), F.array_join("quality_flags", ","))
+    named = {"building_id": F.col("source_id").cast("string"), "name": F.coalesce("name", F.lit("")), "estimated_height_m": F.col("height_m").cast("string"), "height_source": F.col("height_source"), "quality_flags": F.array_join("quality_flags", ",")}
+    properties = F.create_map(*[x for name, value in named.items() for x in (F.lit(name), value)])
     geometry = F.struct(F.lit("MultiPolygon").alias("type"), coordinates.alias("coordinates"))
     return drawn.select("bucket_start", "source_id", F.to_json(F.struct(F.lit("Feature").alias("type"), properties.alias("properties"), geometry.alias("geometry"))).alias("feature"))

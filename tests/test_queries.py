@@ -15,7 +15,7 @@ def test_query_equals_sql(spark, sf, name):
     check(spark, sf, QUERIES[name], SQL[name])
 
 
-@pytest.mark.parametrize("name", ["tree_geojson", "building_map", "building_geojson"])
+@pytest.mark.parametrize("name", ["tree_geojson", "shadow_outline", "building_map", "building_geojson"])
 def test_query_runs(spark, sf, name):
     assert QUERIES[name](spark, sf).count() > 0
 
