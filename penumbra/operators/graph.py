@@ -1,12 +1,10 @@
-"""The walkway graph: from ways to edges, connected parts, shortest paths."""
+"""The walkway graph: from ways to edges, connected parts."""
 
 from __future__ import annotations
 
-import heapq
 import tempfile
 import uuid
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,16 +14,21 @@ from penumbra.functions.geo import haversine
 WALKABLE, BLOCKED, ADMITTED = ("footway", "path", "pedestrian", "steps"), ("no", "private"), ("yes", "designated", "permissive")
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """df written below spark.checkpoint.dir, which all executors share, and read again: loops neither grow a plan nor depend on one executor."""
-    spark = df.sparkSession
+def shared_base(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, the folder that all executors share; only in local mode may a folder of this machine take its place."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(base)
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read again: loops neither grow a plan nor depend on one executor."""
+    spark = df.sparkSession
+    path = f"{shared_base(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -78,92 +81,3 @@ def connected(edges: DataFrame) -> DataFrame:
             break
         seen = state
     return now.select(F.col("a").alias("node_id"), F.col("b").alias("component")).union(now.select("b", "b").distinct())
-
-
-def relax(rows: list[tuple], edges: dict[int, list[tuple]]) -> list[tuple]:
-    """Shortest ways within one cell of the graph, from the costs at hand: (node, cell, cost, metres, shaded, steps, from) that improve."""
-    best, heap, out = {}, [], {}
-    for node, cost, metres, shaded, steps, before, fresh in rows:
-        best[node] = (cost, metres, shaded, steps, before)
-        if fresh:
-            heapq.heappush(heap, (cost, node))
-    while heap:
-        cost, node = heapq.heappop(heap)
-        if cost > best[node][0]:
-            continue
-        _, metres, shaded, steps, _ = best[node]
-        for dst, inside, c, m, s, cell in edges.get(node, ()):
-            new = cost + c
-            if new < (best[dst][0] if dst in best else float("inf")):
-                best[dst] = (new, metres + m, shaded + s, steps + 1, node)
-                out[dst] = cell
-                if inside:
-                    heapq.heappush(heap, (new, dst))
-    return [(node, cell, *best[node]) for node, cell in out.items()]
-
-
-def shortest_paths(spark: SparkSession, requests: DataFrame, arcs: DataFrame, nodes: DataFrame, size: float = 0.004, splits: int = 4) -> DataFrame:
-    """For each request (request, variant, origin, destination): node_id, cost, metres, shaded_m, steps, before of all nodes in reach.
-
-    arcs: variant, src, dst, cost, metres, shaded_m, both directions; nodes: node_id, lon, lat. Costs must not be negative. before is the node on the way before.
-
-    The graph is cut into square cells. In each round, every cell that costs have come into is searched from them, as far as its edges go, next to
-    its own arcs (one task per cell, variant and `splits` parts of the requests); what leaves it goes to the neighbouring cells' next round. Rounds are as many as cells
-    on the longest shortest way, not nodes. Only the number of nodes that changed is collected.
-    """
-    place = nodes.select("node_id", F.concat_ws(":", F.floor(F.col("lon") / size), F.floor(F.col("lat") / size)).alias("cell"))
-    located = arcs.join(place.select(F.col("node_id").alias("src"), "cell"), "src").join(place.select(F.col("node_id").alias("dst"), F.col("cell").alias("to_cell")), "dst")
-    parts = F.explode(F.sequence(F.lit(0), F.lit(splits - 1))).alias("part")
-    located = kept(located.select("variant", "cell", "src", "dst", "to_cell", "cost", "metres", "shaded_m", parts), "arcs")
-    start = requests.join(place, F.col("origin") == F.col("node_id"))
-    state = start.select("request", "variant", F.pmod(F.hash("request"), F.lit(splits)).alias("part"), "cell", "node_id", F.lit(0.0).alias("cost"), F.lit(0.0).alias("metres"), F.lit(0.0).alias("shaded_m"), F.lit(0).cast("long").alias("steps"), F.lit(None).cast("long").alias("before"), F.lit(True).alias("fresh"))
-    state = kept(state, "paths")
-    out_schema = "request long, variant string, part int, cell string, node_id long, cost double, metres double, shaded_m double, steps long, before long"
-
-    def search(held: pa.Table, roads: pa.Table) -> pa.Table:
-        edges: dict[int, list[tuple]] = {}
-        r = roads.to_pydict()
-        for src, dst, cell, to, c, m, s in zip(r["src"], r["dst"], r["cell"], r["to_cell"], r["cost"], r["metres"], r["shaded_m"], strict=True):
-            edges.setdefault(src, []).append((dst, cell == to, c, m, s, to))
-        by_request: dict[int, list[tuple]] = {}
-        h = held.to_pydict()
-        for row in zip(h["request"], h["node_id"], h["cost"], h["metres"], h["shaded_m"], h["steps"], h["before"], h["fresh"], strict=True):
-            by_request.setdefault(row[0], []).append(row[1:])
-        out = []
-        if h["request"]:
-            variant, part = h["variant"][0], h["part"][0]
-            for request, rows in by_request.items():
-                if any(row[-1] for row in rows):
-                    out += [(request, variant, part, cell, node, *rest) for node, cell, *rest in relax(rows, edges)]
-        names = ["request", "variant", "part", "cell", "node_id", "cost", "metres", "shaded_m", "steps", "before"]
-        kinds = [pa.int64(), pa.string(), pa.int32(), pa.string(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
-        columns = zip(*out, strict=True) if out else [[]] * len(names)
-        return pa.table({n: pa.array(list(x), k) for n, k, x in zip(names, kinds, columns, strict=True)})
-
-    keys = ["variant", "part", "cell"]
-    while True:
-        active = state.filter("fresh").select(*keys).distinct()
-        found = state.join(active, keys, "left_semi").groupBy(*keys).cogroup(located.join(active, keys, "left_semi").groupBy(*keys)).applyInArrow(search, out_schema)
-        # what a cell has found inside itself is final for this round; only what came from elsewhere must be searched on
-        news = found.withColumn("fresh", F.lit(True)).withColumn("new", F.lit(True))
-        old = state.withColumn("fresh", F.lit(False)).withColumn("new", F.lit(False))
-        best = F.min(F.struct("cost", F.coalesce("before", F.lit(-1)).alias("b"), "new", "cell", "metres", "shaded_m", "steps", "before", "fresh")).alias("best")
-        merged = news.unionByName(old).groupBy("request", "variant", "part", "node_id").agg(best)
-        state = kept(merged.select("request", "variant", "part", "best.cell", "node_id", "best.cost", "best.metres", "best.shaded_m", "best.steps", "best.before", "best.fresh"), "paths")
-        if not state.filter("fresh").limit(1).count():
-            return state.select("request", "variant", "node_id", "cost", "metres", "shaded_m", "steps", "before")
-
-
-def path_nodes(tree: DataFrame, ends: DataFrame) -> DataFrame:
-    """request, variant, node_id, steps of all nodes on the way to the ends (request, variant, node_id), by doubling the stride back along the tree."""
-    keys = ["request", "variant"]
-    jump = kept(tree.filter("before is not null").select(*keys, "node_id", F.col("before").alias("up")), "jump")
-    on = kept(ends.select(*keys, "node_id"), "on")
-    longest = tree.join(ends.select(*keys, "node_id"), [*keys, "node_id"]).agg(F.max("steps")).first()[0] or 0
-    reach = 1
-    while reach <= longest:
-        on = kept(on.union(on.join(jump, [*keys, "node_id"]).select(*keys, F.col("up").alias("node_id"))).distinct(), "on")
-        further = jump.select(*keys, F.col("node_id").alias("up"), F.col("up").alias("top"))
-        jump = kept(jump.join(further, [*keys, "up"]).select(*keys, "node_id", F.col("top").alias("up")), "jump")
-        reach *= 2
-    return on.join(tree.select(*keys, "node_id", "steps"), [*keys, "node_id"])

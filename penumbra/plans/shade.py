@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from penumbra.functions import geo
 from penumbra.functions.solar import shadow_length as reach
 from penumbra.functions.solar import with_solar
-from penumbra.operators import outlines, shade, shadows
-from penumbra.operators.graph import kept
+from penumbra.operators import outlines, shade, shade_table, shadows
+from penumbra.operators.graph import kept, shared_base
 from penumbra.plans.ingest import BUILDINGS_CLEAN, POINTS, TREES_CLEAN, buildings, trees, utm_sql
 from penumbra.plans.solar import solar_sql
 from penumbra.plans.tables import BUILDINGS, EDGES, edges, nodes, raw_buildings
@@ -63,9 +63,9 @@ SHADE = f"""{SPANS}, part AS (SELECT bucket_start, lo, hi, t0, t1, max(t1) OVER
 ), shade AS (SELECT s.bucket_start, s.daylight, lo, hi, distance_m, coalesce(fraction, 0) AS fraction FROM edge CROSS JOIN solar s LEFT JOIN cover USING (bucket_start, lo, hi))"""
 
 
-def suns(spark: SparkSession) -> DataFrame:
+def suns(spark: SparkSession, instants: tuple[str, ...] = INSTANTS) -> DataFrame:
     """The sun at the instants: as many rows as the list has, computed once rather than in every expression that uses them."""
-    at = spark.createDataFrame([(a,) for a in INSTANTS], "at string").select(F.col("at").cast("timestamp_ntz").alias("bucket_start"))
+    at = spark.createDataFrame([(a,) for a in instants], "at string").select(F.col("at").cast("timestamp_ntz").alias("bucket_start"))
     found = with_solar(at, "bucket_start")
     return spark.createDataFrame(found.collect(), found.schema)
 
@@ -236,6 +236,16 @@ def shade_of_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shade.edge_shade(lines(spark, sf_dir), all_pieces(spark, sf_dir), suns(spark))
 
 
+def shade_at(spark: SparkSession, sf_dir: str, *instants: str) -> DataFrame:
+    """The shade of all edges at the instants alone, from the table by bucket, which computes what it doesn't have yet."""
+
+    def compute(new: DataFrame) -> DataFrame:
+        return shade.edge_shade(lines(spark, sf_dir), shade.pieces(trees(spark, sf_dir), ready_buildings(spark, sf_dir), new), new)
+
+    version = shade_table.version_of(spark, [f"{sf_dir}/{t}.parquet" for t in ("part", "supplier", "customer")])
+    return shade_table.edge_shade_by_bucket(suns(spark, instants), f"{shared_base(spark)}/edge-shade-{version}", compute)
+
+
 @query("edge_shade", f"WITH {SHADE} SELECT bucket_start, daylight, lo, hi, round(fraction, 4) AS fraction FROM shade")
 def edge_shade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shade_of_edges(spark, sf_dir).select("bucket_start", "daylight", "lo", "hi", F.round("fraction", 4).alias("fraction"))

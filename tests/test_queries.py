@@ -6,11 +6,9 @@ from compare import check
 from penumbra import registry
 
 QUERIES, SQL = registry.queries(), registry.oracle_sql()
-#: These are filters of route_metrics' rows and search the graph for both preferences again; that one is enough here.
-SLOW = {"route_fastest", "route_shadiest", "route_alternative"}
 
 
-@pytest.mark.parametrize("name", sorted(set(SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(spark, sf, name):
     check(spark, sf, QUERIES[name], SQL[name])
 
