@@ -11,21 +11,28 @@ from penumbra.functions.geo import bearing_error, percent_error
 TYPES, OBJECTS, PREFERENCES, CLOUDS = ("route", "shadow"), ("building", "tree"), ("fastest", "shadiest"), ("clear", "overcast", "partly_cloudy")
 
 
-def checks() -> list[tuple[Column, str]]:
-    """(when it applies, what is then said) in the order in which an observation is looked at; the first that applies is reported.
+def checks(kinds: bool = False) -> list[tuple[Column, str]]:
+    """(when it applies, what is then said) in the order in which an observation is looked at; the first that applies is reported. The messages are fixed values.
 
-    Columns are typed, so a value of another type reads as missing, and so does what an absent object would hold.
+    Columns are typed. With kinds, a column that says what a document holds at each path, absent values, values of another type and what should be an object are told
+    apart; without it, a null is an absent value.
     """
     c = F.col
 
+    def absent(name: str, field: str) -> Column:
+        return c("kinds")[field].isNull() if kinds else c(name).isNull()
+
+    def within(field: str) -> list[tuple[Column, str]]:
+        return [(c("kinds")[field].isNull(), f"{field} is required"), (c("kinds")[field] != "object", f"{field} must be an object")] if kinds else []
+
     def text(name: str, field: str) -> list[tuple[Column, str]]:
-        return [(c(name).isNull(), f"{field} is required"), (F.btrim(name) == "", f"{field} must be a non-empty string")]
+        return [(absent(name, field), f"{field} is required"), (c(name).isNull() | (F.btrim(name) == ""), f"{field} must be a non-empty string")]
 
     def one_of(name: str, field: str, values: tuple[str, ...]) -> list[tuple[Column, str]]:
         return [*text(name, field), (~F.btrim(name).isin(*values), f"{field} must be one of {list(values)}")]
 
     def number(name: str, field: str, least: int, most: int | None = None) -> list[tuple[Column, str]]:
-        found = [(c(name).isNull(), f"{field} is required"), (F.isnan(name), f"{field} must be a number"), (c(name) < least, f"{field} must be at least {least}")]
+        found = [(absent(name, field), f"{field} is required"), (c(name).isNull() | F.isnan(name), f"{field} must be a number"), (c(name) < least, f"{field} must be at least {least}")]
         return found if most is None else [*found, (c(name) > most, f"{field} must be at most {most}")]
 
     def only(kind: str, *rules: list[tuple[Column, str]]) -> list[tuple[Column, str]]:
@@ -36,18 +43,21 @@ def checks() -> list[tuple[Column, str]]:
         (F.try_to_timestamp(c("observed_at")).isNull(), "observed_at must be ISO 8601"),
         (~c("observed_at").rlike(r"(Z|[+-]\d\d:?\d\d)$"), "observed_at must include a timezone offset"),
         *one_of("observation_type", "observation_type", TYPES),
+        *within("location"),
         *number("latitude", "location.latitude", -90, 90),
         *number("longitude", "location.longitude", -180, 180),
         *number("gps_accuracy_m", "location.gps_accuracy_m", 0),
+        *within("conditions"),
         *one_of("cloud_condition", "conditions.cloud_condition", CLOUDS),
-        (c("photos").isNull(), "evidence.photo_files is required"),
+        *within("evidence"),
+        (absent("photos", "evidence.photo_files"), "evidence.photo_files is required"),
         (c("photos") == 0, "evidence.photo_files must contain at least one filename"),
-        *only("shadow", one_of("object_type", "subject.object_type", OBJECTS), text("source_feature_id", "subject.source_feature_id")),
-        *only("route", text("origin_id", "route.origin_id"), text("destination_id", "route.destination_id"), one_of("preference", "route.preference", PREFERENCES)),
+        *only("shadow", within("subject"), one_of("object_type", "subject.object_type", OBJECTS), text("source_feature_id", "subject.source_feature_id")),
+        *only("route", within("route"), text("origin_id", "route.origin_id"), text("destination_id", "route.destination_id"), one_of("preference", "route.preference", PREFERENCES)),
     ]
     for side in ("observed", "predicted"):
-        out += only("shadow", number(f"{side}_bearing", f"{side}.shadow_bearing_degrees", 0, 360), number(f"{side}_length", f"{side}.shadow_length_m", 0), number(f"{side}_fraction", f"{side}.walkway_shade_fraction", 0, 1))
-        out += only("route", number(f"{side}_distance", f"{side}.distance_m", 0), number(f"{side}_duration", f"{side}.duration_seconds", 0), number(f"{side}_fraction", f"{side}.shade_fraction", 0, 1))
+        out += only("shadow", within(side), number(f"{side}_bearing", f"{side}.shadow_bearing_degrees", 0, 360), number(f"{side}_length", f"{side}.shadow_length_m", 0), number(f"{side}_fraction", f"{side}.walkway_shade_fraction", 0, 1))
+        out += only("route", within(side), number(f"{side}_distance", f"{side}.distance_m", 0), number(f"{side}_duration", f"{side}.duration_seconds", 0), number(f"{side}_fraction", f"{side}.shade_fraction", 0, 1))
     return out
 
 
@@ -55,12 +65,14 @@ def violations(observations: DataFrame) -> DataFrame:
     """observation_id, pos, message: what is first wrong with each observation that isn't right; a repeated id is looked for last, an absent one first."""
     number = F.col("observation_id")
     path = F.concat(F.lit("observation["), F.btrim(number), F.lit("]."))
-    unnamed = F.when(number.isNull(), "observation.observation_id is required").when(F.btrim(number) == "", "observation.observation_id must be a non-empty string")
+    kinds = "kinds" in observations.columns
+    unnamed = F.when(F.col("kinds")[""] != "object", "each observation must be an object") if kinds else F
+    unnamed = unnamed.when(F.col("kinds")["observation_id"].isNull() if kinds else number.isNull(), "observation.observation_id is required").when(number.isNull() | (F.btrim(number) == ""), "observation.observation_id must be a non-empty string")
     # rows without an id aren't compared with one another
     salt = F.when(number.isNull(), F.col("pos"))
     nth = F.row_number().over(W.partitionBy("observation_id", salt).orderBy("pos"))
     repeated = F.when(F.col("nth") > 1, F.concat(F.lit("duplicate observation_id: "), number))
-    message = F.coalesce(unnamed, *[F.when(bad, F.concat(path, F.lit(said))) for bad, said in checks()], repeated)
+    message = F.coalesce(unnamed, *[F.when(bad, F.concat(path, F.lit(said))) for bad, said in checks(kinds)], repeated)
     return observations.withColumn("nth", nth).select("observation_id", "pos", message.alias("message")).filter("message is not null")
 
 

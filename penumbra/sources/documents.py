@@ -4,44 +4,58 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
-POINTS = "array<double>"
-TREE = f"source_id string, global_id string, point_wgs84 {POINTS}, point_m {POINTS}, common_name string, species string, height_m double, canopy_diameter_m double, canopy_radius_m double, health string, condition string, status string, source_last_edited_at bigint, shade_ready boolean, quality_flags array<string>"
-BUILDING = f"source_id string, building_number string, abbreviation string, name string, status string, floor_count int, estimated_height_m double, height_source string, footprint_wgs84 array<array<{POINTS}>>, footprint_m array<array<{POINTS}>>, shade_ready boolean, quality_flags array<string>"
+from penumbra.operators.graph import kept
+from penumbra.sources import json_parts
 
+#: Columns of normalised trees and buildings that are texts, and what is read as a number, by the name it has in a document.
+TREE_TEXTS, TREE_NUMBERS = ("global_id", "common_name", "species", "health", "condition", "status"), ("height_m", "canopy_diameter_m", "canopy_radius_m")
+BUILDING_TEXTS, BUILDING_NUMBERS = ("building_number", "abbreviation", "name", "status", "height_source"), ("estimated_height_m",)
 
-def _typed(columns: str):
-    return StructType.fromDDL(columns)
 
+def _pair(value: Column) -> Column:
+    """A variant that is a pair of numbers as a point; else null."""
+    x, y = (json_parts.lenient_number(json_parts.at(value, f"$[{i}]")) for i in (0, 1))
+    pair = (json_parts.kind(value) == "list") & (F.size(F.try_variant_get(value, "$", "array<variant>")) == 2)
+    return F.when(pair & x.isNotNull() & y.isNotNull(), F.struct(x.alias("x"), y.alias("y")))
 
-def as_point(values: Column) -> Column:
-    """A pair of numbers as a point; null if it is no pair."""
-    return F.when(F.size(values) == 2, F.struct(values[0].alias("x"), values[1].alias("y")))
 
+def _list(value: Column) -> Column:
+    """A variant that is a list as an array of variants; else null."""
+    return F.when(json_parts.kind(value) == "list", F.try_variant_get(value, "$", "array<variant>"))
 
-def as_rings(rings: Column) -> Column:
-    return F.transform(rings, lambda r: F.transform(r, as_point))
 
+def _features(rows: DataFrame, texts: tuple[str, ...], numbers: tuple[str, ...], shapes: list[Column]) -> DataFrame:
+    """pos and typed columns of elements (pos, value), whatever they are: what is of the wrong type is null, and so is everything of an element that is no object.
 
-def _member(spark: SparkSession, path: str, name: str, schema: str) -> DataFrame:
-    """The rows of an array that a JSON document has under a name, with pos, their order. A document without that array is an error."""
-    whole = StructType([StructField(name, ArrayType(_typed(schema)))])
-    document = spark.read.schema(whole).option("multiLine", True).option("mode", "FAILFAST").json(path)
-    rows = F.when(F.col(name).isNull(), F.raise_error(F.lit(f"the document has no list of {name}"))).otherwise(F.col(name))
-    return document.select(F.posexplode(rows).alias("pos", "row")).select("pos", "row.*")
+    Each element is read by itself, so a bad one is a row that later checks leave out and count. shade_ready is true only for a true; a number may be written as text.
+    """
+    member = lambda name: json_parts.at(F.col("value"), f"$.{name}")
+    source = json_parts.text_of(member("source_id")).alias("source_id")
+    ready = ((json_parts.kind(member("shade_ready")) == "boolean") & F.coalesce(F.try_variant_get("value", "$.shade_ready", "boolean"), F.lit(False))).alias("shade_ready")
+    flags = F.coalesce(F.transform(F.filter(_list(member("quality_flags")), lambda v: json_parts.kind(v) == "text"), lambda v: v.cast("string")), F.array().cast("array<string>")).alias("quality_flags")
+    return rows.select("pos", source, *shapes, *[json_parts.text_of(member(t)).alias(t) for t in texts], *[json_parts.lenient_number(member(n)).alias(n) for n in numbers], F.coalesce(ready, F.lit(False)).alias("shade_ready"), flags)
 
 
 def scan_trees(spark: SparkSession, path: str) -> DataFrame:
-    """Normalised trees of a data set document, with points as structs."""
-    rows = _member(spark, path, "trees", TREE)
-    return rows.withColumn("point_wgs84", as_point(F.col("point_wgs84"))).withColumn("point_m", as_point(F.col("point_m")))
+    """Normalised trees of a data set document, with points as structs, a row for each element of its list of trees."""
+    rows = json_parts.elements(spark, path, "trees")
+    edited = F.try_variant_get("value", "$.source_last_edited_at", "long").alias("source_last_edited_at")
+    return _features(rows, TREE_TEXTS, TREE_NUMBERS, [_pair(json_parts.at(F.col("value"), f"$.{p}")).alias(p) for p in ("point_wgs84", "point_m")] + [edited])
 
 
 def scan_buildings(spark: SparkSession, path: str) -> DataFrame:
-    """Normalised buildings of a data set document, with rings of points."""
-    rows = _member(spark, path, "buildings", BUILDING)
-    return rows.withColumn("footprint_wgs84", as_rings(F.col("footprint_wgs84"))).withColumn("footprint_m", as_rings(F.col("footprint_m")))
+    """Normalised buildings of a data set document, with rings of points, a row for each element of its list of buildings. A ring with anything but pairs is null."""
+
+    def rings(name: str) -> Column:
+        ring = lambda r: F.transform(_list(r), _pair)
+        whole = lambda r: F.when(F.forall(ring(r), lambda p: p.isNotNull()), ring(r))
+        return F.transform(_list(json_parts.at(F.col("value"), f"$.{name}")), whole).alias(name)
+
+    rows = json_parts.elements(spark, path, "buildings")
+    floors = F.try_variant_get("value", "$.floor_count", "int").alias("floor_count")
+    # written, since all that follows names the rings many times over
+    return kept(_features(rows, BUILDING_TEXTS, BUILDING_NUMBERS, [rings("footprint_wgs84"), rings("footprint_m"), floors]), "buildings")
 
 
 def scan_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -62,22 +76,42 @@ def scan_osm(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return ways.select(F.col("_id").alias("way_id"), F.col("_id").alias("pos"), F.transform("nd", lambda n: n["_ref"]).alias("refs"), last.alias("tags")), nodes.select(F.col("_id").alias("node_id"), F.col("_lat").alias("lat"), F.col("_lon").alias("lon"))
 
 
+#: Where an observation has what the checks read: column, path, and how it is read.
+OBSERVED = (
+    ("observation_id", "observation_id", "text"), ("observation_type", "observation_type", "text"), ("observed_at", "observed_at", "text"),
+    ("latitude", "location.latitude", "number"), ("longitude", "location.longitude", "number"), ("gps_accuracy_m", "location.gps_accuracy_m", "number"),
+    ("cloud_condition", "conditions.cloud_condition", "text"), ("object_type", "subject.object_type", "text"), ("source_feature_id", "subject.source_feature_id", "text"),
+    ("origin_id", "route.origin_id", "text"), ("destination_id", "route.destination_id", "text"), ("preference", "route.preference", "text"),
+    *[(f"{side}_{c}", f"{side}.{p}", "number") for side in ("observed", "predicted") for c, p in (
+        ("bearing", "shadow_bearing_degrees"), ("length", "shadow_length_m"), ("shadow_fraction", "walkway_shade_fraction"), ("distance", "distance_m"), ("duration", "duration_seconds"), ("route_fraction", "shade_fraction"))],
+)
+
+
 def scan_observations(spark: SparkSession, path: str) -> DataFrame:
-    """Field observations of a document, one row each with the columns that the checks read; a version other than 1.0 is an error."""
-    observation = """observation_id string, observation_type string, observed_at string, location struct<latitude:double,longitude:double,gps_accuracy_m:double>,
-      conditions struct<cloud_condition:string>, evidence struct<photo_files:array<string>>,
-      subject struct<object_type:string,source_feature_id:string>, route struct<origin_id:string,destination_id:string,preference:string>,
-      observed struct<shadow_bearing_degrees:double,shadow_length_m:double,walkway_shade_fraction:double,distance_m:double,duration_seconds:double,shade_fraction:double>,
-      predicted struct<shadow_bearing_degrees:double,shadow_length_m:double,walkway_shade_fraction:double,distance_m:double,duration_seconds:double,shade_fraction:double>"""
-    whole = StructType([StructField("schema_version", StringType()), StructField("observations", ArrayType(_typed(observation)))])
-    document = spark.read.schema(whole).option("multiLine", True).json(path)
-    rows = F.when(F.col("schema_version").eqNullSafe("1.0") & F.col("observations").isNotNull(), F.col("observations")).otherwise(F.raise_error(F.lit("schema_version must be 1.0 and observations a list")))
-    o = document.select(F.posexplode(rows).alias("pos", "o")).select("pos", "o.*")
-    sides = [c for side in ("observed", "predicted") for c in (F.col(f"{side}.shadow_bearing_degrees").alias(f"{side}_bearing"), F.col(f"{side}.shadow_length_m").alias(f"{side}_length"), F.coalesce(f"{side}.walkway_shade_fraction", f"{side}.shade_fraction").alias(f"{side}_fraction"), F.col(f"{side}.distance_m").alias(f"{side}_distance"), F.col(f"{side}.duration_seconds").alias(f"{side}_duration"))]
-    files = F.col("evidence.photo_files")
-    photos = F.when(F.exists(files, lambda f: F.coalesce(f == "", F.lit(True))), 0).otherwise(F.size(files)).alias("photos")
-    about = ["location.latitude", "location.longitude", "location.gps_accuracy_m", "conditions.cloud_condition", "subject.object_type", "subject.source_feature_id", "route.origin_id", "route.destination_id", "route.preference"]
-    return o.select("observation_id", "pos", "observation_type", "observed_at", *about, photos, *sides)
+    """Field observations of a document, a row for each, with the columns that the checks read and `kinds`, which says what each path holds (absent ones are not in it).
+
+    A version other than 1.0, or observations that are no list, are errors of the document; anything else is an error of one row. Values are strict: a number is no text
+    and a truth no number, so such a value is null in its column and its kind tells what it was.
+    """
+    if json_parts.member(spark, path, "schema_version") != '"1.0"':
+        raise ValueError("schema_version must be '1.0'")
+    if json_parts.member(spark, path, "observations") != "[":
+        raise ValueError("observations must be an array")
+    rows = json_parts.elements(spark, path, "observations")
+    held = lambda p: json_parts.at(F.col("value"), f"$.{p}")
+    paths = sorted({p for _, p, _ in OBSERVED} | {p.split(".")[0] for _, p, _ in OBSERVED} | {"evidence", "evidence.photo_files"})
+    kinds = [F.struct(F.lit("").alias("key"), F.coalesce(json_parts.kind(F.col("value")), F.lit("null")).alias("value"))]
+    kinds += [F.struct(F.lit(p).alias("key"), json_parts.kind(held(p)).alias("value")) for p in paths]
+    known = rows.withColumn("kinds", F.map_from_entries(F.filter(F.array(*kinds), lambda e: e["value"].isNotNull())))
+    read = {"text": "string", "number": "double"}
+    typed = [F.when(F.col("kinds")[p] == of, F.try_variant_get("value", f"$.{p}", read[of])).alias(c) for c, p, of in OBSERVED]
+    photos = _list(held("evidence.photo_files"))
+    named = F.forall(photos, lambda f: (json_parts.kind(f) == "text") & (f.cast("string") != ""))
+    found = known.select("pos", "kinds", *typed, F.when(named, F.size(photos)).when(F.col("kinds")["evidence.photo_files"].isNotNull(), 0).alias("photos"))
+    for side in ("observed", "predicted"):
+        fraction = F.when(F.col("observation_type") == "route", F.col(f"{side}_route_fraction")).otherwise(F.col(f"{side}_shadow_fraction"))
+        found = found.withColumn(f"{side}_fraction", fraction).drop(f"{side}_route_fraction", f"{side}_shadow_fraction")
+    return found
 
 
 def write_document(row: DataFrame, path: str) -> None:

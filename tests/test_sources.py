@@ -1,12 +1,13 @@
 """Documents, paged layers, map extracts, streams, and observations from a document."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from penumbra.operators import graph, observations
-from penumbra.sources import arcgis, documents
+from penumbra.operators import graph, observations, shadows
+from penumbra.sources import arcgis, documents, json_parts
 from penumbra.streaming.buckets import solar_buckets
 
 
@@ -26,6 +27,55 @@ def test_data_set_document(spark, tmp_path):
         documents.scan_trees(spark, path).collect()
 
 
+def test_malformed_features_are_rows_that_are_left_out(spark, tmp_path):
+    """Each element by itself: a bad one neither fails the document nor passes."""
+    tree = {"source_id": 1, "point_wgs84": [-96.34, 30.62], "point_m": [1.0, 2.0], "height_m": 3.0, "canopy_radius_m": 1.0, "shade_ready": True, "quality_flags": ["a", 3]}
+    trees = [tree, tree | {"height_m": "tall"}, tree | {"height_m": "3.5"}, tree | {"shade_ready": 1}, tree | {"shade_ready": "true"}, 7, None, [], "x", tree | {"point_m": [1]}, tree | {"point_m": [1, "a"]}, tree | {"source_id": [1]}, tree | {"source_id": None}, tree | {"point_m": "12"}, {}, tree | {"source_id": "t,[\"{"}]
+    ring = [[0, 0], [1, 0], [1, 1], [0, 0]]
+    building = {"source_id": "b", "estimated_height_m": 9, "height_source": "floor_count", "footprint_wgs84": [ring], "footprint_m": [ring], "shade_ready": True}
+    buildings = [building, building | {"source_id": "c", "footprint_m": [[[0, 0], [1, "x"], [1, 1], [0, 0]]]}, building | {"source_id": "d", "estimated_height_m": {}}, 5, building | {"source_id": "e", "footprint_m": ring}]
+    path = str(tmp_path / "data.json")
+    with open(path, "w") as f:
+        json.dump({"meta": {"n": [1, 2]}, "buildings": buildings, "empty": [], "trees": trees}, f, indent=1)
+    found = documents.scan_trees(spark, path)
+    assert sorted(r.pos for r in found.collect()) == list(range(len(trees)))
+    assert sorted(r.pos for r in shadows.eligible_trees(found).collect()) == [0, 2, 15]
+    rows = {r.pos: r for r in found.collect()}
+    assert rows[2].height_m == 3.5 and rows[0].quality_flags == ["a"] and rows[15].source_id == 't,[\"{' and rows[5].source_id is None
+    standing = documents.scan_buildings(spark, path)
+    assert sorted(r.source_id for r in shadows.eligible_buildings(standing).collect()) == ["b"]
+    assert standing.count() == 5
+
+
+def test_lists_are_read_in_ranges(spark, tmp_path):
+    """The same elements whatever the size of a range, with commas, quotes and brackets in texts."""
+    rng = random.Random(6)
+
+    def value(depth=0):
+        kind = rng.random()
+        if depth < 3 and kind < 0.25:
+            return {rng.choice(["a", "b,", 'c"', "d\\", "é[{"]): value(depth + 1) for _ in range(rng.randint(0, 4))}
+        if depth < 3 and kind < 0.5:
+            return [value(depth + 1) for _ in range(rng.randint(0, 4))]
+        return rng.choice([1, 2.5, True, None, "", "x,y", "[", "}", '{"a":[1,2]}', 'q"uo,te', "back\\", '\\",[', "é,日本", ", ,"])
+
+    made = [value() for _ in range(60)]
+    path = str(tmp_path / "list.json")
+    with open(path, "w") as f:
+        json.dump({"n": "1,0", "meta": {"a": [1, "],"]}, "made": made, "none": []}, f, ensure_ascii=False, indent=1)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        ranges = json_parts._fragments(spark, path).select("start").distinct().count()
+        got = sorted((r.pos, r.j) for r in json_parts.elements(spark, path, "made").select("pos", F.to_json("value").alias("j")).collect())
+        assert json_parts.member(spark, path, "n") == '"1,0"' and json_parts.member(spark, path, "meta") == "{" and json_parts.member(spark, path, "none") == "[" and json_parts.member(spark, path, "no") is None
+        assert json_parts.elements(spark, path, "none").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert ranges > 5 and [json.loads(j) for _, j in got] == made and [p for p, _ in got] == list(range(60))
+
+
 def test_graph_document(spark, tmp_path):
     path = str(tmp_path / "graph.json")
     with open(path, "w") as f:
@@ -153,8 +203,20 @@ def test_observation_report(spark, tmp_path):
 def test_messages_of_observations(spark, tmp_path):
     fine = observation("a", "route", route(1, 1, 0.3), route(1, 1, 0.4))
     changes = [
-        ({"observation_id": None}, "observation.observation_id is required"),
-        ({"observation_id": None}, "observation.observation_id is required"),
+        ({"observation_id": None}, "observation.observation_id must be a non-empty string"),
+        ({"observation_id": 12}, "observation.observation_id must be a non-empty string"),
+        ({"location": {"latitude": True, "longitude": 0, "gps_accuracy_m": 0}}, "observation[{}].location.latitude must be a number"),
+        ({"location": {"latitude": "30", "longitude": 0, "gps_accuracy_m": 0}}, "observation[{}].location.latitude must be a number"),
+        ({"location": {"latitude": None, "longitude": 0, "gps_accuracy_m": 0}}, "observation[{}].location.latitude must be a number"),
+        ({"location": {"longitude": 0, "gps_accuracy_m": 0}}, "observation[{}].location.latitude is required"),
+        ({"location": [30, -96]}, "observation[{}].location must be an object"),
+        ({"conditions": None}, "observation[{}].conditions must be an object"),
+        ({"conditions": {"cloud_condition": 3}}, "observation[{}].conditions.cloud_condition must be a non-empty string"),
+        ({"evidence": {"photo_files": "a.jpg"}}, "observation[{}].evidence.photo_files must contain at least one filename"),
+        ({"evidence": {"photo_files": [1]}}, "observation[{}].evidence.photo_files must contain at least one filename"),
+        ({"evidence": {"photo_files": []}}, "observation[{}].evidence.photo_files must contain at least one filename"),
+        ({"observed": "none"}, "observation[{}].observed must be an object"),
+        ({"observed_at": 5}, "observation[{}].observed_at must be a non-empty string"),
         ({"observation_id": " "}, "observation.observation_id must be a non-empty string"),
         ({"observed_at": "soon"}, "observation[{}].observed_at must be ISO 8601"),
         ({"observed_at": "2026-06-21T13:00:00"}, "observation[{}].observed_at must include a timezone offset"),
@@ -170,7 +232,11 @@ def test_messages_of_observations(spark, tmp_path):
     ]
     path = str(tmp_path / "obs.json")
     with open(path, "w") as f:
-        json.dump({"schema_version": "1.0", "observations": [fine | {"observation_id": f"n{i}"} | change for i, (change, _) in enumerate(changes)]}, f)
+        rows = [fine | {"observation_id": f"n{i}"} | change for i, (change, _) in enumerate(changes)]
+        unnamed = {k: v for k, v in fine.items() if k != "observation_id"}
+        others = [({k: v for k, v in fine.items() if k != "route"} | {"observation_id": "z"}, "observation[z].route is required"), (unnamed, "observation.observation_id is required"), (5, "each observation must be an object"), ("x", "each observation must be an object"), (None, "each observation must be an object"), ([], "each observation must be an object")]
+        changes += [(None, said) for _, said in others]
+        json.dump({"schema_version": "1.0", "observations": rows + [o for o, _ in others]}, f)
     got = {r.pos: r.message for r in observations.violations(documents.scan_observations(spark, path)).collect()}
     assert got == {i: said.format(f"n{i}") for i, (_, said) in enumerate(changes)}
 
