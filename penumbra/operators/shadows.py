@@ -25,7 +25,7 @@ def eligible_trees(trees: DataFrame) -> DataFrame:
     """Normalised trees that throw a shadow: ready, with a point in range and a height and radius above zero. Repeated ids stay."""
     lon, lat = F.col("point_wgs84.x"), F.col("point_wgs84.y")
     return trees.filter(
-        F.col("shade_ready") & F.col("source_id").isNotNull() & lon.between(-180, 180) & lat.between(-90, 90) & (F.col("height_m") > 0) & (F.col("height_m") < math.inf) & (F.col("canopy_radius_m") > 0) & (F.col("canopy_radius_m") < math.inf)
+        F.col("shade_ready") & F.col("source_id").isNotNull() & F.col("point_m").isNotNull() & lon.between(-180, 180) & lat.between(-90, 90) & (F.col("height_m") > 0) & (F.col("height_m") < math.inf) & (F.col("canopy_radius_m") > 0) & (F.col("canopy_radius_m") < math.inf)
     )
 
 

@@ -157,6 +157,74 @@ def test_bad_answers(answer, message):
         arcgis.asked(lambda url: answer, "u")
 
 
+def test_no_answer_is_an_error_of_the_service():
+    def gone(url):
+        raise TimeoutError("timed out")
+
+    with pytest.raises(arcgis.ArcGISError, match="could not be reached: timed out"):
+        arcgis.asked(gone, "u")
+
+
+def test_filters_narrow_the_requests(spark):
+    """A service that records what it is asked for: fewer features come, and the rows are those of a filter on everything."""
+    import threading
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+    from urllib.parse import parse_qs, urlparse
+
+    layer = [{"attributes": {"OBJECTID": i}, "geometry": {"x": -96.0 + i / 100, "y": 30.0 + i % 7 / 10}} for i in range(60)] + [{"attributes": {"OBJECTID": 60}, "geometry": {"rings": []}}]
+    asked, given = [], []
+
+    class Service(BaseHTTPRequestHandler):
+        def do_GET(self):
+            q = {k: v[0] for k, v in parse_qs(urlparse(self.path).query).items()}
+            west, south, east, north = map(float, q["geometry"].split(","))
+            asked.append((q["where"], (west, south, east, north)))
+            inside = [f for f in layer if "x" not in f["geometry"] or (west <= f["geometry"]["x"] <= east and south <= f["geometry"]["y"] <= north)]
+            for rule in q["where"].split(" AND "):
+                if rule.startswith("OBJECTID"):
+                    _, sign, value = rule.split(" ", 2)
+                    test = {"IN": lambda n, v=value: n in json.loads(v.replace("(", "[").replace(")", "]")), ">=": lambda n, v=value: n >= int(v), "<": lambda n, v=value: n < int(v), "=": lambda n, v=value: n == int(v)}[sign]
+                    inside = [f for f in inside if test(f["attributes"]["OBJECTID"])]
+            if "returnCountOnly" in q:
+                said = {"count": len(inside)}
+            else:
+                at, size = int(q["resultOffset"]), int(q["resultRecordCount"])
+                said = {"features": inside[at : at + size], "exceededTransferLimit": at + size < len(inside)}
+                given.extend(said["features"])
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps(said).encode())
+
+        def log_message(self, *args):
+            pass
+
+    service = ThreadingHTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=service.serve_forever, daemon=True).start()
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        spark.dataSource.register(arcgis.ArcGISSource)
+        rows = spark.read.format("arcgis").option("url", f"http://127.0.0.1:{service.server_port}").option("layer", 4).option("page_size", 8).option("pushdown", "true").load()
+        whole = rows.collect()
+        assert len(whole) == 61 and {a for a in asked} == {("1=1", (-180.0, -90.0, 180.0, 90.0))}
+        for condition, where, box in (
+            ("lon >= -95.8 AND lon < -95.7 AND lat <= 30.4", "1=1", (-95.8, -90.0, -95.7, 30.4)),
+            ("object_id IN (3, 5, 60)", "OBJECTID IN (3, 5, 60)", (-180.0, -90.0, 180.0, 90.0)),
+            ("object_id >= 20 AND object_id < 30 AND lat > 30.2", "OBJECTID >= 20 AND OBJECTID < 30", (-180.0, 30.2, 180.0, 90.0)),
+        ):
+            asked.clear()
+            given.clear()
+            got = sorted(map(tuple, rows.filter(condition).collect()), key=lambda r: r[1])
+            want = sorted((tuple(r) for r in spark.createDataFrame(whole, rows.schema).filter(condition).collect()), key=lambda r: r[1])
+            # page and place count what the service gave
+            assert [(r[0], r[1], r[4:]) for r in got] == [(r[0], r[1], r[4:]) for r in want] and want
+            assert set(asked) == {(where, box)} and len(given) < 61 / 2
+        asked.clear()
+        assert rows.filter("lon > 5 AND lon < 3").count() == 0 and not [a for a in asked if a[1][0] <= a[1][2]]
+    finally:
+        service.shutdown()
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
 def test_bad_box():
     with pytest.raises(arcgis.ArcGISError):
         arcgis.ArcGISReader({"url": "u", "layer": "1", "bbox": "1,0,-1,2"})
