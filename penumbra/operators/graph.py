@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from penumbra.functions.geo import haversine
@@ -62,6 +63,32 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return there.unionAll(edges.select(F.col("hi").alias("src"), F.col("lo").alias("dst"), *rest))
 
 
+#: Into so many parts the rows of a key are dealt where one key may hold much of a table.
+SALTS = 64
+
+
+def with_least(rows: DataFrame, key: str, value: str, least: str) -> DataFrame:
+    """rows with the least value of their key. Rows of a key are dealt into parts by their value, looked through there, and get the answer back by part: no key's rows meet as a whole."""
+    dealt = rows.withColumn("__salt", F.pmod(F.xxhash64(value), F.lit(SALTS)))
+    parts = dealt.groupBy(key, "__salt").agg(F.min(value).alias(least))
+    whole = parts.groupBy(F.col(key).alias("__key")).agg(F.min(least).alias(least))
+    back = parts.select(F.col(key).alias("__of"), F.col("__salt").alias("__part")).join(whole, F.col("__of") == F.col("__key")).drop("__key")
+    return dealt.join(back, (F.col(key) == F.col("__of")) & (F.col("__salt") == F.col("__part"))).drop("__salt", "__of", "__part")
+
+
+def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """rows with a number from 1 in a total order. They are sorted by ranges, each numbered by itself, and moved on by how many come before: no task sees them all.
+
+    Only the ranges' sizes are gathered, as many as there are shuffle partitions. Rows that are equal in the order may come in either.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = kept(rows.repartitionByRange(parts, *order).withColumn("__range", F.spark_partition_id()), "ranges")
+    sizes = ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
+    before = sizes.select(F.col("__range").alias("__of"), F.coalesce(F.sum("__n").over(W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    own = F.row_number().over(W.partitionBy("__range").orderBy(*order))
+    return ranged.withColumn("__own", own).join(F.broadcast(before), F.col("__range") == F.col("__of")).withColumn(name, F.col("__own") + F.col("__before")).drop("__range", "__own", "__of", "__before")
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """node_id, component (its least node_id) of all nodes with edges (lo, hi).
 
@@ -71,10 +98,10 @@ def connected(edges: DataFrame) -> DataFrame:
     seen = None
     while True:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("of"), F.least("a", "m").alias("m"))
-        up = both.filter("b > a").join(least, F.col("a") == F.col("of")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        # from the second round on a component hangs on its least node, which so has nearly all of its rows
+        up = with_least(both, "a", "b", "m").filter("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
+        down = with_least(up, "a", "b", "m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         low = up.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("of"), "m")
-        down = up.join(low, F.col("a") == F.col("of")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = kept(down.union(low.select(F.col("of").alias("a"), F.col("m").alias("b"))).filter("a <> b").distinct(), "components")
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == seen:

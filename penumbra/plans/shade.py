@@ -273,14 +273,14 @@ def line_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("tree_geojson")
 def tree_geojson(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One MultiPolygon feature for each instant and cell of some 200 m: a map asks for what it shows, and no row holds all shadows."""
+    """One feature for each instant and tree: a map asks for those in what it shows (cx, cy: cells of 0.002 degrees), and no row holds more than a shadow."""
     found = shadows.tree_shadow_map(trees(spark, sf_dir), suns(spark))
     x, y = F.floor(F.get("ring", F.lit(0))["x"] / 0.002).alias("cx"), F.floor(F.get("ring", F.lit(0))["y"] / 0.002).alias("cy")
     ring = F.transform("ring", lambda p: F.array(p["x"], p["y"]))
-    grouped = found.select("bucket_start", x, y, F.struct("source_id", F.array(ring).alias("polygon")).alias("s")).groupBy("bucket_start", "cx", "cy").agg(F.array_sort(F.collect_list("s")).alias("s"))
-    geometry = F.struct(F.lit("MultiPolygon").alias("type"), F.transform("s", lambda s: s["polygon"]).alias("coordinates"))
-    feature = F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(F.size("s").cast("string").alias("shadow_count")).alias("properties"), geometry.alias("geometry")))
-    return grouped.select("bucket_start", "cx", "cy", feature.alias("feature"))
+    geometry = F.struct(F.lit("MultiPolygon").alias("type"), F.array(F.array(ring)).alias("coordinates"))
+    properties = F.create_map(F.lit("source_id"), F.col("source_id").cast("string"))
+    feature = F.to_json(F.struct(F.lit("Feature").alias("type"), properties.alias("properties"), geometry.alias("geometry")))
+    return found.select("bucket_start", "source_id", x, y, feature.alias("feature"))
 
 
 @query(
