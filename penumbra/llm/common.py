@@ -74,12 +74,15 @@ def words(text: str | None) -> list[bytes]:
 
 
 def per_worker(key: str, make: Callable):
-    """make(), kept for as long as the Python worker process lives: tasks that run in it one after another share it.
+    """make(), kept until the Python worker process ends or keeps something under another key: tasks that run in it one after another share it.
 
-    What is kept must depend on key alone and have a bounded size. The tasks' functions come with each job, so their own module can't hold it.
+    What is kept must depend on key alone and have a bounded size; one thing is kept at a time, so that the stages of a pipeline don't pile up theirs. The tasks' functions come
+    with each job, so their own module can't hold it.
     """
     kept = sys.modules.setdefault("penumbra_worker_state", types.ModuleType("penumbra_worker_state")).__dict__
     if key not in kept:
+        for other in [k for k in kept if not k.startswith("__")]:
+            del kept[other]
         kept[key] = make()
     return kept[key]
 

@@ -116,6 +116,13 @@ def survivors(x: np.ndarray, y: np.ndarray, least: tuple[int, ...]) -> np.ndarra
     return at
 
 
+def word_hashes() -> Memo:
+    """Hashes of words, kept by the worker from one step to the next."""
+    import xxhash
+
+    return per_worker("hashes of words", lambda: Memo(xxhash.xxh3_64_intdigest))
+
+
 def shingle_sets(texts: list[str | None], k: int, hash_of: Memo) -> list[np.ndarray]:
     out = []
     for text in texts:
@@ -130,9 +137,7 @@ def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
-        import xxhash
-
-        hash_of = Memo(xxhash.xxh3_64_intdigest)
+        hash_of = word_hashes()
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
@@ -228,9 +233,7 @@ def decide(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent:
     texts = docs.filter("doc_id is not null and text is not null").groupBy("doc_id", "version").agg(F.first("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        hash_of = Memo(xxhash.xxh3_64_intdigest)
+        hash_of = word_hashes()
         known, own_set = None, None
         for rows, own in _firsts(batches, ("id", "text"), 64):
             found = []
@@ -334,15 +337,10 @@ def across(reps: DataFrame, linked: DataFrame, docs: DataFrame, k: int, percent:
                             yield now, held, rest
                         now, held, rest = row[:4], [], []
                     held.append(row[4:9])
-                    rest += [shingle_sets([t], k, hashes())[0] for t in row[9:]]
+                    rest += [shingle_sets([t], k, word_hashes())[0] for t in row[9:]]
         if len(held) > 1:
             yield now, held, rest
 
-    def hashes() -> Memo:
-        import xxhash
-
-        return per_worker("hashes of words", lambda: Memo(xxhash.xxh3_64_intdigest))
-
     def made(now: tuple, held: list) -> Block:
         return Block(held, now[2], now[3], now[1], percent, bands, width, least)
 
