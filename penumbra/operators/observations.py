@@ -119,3 +119,19 @@ def report(observations: DataFrame) -> DataFrame:
     r = means(route_errors(observations)).select(F.struct("*").alias("route_summary"))
     n = F.col("shadow_summary.count") + F.col("route_summary.count")
     return s.crossJoin(r).select(F.lit("1.0").alias("schema_version"), n.alias("observation_count"), "shadow_summary", "route_summary")
+
+
+def report_pieces(observations: DataFrame) -> DataFrame:
+    """section, pos, text: the whole report as pieces of one JSON document, in order by section and pos; for documents.write_pieces.
+
+    It begins as report() does; then come the errors of each shadow and of each route, one row a piece, in the order of pos, nulls said. No list is ever built.
+    """
+    head = F.regexp_replace(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}), r"\}$", ',"shadow_observations":[')
+    fixed = report(observations).select(F.explode(F.array(*[F.struct(F.lit(n).alias("section"), t.alias("text")) for n, t in ((0, head), (2, F.lit('],"route_observations":[')), (4, F.lit("]}")))])).alias("f"))
+    pieces = fixed.select("f.section", F.lit(0).cast("long").alias("pos"), "f.text")
+    for section, errors in ((1, shadow_errors(observations)), (3, route_errors(observations))):
+        first = F.broadcast(errors.agg(F.min("pos").alias("first")))
+        row = F.to_json(F.struct(*[c for c in errors.columns if c != "pos"]), {"ignoreNullFields": "false"})
+        listed = errors.crossJoin(first).select(F.lit(section).alias("section"), F.col("pos").cast("long").alias("pos"), F.concat(F.when(F.col("pos") == F.col("first"), "").otherwise(","), row).alias("text"))
+        pieces = pieces.unionByName(listed)
+    return pieces

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -117,3 +119,35 @@ def scan_observations(spark: SparkSession, path: str) -> DataFrame:
 def write_document(row: DataFrame, path: str) -> None:
     """Writes a one-row DataFrame as a single compact JSON document, in one file below path."""
     row.select(F.to_json(F.struct("*")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_pieces(pieces: DataFrame, path: str) -> None:
+    """Writes pieces (section, pos, text), in order, as one document at path, wherever Spark can write.
+
+    Tasks write ranges of them side by side; when all are done, the ranges' files are copied behind one another, a buffer at a time, to a name of their own, which becomes
+    path at the end. So no task and not the driver holds the document, and a write that fails leaves nothing, neither at path nor beside it.
+    """
+    spark = pieces.sparkSession
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    target, folder, joined = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.parts-{uuid.uuid4().hex}", f"{path}.whole-{uuid.uuid4().hex}"))
+    files = target.getFileSystem(conf)
+    try:
+        pieces.orderBy("section", "pos").select("text").write.text(str(folder))
+        parts = sorted((str(x.getPath()) for x in files.listStatus(folder) if x.getPath().getName().startswith("part-")))
+        out = files.create(joined, True)
+        try:
+            for part in parts:
+                held = files.open(jvm.org.apache.hadoop.fs.Path(part))
+                try:
+                    jvm.org.apache.hadoop.io.IOUtils.copyBytes(held, out, 1 << 16, False)
+                finally:
+                    held.close()
+        finally:
+            out.close()
+        if files.exists(target):
+            files.delete(target, False)
+        if not files.rename(joined, target):
+            raise OSError(f"{path} could not be written")
+    finally:
+        for own in (folder, joined):
+            files.delete(own, True)

@@ -268,6 +268,29 @@ def test_observation_report(spark, tmp_path):
         documents.scan_observations(spark, path).collect()
 
 
+def test_whole_report_in_pieces(spark, tmp_path):
+    rows = [observation("a", "shadow", shadow(358, 10, 0.4), shadow(2, 12, 0.5)), observation("c", "route", route(1000, 800, 0.3), route(1100, 900, 0.4)), observation("b,\"", "shadow", shadow(100, 0, 0.7), shadow(110, 18, 0.65)), observation("d", "route", route(1200, 1000, 0.6), route(1150, 950, 0.55))]
+    path, out = str(tmp_path / "obs.json"), tmp_path / "out" / "report.json"
+    for kept in (rows, rows[:1], []):
+        with open(path, "w") as f:
+            json.dump({"schema_version": "1.0", "observations": kept}, f)
+        o = documents.scan_observations(spark, path)
+        documents.write_pieces(observations.report_pieces(o), str(out))
+        said = json.loads(out.read_text())
+        assert said["observation_count"] == len(kept) and [r["observation_id"] for r in said["shadow_observations"]] == [r["observation_id"] for r in kept if r["observation_type"] == "shadow"]
+        assert [p.name for p in out.parent.iterdir() if not p.name.startswith(".")] == ["report.json"]
+        if kept is rows:
+            assert said["shadow_observations"][0] == {"observation_id": "a", "object_type": "tree", "bearing_error_degrees": 4.0, "length_error_m": 2.0, "length_error_percent": 20.0, "walkway_shade_error_percentage_points": 10.0}
+            assert said["shadow_observations"][1]["length_error_percent"] is None
+            assert said["route_observations"][1] == {"observation_id": "d", "preference": "fastest", "distance_error_m": 50.0, "distance_error_percent": 4.167, "duration_error_seconds": 50.0, "duration_error_percent": 5.0, "shade_error_percentage_points": 5.0}
+            assert said["shadow_summary"]["count"] == 2 and said["route_summary"]["mean_absolute_distance_error_m"] == 75.0
+    before = out.read_text()
+    broken = observations.report_pieces(o).withColumn("text", F.when(F.col("section") == 2, F.raise_error(F.lit("stop"))).otherwise(F.col("text")))
+    with pytest.raises(Exception, match="stop"):
+        documents.write_pieces(broken, str(out))
+    assert out.read_text() == before and [p.name for p in out.parent.iterdir() if not p.name.startswith(".")] == ["report.json"]
+
+
 def test_messages_of_observations(spark, tmp_path):
     fine = observation("a", "route", route(1, 1, 0.3), route(1, 1, 0.4))
     changes = [
