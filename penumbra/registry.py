@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-PLANS = ("solar", "ingest", "campus", "graph", "shade", "routes", "observations")
+PLANS = ("solar", "ingest", "campus", "graph", "shade", "routes", "observations", "documents")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
