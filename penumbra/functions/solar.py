@@ -48,9 +48,17 @@ def refraction(altitude: Column) -> Column:
 def with_solar(df: DataFrame, ts: str, latitude: Column | float = LATITUDE, longitude: Column | float = LONGITUDE) -> DataFrame:
     """Adds altitude, apparent_altitude, azimuth, daylight and shadow_azimuth (null at night) for the instant in column ts.
 
-    Angles are degrees to 5 places; daylight is decided before rounding.
+    Angles are degrees to 5 places; daylight is decided before rounding. A fixed place that isn't on the globe is an error; a row whose place isn't gets nulls.
     """
-    lat, lon = (x if isinstance(x, Column) else F.lit(float(x)) for x in (latitude, longitude))
+    place = []
+    for name, value, most in (("latitude", latitude, 90.0), ("longitude", longitude, 180.0)):
+        if isinstance(value, Column):
+            place.append(F.when(value.between(-most, most), value))
+        elif -most <= float(value) <= most:
+            place.append(F.lit(float(value)))
+        else:
+            raise ValueError(f"{name} must be between {-most:.0f} and {most:.0f} degrees")
+    lat, lon = place
     at = F.col(ts)
     own = df.columns
     hour = F.hour(at) + F.minute(at) / 60.0 + F.extract(F.lit("second"), at).cast("double") / 3600.0
@@ -62,7 +70,7 @@ def with_solar(df: DataFrame, ts: str, latitude: Column | float = LATITUDE, long
     phi, decl, angle = F.col("__phi"), F.col("__decl"), F.col("__angle")
     cosine = F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.sin(phi) * F.sin(decl) + F.cos(phi) * F.cos(decl) * F.cos(angle)))
     azimuth = F.pmod(F.degrees(F.atan2(F.sin(angle), F.cos(angle) * F.sin(phi) - F.tan(decl) * F.cos(phi))) + 180, F.lit(360.0))
-    step = step.withColumn("__alt", F.lit(90.0) - F.degrees(F.acos(cosine))).withColumn("__az", azimuth)
+    step = step.withColumn("__alt", F.when(lat.isNotNull() & lon.isNotNull(), F.lit(90.0) - F.degrees(F.acos(cosine)))).withColumn("__az", azimuth)
     step = step.withColumn("__app", F.col("__alt") + refraction(F.col("__alt")))
     return step.select(
         *[c for c in own if c not in ("altitude", "apparent_altitude", "azimuth", "daylight", "shadow_azimuth")],

@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from penumbra.functions.geo import haversine
 from penumbra.operators import campus, graph
 
 PLACE = "id string, name string, short_name string, abbreviation string, building_number string"
@@ -40,6 +41,24 @@ def test_search_equals_looking_at_all_places(spark):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
+def test_nearest_in_a_crowd_and_far_off(spark):
+    """Nodes crowded in one spot of the map, on equal places, and few elsewhere."""
+    rng = random.Random(9)
+    nodes = [(i, -96.34 + rng.random() * 1e-4, 30.61 + rng.random() * 1e-4) for i in range(700)]
+    nodes += [(1000 + i, nodes[i][1], nodes[i][2]) for i in range(300)] + [(5000 + i, -96.3 + i / 50, 30.6) for i in range(5)]
+    points = [(i, -96.34 + rng.random() * 1e-4, 30.61 + rng.random() * 1e-4) for i in range(40)] + [(100 + i, -96.5 + rng.random(), 30.2 + rng.random()) for i in range(20)]
+    df = spark.createDataFrame(nodes, "node_id long, lon double, lat double")
+    spots = df.groupBy("lon", "lat").agg(F.min("node_id").alias("node_id"))
+    size = campus.cell_size(spots)
+    x, y = campus.cell(F.col("lon"), F.col("lat"), size)
+    assert size < campus.CELL_DEGREES and spots.groupBy(x, y).count().agg(F.max("count")).first()[0] <= campus.CROWD
+    found = campus.nearest(spark.createDataFrame(points, "id long, lon double, lat double"), df, "id").collect()
+    whole = spark.createDataFrame(points, "id long, plon double, plat double").crossJoin(df)
+    away = F.struct(haversine(F.col("plat"), F.col("plon"), F.col("lat"), F.col("lon")).alias("d"), "node_id")
+    want = {r.id: (r.best.node_id, r.best.d) for r in whole.groupBy("id").agg(F.min(away).alias("best")).collect()}
+    assert {r.id: (r.node_id, r.snap_m) for r in found} == want
+
+
 def test_numbers_follow_the_order(spark):
     rng = random.Random(1)
     rows = [(i, rng.choice("abc"), rng.random()) for i in range(500)]

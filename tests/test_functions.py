@@ -139,3 +139,17 @@ def test_normalised_trees(spark):
     assert b.quality_flags == ["missing_height", "missing_canopy_spread", "dead"] and not b.shade_ready
     assert c.quality_flags == ["health_unknown", "status_unknown", "removed"] and not c.shade_ready
     assert shadows.eligible_trees(ingest.normalize_trees(spark.createDataFrame(rows, schema))).count() == 1
+
+
+def test_places_off_the_globe(spark):
+    import pytest
+    from pyspark.sql import functions as F
+
+    from penumbra.functions.solar import with_solar
+
+    df = spark.createDataFrame([(30.0, -96.0), (91.0, 0.0), (0.0, 180.5), (None, 1.0)], "lat double, lon double").withColumn("at", F.lit("2026-06-21 18:00:00").cast("timestamp_ntz"))
+    got = with_solar(df, "at", F.col("lat"), F.col("lon")).collect()
+    assert got[0].daylight and all(r.altitude is None and r.daylight is None for r in got[1:])
+    for place in ((91, 0), (0, -181), (float("nan"), 0)):
+        with pytest.raises(ValueError, match="must be between"):
+            with_solar(df, "at", *place)
