@@ -158,12 +158,17 @@ def fit_quality(docs: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, floa
             yield pa.RecordBatch.from_arrays([pa.array([np.flatnonzero(r).astype(np.int32) for r in x], pa.list_(pa.int32())), pa.array([r[r > 0] for r in x], pa.list_(pa.float64())), pa.array([votes(s) for s in t], pa.int64())], names=["at", "share", "pattern"])
 
     # as many rows as the sample has, and only their features
-    data = sorted(chosen.mapInArrow(feature_run, "at array<int>, share array<double>, pattern long").collect())
-    x, y = np.zeros((len(data), FEATURES), np.float32), np.zeros(len(data), np.float32)
-    for i, r in enumerate(data):
-        x[i, r["at"]] = r["share"]
-        y[i] = posterior.get(r["pattern"], 0.0)
-    return fit_logistic(x, y) if len(data) else (np.zeros(FEATURES), -1.0)
+    data = chosen.mapInArrow(feature_run, "at array<int>, share array<double>, pattern long").select("at", "share", "pattern", F.xxhash64("at", "share").alias("order")).toArrow().combine_chunks()
+    if not data.num_rows:
+        return np.zeros(FEATURES), -1.0
+    # columns as they come, not a Python object for each number; in an order that a job run again has too
+    data = data.sort_by([("order", "ascending"), ("pattern", "ascending")])
+    at, share = (data.column(c).combine_chunks() for c in ("at", "share"))
+    x = np.zeros((data.num_rows, FEATURES), np.float32)
+    x[np.repeat(np.arange(data.num_rows), np.diff(at.offsets.to_numpy())), at.flatten().to_numpy()] = share.flatten().to_numpy()
+    y = np.array([posterior.get(p, 0.0) for p in data.column("pattern").to_pylist()], np.float32)
+    del data, at, share
+    return fit_logistic(x, y)
 
 
 def with_quality(docs: DataFrame, model: tuple[np.ndarray, float], score: str = "score") -> DataFrame:
