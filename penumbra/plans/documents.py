@@ -39,9 +39,9 @@ def scan_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("pos", "source_id", "common_name", "point_m.x", "point_m.y", F.col("point_wgs84.x").alias("lon"), F.col("point_wgs84.y").alias("lat"), "height_m", "canopy_radius_m", "shade_ready", F.size("quality_flags").cast("long").alias("flags"))
 
 
-@query("scan_buildings", f"WITH {BUILDINGS_CLEAN} SELECT row_number() OVER (ORDER BY source_id) - 1 AS pos, CAST(source_id AS VARCHAR) AS source_id, name, building_number, estimated_height_m, shade_ready, len(rings) AS rings, CAST(coalesce(list_sum(list_transform(rings, lambda r: len(r))), 0) AS BIGINT) AS points FROM building")
+@query("scan_buildings", f"WITH {BUILDINGS_CLEAN} SELECT row_number() OVER (ORDER BY source_id) - 1 AS pos, CAST(source_id AS VARCHAR) AS source_id, name, building_number, estimated_height_m, shade_ready, CASE WHEN good THEN len(rings) END AS rings, CASE WHEN good THEN CAST(list_sum(list_transform(rings, lambda r: len(r))) AS BIGINT) END AS points FROM building")
 def scan_buildings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Normalised buildings after they were a document."""
+    """Normalised buildings after they were a document; one without a sound footprint has none there either."""
     rows = buildings(spark, sf_dir)
     rings = lambda c: F.transform(c, lambda r: F.transform(r, _pair)).alias(c)
     element = F.struct("source_id", "building_number", "abbreviation", "name", "floor_count", "estimated_height_m", "height_source", rings("footprint_wgs84"), rings("footprint_m"), "shade_ready", "quality_flags")
