@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from penumbra.llm.common import Memo, row_key, stored
+from penumbra.llm.common import Memo, per_worker, row_key, stored
 
 N = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -46,7 +46,8 @@ def plain_words(text: str | None) -> list[bytes]:
 def hasher() -> Memo:
     import xxhash
 
-    return Memo(xxhash.xxh3_64_intdigest)
+    # near-duplicate removal keeps the same numbers of words under this key
+    return per_worker("hashes of words", lambda: Memo(xxhash.xxh3_64_intdigest))
 
 
 def gram_hashes(w: list[bytes], hash_of: Memo) -> np.ndarray:
@@ -150,7 +151,7 @@ def occurrences(docs: DataFrame, items: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, few, hash_of = np.frombuffer(long_bits.value, np.uint8), np.frombuffer(short_bits.value, np.uint8), hasher()
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()))
-        for batch in batches:
+        for batch in (whole.slice(start, 250) for whole in batches for start in range(0, whole.num_rows, 250)):
             out = []
             for doc, row, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row", "text")), strict=True):
                 h = gram_hashes(plain_words(text), hash_of)
