@@ -2,7 +2,8 @@
 
 1. One pass looks for the items' n-grams in all documents (a bit table of fixed size, then an exact join) and keeps where they stand, by document.
 2. An n-gram is a seed if few documents have it, or not many more than have the rarest of its item that any document has: that is about as many as hold a copy of the
-   item, so an n-gram beyond it is common for other reasons. Seeds give candidates: a document, an item, and about where it would begin.
+   item, so an n-gram beyond it is common for other reasons. So that parts of an item that are common throughout have seeds too, the rarest of every STRETCH n-grams in a row
+   is one. Nothing of this grows with the number of documents. Seeds give candidates: a document, an item, and about where it would begin.
 3. Only documents with candidates are read again. Candidates are aligned with their items word by word; the score is that of the best local alignment as a share of a
    perfect copy's.
 4. Items too short for that are found where they are a whole line, sentence or clause.
@@ -24,8 +25,9 @@ from penumbra.llm.common import Memo, per_worker, row_key, stored
 
 N = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
-#: An n-gram is rare if at most this share of the documents has it, or FEW documents, or MORE times as many as have its item's rarest.
-RARE, FEW, MORE = 0.01, 100, 3
+#: An n-gram is rare if at most FEW documents have it, or MORE times as many as have its item's rarest, or if it is the rarest of STRETCH in a row: whatever else is
+#: changed, a copy is looked for that leaves STRETCH + N - 1 words in a row as they are.
+FEW, MORE, STRETCH = 100, 3, 8
 #: Parts that a seed's documents are dealt to.
 PARTS = 16
 #: Cells of alignment tables at a time.
@@ -170,13 +172,19 @@ def occurrences(docs: DataFrame, items: DataFrame) -> DataFrame:
     return docs.select("doc_id", "row", "text").mapInArrow(run, "doc_id long, row long, hash long, places array<int>")
 
 
-def seeds_of(items: DataFrame, found: DataFrame, documents: int) -> DataFrame:
-    """The n-grams in items that lead to candidates: rare ones, by the number of documents in found that have them. Short items stay as they are."""
+def seeds_of(items: DataFrame, found: DataFrame) -> DataFrame:
+    """The n-grams in items that lead to candidates: rare ones (see FEW, MORE, STRETCH), by the number of documents in found that have them. Short items stay as they are."""
     counts = found.groupBy("hash").agg(F.count(F.lit(1)).alias("n"))
-    held = items.join(counts, "hash")
-    rarest = F.min("n").over(W.partitionBy("item_id", "item"))
-    rare = F.col("n") <= F.greatest(F.lit(max(FEW, RARE * documents)), MORE * rarest)
-    return held.withColumn("rare", rare | F.col("short")).filter("rare").drop("n", "rare")
+    held = items.join(counts, "hash", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    own = W.partitionBy("item_id", "item")
+    rarest = F.min(F.when(F.col("n") > 0, F.col("n"))).over(own)
+    # the rarest of the stretch that begins here, the first of equally rare ones; one that no document has is in no stretch that a document holds
+    least = F.min(F.struct("n", "at")).over(own.orderBy("at").rangeBetween(0, STRETCH - 1))
+    whole = F.col("at") <= F.greatest(F.col("size") - (N - 1) - STRETCH, F.lit(0))
+    held = held.withColumn("rarest", rarest).withColumn("least", F.when(whole, least["at"]))
+    chosen = F.array_contains(F.collect_list("least").over(own.orderBy("at").rangeBetween(1 - STRETCH, 0)), F.col("at"))
+    held = held.withColumn("rare", (F.col("n") <= F.greatest(F.lit(FEW), MORE * F.col("rarest"))) | chosen | F.col("short"))
+    return held.filter("rare and n > 0").drop("n", "rarest", "least")
 
 
 def _row_in(rows: DataFrame, column: str) -> Column:
@@ -221,7 +229,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, min_
     """Returns (doc_id, item_id, score, last_word): documents that hold a copy of an item, edited or not, with score >= least.
 
     docs: doc_id, text; benchmark: item_id, text; other columns are ignored. A copy is looked for wherever a rare run of N words (see seeds_of) of an item
-    stands unchanged; one that has no such run is not found, whatever its score. score is 1 for a word-for-word copy (rounded to 4 places); last_word
+    stands unchanged, which is so if STRETCH + N - 1 words in a row of it do; one that has no such run is not found, whatever its score. score is 1 for a word-for-word copy (rounded to 4 places); last_word
     counts the document's words up to the end of the copy, the first of equally good ones. An item of fewer than min_words words, which chance repeats within
     sentences, is found where it is a whole line, sentence or clause, with score 1. Items and texts without words, null ones among them, match nothing. A null doc_id
     or item_id is returned as such, repeated rows give one result, as do repeated items; a document with several items has a row for each. Empty tables give no rows.
@@ -229,7 +237,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, min_
     items = stored(items_of(benchmark, min_words), "items")
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row", row_key(F.col("doc_id"), F.col("text"))).filter("text is not null")
     found = stored(occurrences(source, items), "occurrences")
-    seeds = stored(seeds_of(items, found, source.count()), "seeds")
+    seeds = stored(seeds_of(items, found), "seeds")
     # a seed that very many documents have is dealt to several parts
     dealt = seeds.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
     met = found.withColumn("part", F.pmod("row", F.lit(PARTS)).cast("int")).join(dealt, ["hash", "part"])

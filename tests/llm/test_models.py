@@ -348,12 +348,45 @@ def test_common_runs_are_no_seeds_unless_the_item_has_no_others(spark):
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     own = decontam.items_of(bench, 5)
     source = frame.withColumn("row", F.xxhash64("doc_id"))
-    seeds = {(r.item_id, r["at"]) for r in decontam.seeds_of(own, decontam.occurrences(source, own), 401).collect()}
+    seeds = {(r.item_id, r["at"]) for r in decontam.seeds_of(own, decontam.occurrences(source, own)).collect()}
     assert {(1, 0), (1, 1), (1, 7), (1, 9)} <= seeds and not {(1, 3), (1, 4)} & seeds and {at for i, at in seeds if i == 2} == set(range(5))
     got = {(r.doc_id, r.item_id) for r in decontam.contaminated(frame, bench).collect()}
     assert got == {(1000, 1), (1000, 2)} | {(i, 2) for i in range(400)}
 
 
+def test_every_stretch_of_an_item_has_a_seed(spark):
+    """Twenty words that many documents hold, and twenty of its own: a copy of the common half alone is found beyond FEW documents."""
+    common, own = [f"c{i}" for i in range(20)], [f"o{i}" for i in range(20)]
+    docs = [(i, " ".join([f"d{i}", *common])) for i in range(decontam.FEW + 50)] + [(1000, " ".join(own))]
+    bench = spark.createDataFrame([(1, " ".join(common + own))], "item_id long, text string")
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    items = decontam.items_of(bench, 5)
+    seeds = sorted(r["at"] for r in decontam.seeds_of(items, decontam.occurrences(frame.withColumn("row", F.xxhash64("doc_id")), items)).collect())
+    among = [at for at in seeds if at < 18]
+    assert 0 < len(among) < 18 and all(any(s <= at < s + decontam.STRETCH for at in among) for s in range(18 - decontam.STRETCH + 1)) and set(range(20, 38)) <= set(seeds)
+    got = {r.doc_id: r.score for r in decontam.contaminated(frame, bench).collect()}
+    assert got == {i: 0.5 for i, _ in docs}
+
+
+def test_recall_against_all_alignments(spark):
+    """Every document of the given table aligned with every item of five words or more, without seeds."""
+    sf = "/root/testdata/sf0.001"
+    docs, bench = (spark.read.parquet(f"{sf}/{n}.parquet").collect() for n in ("documents", "benchmark"))
+    items = {r.item_id: decontam.plain_words(r.text) for r in bench}
+    codes: dict[bytes, int] = {}
+    number = lambda w: np.array([codes.setdefault(x, len(codes)) for x in w], np.int64)
+    coded = {i: number(w) for i, w in items.items() if len(w) >= 5}
+    expected = set()
+    for r in docs:
+        words = number(decontam.plain_words(r.text))[None, :]
+        for i, w in coded.items():
+            # a score of one half needs as many matching words
+            if words.size and 2 * np.isin(w, words).sum() >= len(w) and decontam.align(w, words)[0][0] >= decontam.MATCH * len(w) / 2:
+                expected.add((r.doc_id, i))
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")).collect() if r.item_id in coded}
+    assert expected and got == expected
+
+
 def test_decontamination_awkward_rows(spark):
     docs = awkward(spark)
     bench = spark.createDataFrame([(1, "one two three four five six seven eight"), (1, "one two three four five six seven eight"), (None, None), (3, "")], "item_id long, text string")
