@@ -90,7 +90,7 @@ def per_worker(key: str, make: Callable):
 class Memo(dict):
     """word -> make(word), forgotten as a whole once it holds `most` words; words of more than `longest` bytes or characters aren't kept. So its memory is bounded."""
 
-    def __init__(self, make, most: int = 600_000, longest: int = 64):
+    def __init__(self, make, most: int = 250_000, longest: int = 64):
         super().__init__()
         self.make, self.most, self.longest = make, most, longest
 

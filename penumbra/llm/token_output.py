@@ -203,7 +203,7 @@ def word_encoder(tokenizer) -> Memo:
         ids = stems[letters.lower()]
         return ids if len(letters) == len(text) else ids + marks[text[len(letters) :]]
 
-    return Memo(word, 1_000_000)
+    return Memo(word)
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = 2, shards: int | None = None, chunk_ids: int = 65_536) -> None:
