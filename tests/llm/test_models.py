@@ -44,6 +44,81 @@ def test_quality_on_labels_it_never_saw(spark):
     assert sum(clean) / len(clean) > 0.98 and sum(junk) / len(junk) < 0.1
 
 
+def plain_votes(text):
+    """A vote per labeller (0 nothing, 1 clean, 2 junk), counted byte by byte; None for a text without words."""
+    raw, w = text.encode(), text.encode().split()
+    if not w:
+        return None
+    upper, lower = sum(65 <= b <= 90 for b in raw), sum(97 <= b <= 122 for b in raw)
+    seen = {
+        "symbols": sum(chr(b) in "#$%&*+/<=>@[\\]^_`{|}~" for b in raw) / len(raw),
+        "capitals": upper / max(1, upper + lower),
+        "repeats": sum(x == y for x, y in itertools.pairwise(w)) / len(w),
+        "shouts": raw.count(b"!") / len(w),
+        "bars": sum(x in (b"|", b"||", b"-", b"/") for x in w) / len(w),
+        "variety": sum(len(set(w[i : i + 100])) for i in range(0, len(w), 100)) / len(w),
+        "stops": sum(x.endswith((b".", b",", b";", b":", b"?")) for x in w) / len(w),
+    }
+    out = []
+    for name, (clean, junk) in quality.LABELLERS.items():
+        x = seen[name]
+        vote = (1 if x < clean else 2 if x > junk else 0) if clean < junk else (1 if x > clean else 2 if x < junk else 0)
+        out.append(0 if len(text.split()) < 5 and name in ("capitals", "variety", "stops") else vote)
+    return out
+
+
+def plain_posteriors(rows):
+    """Expectation maximisation over the rows one by one, not over counts of patterns."""
+    post = []
+    for v in rows:
+        junk, clean = v.count(2), v.count(1)
+        post.append(junk / (junk + clean / 3) if junk else 0.02)
+    for _ in range(100):
+        share = [[[(0.5 + sum(p if c else 1 - p for p, v in zip(post, rows, strict=True) if v[i] == k)) / (1.5 + sum(p if c else 1 - p for p in post)) for k in range(3)] for i in range(len(rows[0]))] for c in (0, 1)]
+        prior = [(1 + sum(p if c else 1 - p for p in post)) / (len(rows) + 2) for c in (0, 1)]
+        new = []
+        for v in rows:
+            clean, junk = (math.log(prior[c]) + sum(math.log(share[c][i][k]) for i, k in enumerate(v)) for c in (0, 1))
+            new.append(1 / (1 + math.exp(max(-50, min(50, clean - junk)))))
+        done = max(abs(a - b) for a, b in zip(new, post, strict=True)) < 1e-9
+        if done:
+            break
+        post = new
+    return post
+
+
+def test_quality_equals_plain_version(spark):
+    """The result over a table: votes, posteriors, hashed shapes and scorer, each written out plainly; the sample holds all rows."""
+    import xxhash
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").distinct()
+    rows = [(r.doc_id, r.text or "") for r in docs.collect()]
+    labels = plain_posteriors([plain_votes(t) or [0] * len(quality.LABELLERS) for _, t in rows])
+
+    def shares(text):
+        w, out = text.encode().split(), np.zeros(quality.FEATURES)
+        for x in w:
+            kinds = ["X" if 65 <= b <= 90 else "x" if 97 <= b <= 122 or b >= 128 else "9" if 48 <= b <= 57 else chr(b) for b in x]
+            runs = "".join(k for k, _ in itertools.groupby(kinds)).encode()
+            out[xxhash.xxh3_64_intdigest(runs + bytes([min(len(x), 24) // 4])) % (quality.FEATURES - 1)] += 1
+        out[-1] = sum(x == y for x, y in itertools.pairwise(w))
+        return out / (len(w) + quality.CALM)
+
+    x, y = np.array([shares(t) for _, t in rows]), np.array(labels)
+    share = (y.sum() + 1) / (len(y) + 2)
+    w, b = np.zeros(x.shape[1]), math.log(share / (1 - share))
+    first, second = np.zeros_like(w), np.zeros_like(w)
+    for step in range(1, 401):
+        slope = x.T @ (1 / (1 + np.exp(-(x @ w + b))) - y) / len(y) + 1e-5 * w
+        first, second = 0.9 * first + 0.1 * slope, 0.999 * second + 0.001 * slope**2
+        w = w - 0.3 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
+    expected = {i: 1 / (1 + math.exp(s)) for (i, _), s in zip(rows, x @ w + b, strict=True)}
+    got = {r.doc_id: r for r in quality.score_quality(docs).collect()}
+    assert got.keys() == expected.keys()
+    assert max(abs(got[i].score - s) for i, s in expected.items()) < 0.02
+    assert all(got[i].kept == (s >= 0.5) for i, s in expected.items() if abs(s - 0.5) > 0.02)
+
+
 def test_quality_awkward_rows(spark):
     got = quality.score_quality(awkward(spark)).collect()
     assert len(got) == 11 and all(0 <= r.score <= 1 for r in got)
