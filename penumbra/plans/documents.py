@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from penumbra.operators.graph import shared_base
+from penumbra.operators.graph import shared_base, spread
 from penumbra.plans.ingest import BUILDINGS_CLEAN, TREES_CLEAN, buildings, trees
 from penumbra.plans.tables import OBSERVATIONS, observations
 from penumbra.registry import query
@@ -53,7 +53,7 @@ def scan_buildings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("scan_observations", f"WITH {OBSERVATIONS} SELECT row_number() OVER (ORDER BY pos) - 1 AS pos, observation_id, observation_type, observed_at, latitude, gps_accuracy_m, photos, object_type, destination_id, CASE WHEN destination_id IS NULL THEN 'null' ELSE 'text' END AS destination_kind, predicted_distance FROM obs")
 def scan_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Field observations after they were a document, with what the document holds where a destination should be."""
-    rows = observations(spark, sf_dir)
+    rows = spread(observations(spark, sf_dir))
     c = F.col
     side = lambda s: F.struct(c(f"{s}_bearing").alias("shadow_bearing_degrees"), c(f"{s}_length").alias("shadow_length_m"), c(f"{s}_fraction").alias("walkway_shade_fraction"), c(f"{s}_fraction").alias("shade_fraction"), c(f"{s}_distance").alias("distance_m"), c(f"{s}_duration").alias("duration_seconds")).alias(s)
     photos = F.when(c("photos") > 0, F.transform(F.sequence(F.lit(1), c("photos").cast("int")), lambda i: F.concat(i.cast("string"), F.lit(".jpg")))).otherwise(F.array().cast("array<string>"))

@@ -95,11 +95,12 @@ def scan_observations(spark: SparkSession, path: str) -> DataFrame:
     A version other than 1.0, or observations that are no list, are errors of the document; anything else is an error of one row. Values are strict: a number is no text
     and a truth no number, so such a value is null in its column and its kind tells what it was.
     """
-    if json_parts.member(spark, path, "schema_version") != '"1.0"':
+    told = kept(json_parts.parts(spark, path), "parts")
+    if json_parts.member(spark, path, "schema_version", told) != '"1.0"':
         raise ValueError("schema_version must be '1.0'")
-    if json_parts.member(spark, path, "observations") != "[":
+    if json_parts.member(spark, path, "observations", told) != "[":
         raise ValueError("observations must be an array")
-    rows = json_parts.elements(spark, path, "observations")
+    rows = json_parts.elements(spark, path, "observations", told)
     held = lambda p: json_parts.at(F.col("value"), f"$.{p}")
     paths = sorted({p for _, p, _ in OBSERVED} | {p.split(".")[0] for _, p, _ in OBSERVED} | {"evidence", "evidence.photo_files"})
     kinds = [F.struct(F.lit("").alias("key"), F.coalesce(json_parts.kind(F.col("value")), F.lit("null")).alias("value"))]

@@ -28,8 +28,11 @@ def _change(parts: Column, inside: int) -> Column:
 
 
 def _running(rows: DataFrame, value: Column, name: str) -> DataFrame:
-    """rows with the sum of value over the fragments before: within a range of bytes by a window, over ranges by their sums, of which there is one for each range."""
-    held = rows.withColumn("__v", value)
+    """rows with the sum of value over the fragments before: within a range of bytes by a window, over ranges by their sums, of which there is one for each range.
+
+    Fragments are written before, since the sums and the window both need them: sums of sums would else read the text twice as often with each level.
+    """
+    held = kept(rows.withColumn("__v", value), "fragments")
     ranges = held.groupBy("file", "start").agg(F.sum("__v").alias("__sum"))
     before = W.partitionBy("file").orderBy("start").rowsBetween(W.unboundedPreceding, -1)
     carried = ranges.select("file", "start", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__carried"))
@@ -66,20 +69,20 @@ def parts(spark: SparkSession, path: str) -> DataFrame:
     return told.select("file", "member", "name", (F.col("element") - F.col("first")).alias("pos"), F.btrim(text, F.lit(" \t\r\n")).alias("text"), "list")
 
 
-def elements(spark: SparkSession, path: str, name: str) -> DataFrame:
+def elements(spark: SparkSession, path: str, name: str, told: DataFrame | None = None) -> DataFrame:
     """pos, value: the elements of the list that a document has under a name, as variants; null where an element is no JSON. A document without that list is an error.
 
-    The list is taken apart once and written to the shared folder, since readers look at its elements several times.
+    The list is taken apart once and written to the shared folder, since readers look at its elements several times. told: the document's parts, if they are known.
     """
-    found = kept(parts(spark, path).filter((F.col("name") == name) & F.col("list")).select("pos", "text"), "elements")
+    found = kept((parts(spark, path) if told is None else told).filter((F.col("name") == name) & F.col("list")).select("pos", "text"), "elements")
     if found.isEmpty():
         raise ValueError(f"the document has no list of {name}")
     return found.filter("text <> ''").select("pos", F.try_parse_json("text").alias("value"))
 
 
-def member(spark: SparkSession, path: str, name: str) -> str | None:
-    """The JSON text of a member that is neither list nor object; '[' for a list, '{' for an object, None where there is none."""
-    found = parts(spark, path).filter(F.col("name") == name)
+def member(spark: SparkSession, path: str, name: str, told: DataFrame | None = None) -> str | None:
+    """The JSON text of a member that is neither list nor object; '[' for a list, '{' for an object, None where there is none. told: the document's parts, if they are known."""
+    found = (parts(spark, path) if told is None else told).filter(F.col("name") == name)
     row = found.select("pos", F.when(F.col("list"), F.lit("[")).when(F.startswith("text", F.lit("{")), F.lit("{")).otherwise(F.col("text")).alias("text")).orderBy("pos").first()
     return row and row.text
 

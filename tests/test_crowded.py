@@ -29,3 +29,18 @@ def test_edges_under_many_shadows_meet_none_of_them(spark, monkeypatch):
 def test_rows_of_a_small_table_are_spread_over_tasks(spark, sf):
     for rows in (ingest.trees(spark, sf), ingest.buildings(spark, sf)):
         assert rows.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_a_document_is_read_once(spark, tmp_path, monkeypatch):
+    """However many levels its parts are found by, and whatever is asked of it."""
+    from penumbra.sources import documents, json_parts
+
+    path = str(tmp_path / "one.json")
+    with open(path, "w") as f:
+        f.write('{"schema_version":"1.0","observations":[{"observation_id":"a"},{"observation_id":"b, c"}]}')
+    seen, real = [], json_parts._fragments
+    monkeypatch.setattr(json_parts, "_fragments", lambda *a: seen.append(a) or real(*a))
+    found = documents.scan_observations(spark, path)
+    assert [r.observation_id for r in found.orderBy("pos").collect()] == ["a", "b, c"] and len(seen) == 1
+    plan = json_parts.parts(spark, path)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(text#") <= 4 and "_metadata" not in plan
