@@ -1,8 +1,10 @@
 """Work where much lies on one spot grows with the rows, not with their pairs."""
 
+import random
+
 from pyspark.sql import functions as F
 
-from penumbra.operators import shade
+from penumbra.operators import paths, shade
 from penumbra.plans import ingest, shade as plans
 
 
@@ -44,3 +46,20 @@ def test_a_document_is_read_once(spark, tmp_path, monkeypatch):
     assert [r.observation_id for r in found.orderBy("pos").collect()] == ["a", "b, c"] and len(seen) == 1
     plan = json_parts.parts(spark, path)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_replace(text#") <= 4 and "_metadata" not in plan
+
+
+def test_cells_are_cut_where_neighbourhoods_are(spark):
+    """Nodes that lie across one another by ten times their distance don't make half of a graph the borders of its cells, and a crowded cell is cut."""
+    rng, side = random.Random(5), 50
+    nodes = [(r * side + c, -96.3 + 2e-5 * c + rng.random() * 2e-4, 30.6 + 2e-5 * r + rng.random() * 2e-4) for r in range(side) for c in range(side)]
+    pairs = [(k, k + d) for k in range(side * side) for d in (1, side) if k + d < side * side and (d > 1 or (k + 1) % side)]
+    arcs = spark.createDataFrame([("plain", x, y, 1.0 + rng.random(), 1.0, 0.0) for a, b in pairs for x, y in ((a, b), (b, a))], "variant string, src long, dst long, cost double, metres double, shaded_m double")
+    made = spark.createDataFrame(nodes, "node_id long, lon double, lat double")
+    net = paths.overlay(arcs, made, 0.0006)
+    assert net.roads.select("src").distinct().count() < 0.25 * side * side
+    cut = paths.overlay(arcs, made, 0.01, 400)
+    assert cut.place.groupBy("cell").count().agg({"count": "max"}).first()[0] <= 400
+    # one with all nodes in a cell and one with many find the same ways
+    asked = spark.createDataFrame([(1, "plain", 0, side * side - 1), (2, "plain", side - 1, 7)], "request long, variant string, origin long, destination long")
+    costs = [{r.request: round(r.cost, 9) for r in paths.shortest_ways(asked, n).ways.collect()} for n in (cut, paths.overlay(arcs, made, 0.01))]
+    assert costs[0] == costs[1] and len(costs[0]) == 2
