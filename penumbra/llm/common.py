@@ -87,6 +87,10 @@ def per_worker(key: str, make: Callable):
     return kept[key]
 
 
+#: Hashes of words that a worker keeps: a word's hash is nearly as soon computed as found, so few are kept.
+HASHED = 50_000
+
+
 class Memo(dict):
     """word -> make(word), forgotten as a whole once it holds `most` words; words of more than `longest` bytes or characters aren't kept. So its memory is bounded."""
 

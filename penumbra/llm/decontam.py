@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from penumbra.llm.common import Memo, per_worker, row_key, stored
+from penumbra.llm.common import HASHED, Memo, per_worker, row_key, stored
 
 N = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -49,7 +49,7 @@ def hasher() -> Memo:
     import xxhash
 
     # near-duplicate removal keeps the same numbers of words under this key
-    return per_worker("hashes of words", lambda: Memo(xxhash.xxh3_64_intdigest))
+    return per_worker("hashes of words", lambda: Memo(xxhash.xxh3_64_intdigest, HASHED))
 
 
 def gram_hashes(w: list[bytes], hash_of: Memo) -> np.ndarray:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from penumbra.llm.common import SALTS, Memo, per_worker, salt_of, stored, with_least, words
+from penumbra.llm.common import HASHED, SALTS, Memo, per_worker, salt_of, stored, with_least, words
 
 #: Minima of a set, and the most that a pair at the threshold may be missed by sharing no band.
 MINHASHES, UNSEEN = 100, 1e-5
@@ -120,7 +120,7 @@ def word_hashes() -> Memo:
     """Hashes of words, kept by the worker from one step to the next."""
     import xxhash
 
-    return per_worker("hashes of words", lambda: Memo(xxhash.xxh3_64_intdigest))
+    return per_worker("hashes of words", lambda: Memo(xxhash.xxh3_64_intdigest, HASHED))
 
 
 def shingle_sets(texts: list[str | None], k: int, hash_of: Memo) -> list[np.ndarray]:

@@ -114,3 +114,10 @@ def test_one_row_very_often_and_two_texts_of_one_id(spark):
     rest = spark.createDataFrame([(7, "a b c d e f g"), (60, "q r s t u"), (60, "v w x y z"), (None, "a b c d e f g")], "doc_id long, text string")
     got = near_dedup.near_duplicates(hot.union(rest)).groupBy("doc_id", "component_id", "kept").count().collect()
     assert {tuple(r) for r in got} == {(50, 7, False, 10_000), (7, 7, True, 1), (60, 60, True, 2), (None, None, True, 1)}
+
+
+def test_few_hashes_are_kept():
+    """Workers keep them beside all that the stages of a pipeline hold."""
+    from penumbra.llm import decontam
+
+    assert near_dedup.word_hashes().most == decontam.hasher().most == 50_000
