@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from penumbra.operators import paths, shade
+from penumbra.operators import paths, shade, shadows
 from penumbra.plans import ingest, shade as plans
 
 
@@ -63,3 +63,11 @@ def test_cells_are_cut_where_neighbourhoods_are(spark):
     asked = spark.createDataFrame([(1, "plain", 0, side * side - 1), (2, "plain", side - 1, 7)], "request long, variant string, origin long, destination long")
     costs = [{r.request: round(r.cost, 9) for r in paths.shortest_ways(asked, n).ways.collect()} for n in (cut, paths.overlay(arcs, made, 0.01))]
     assert costs[0] == costs[1] and len(costs[0]) == 2
+
+
+def test_a_tree_is_cleaned_and_drawn_once(spark, sf):
+    """However many conditions are asked of it: filters and explodes don't have its texts read or its outline computed again."""
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(shadows.eligible_trees(ingest.trees(spark, sf))).count("regexp_extract") == 4
+    assert plan(ingest.tree_eligible(spark, sf)).count("regexp_extract") <= 8
+    assert "size(" not in plan(plans.tree_shadow_polygon(spark, sf)) and "size(" not in plan(plans.metric_to_wgs84(spark, sf))
