@@ -71,3 +71,16 @@ def test_a_tree_is_cleaned_and_drawn_once(spark, sf):
     assert plan(shadows.eligible_trees(ingest.trees(spark, sf))).count("regexp_extract") == 4
     assert plan(ingest.tree_eligible(spark, sf)).count("regexp_extract") <= 8
     assert "size(" not in plan(plans.tree_shadow_polygon(spark, sf)) and "size(" not in plan(plans.metric_to_wgs84(spark, sf))
+
+
+def test_lines_of_swept_ground_are_no_rows(spark, sf):
+    """Lengths along lines are added up where a building's pieces are: its rows are as many as its instants, not as its lines, and its area is measured once."""
+    found = shadows.swept_area(shadows.building_pieces(plans.ready_buildings(spark, sf), plans.suns(spark)))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "sequence(" not in plan and plan.count("ArrowEvalPython") == 1
+    # a yard, ground that two pieces share, and a piece between two lines
+    side = lambda a, b: ((a[0] + 0.0, a[1] + 0.0), (b[0] + 0.0, b[1] + 0.0))
+    ring = lambda x0, y0, x1, y1: [side(a, b) for a, b in (((x0, y0), (x1, y0)), ((x1, y0), (x1, y1)), ((x1, y1), (x0, y1)), ((x0, y1), (x0, y0)))]
+    rows = [(1, 1, -2, ring(0, 0, 10, 10) + ring(4, 4, 6, 6)), (1, 1, 1, ring(5, 0, 20, 10)), (1, 2, 1, ring(0, 0.01, 9, 0.02)), (1, 3, 1, ring(0, 0, 1, 1)), (1, 3, 2, ring(2, 0, 3, 1))]
+    made = spark.createDataFrame(rows, "bucket_start int, source_id int, piece int, sides array<struct<p:struct<x:double,y:double>,q:struct<x:double,y:double>>>")
+    assert {r.source_id: round(r.area_m2, 9) for r in shadows.swept_area(made).collect()} == {1: 198.0, 3: 2.0}
