@@ -71,3 +71,29 @@ def test_components_of_a_star_and_a_chain(spark):
     edges = [(1000, i) for i in range(200)] + [(2000 + i, 2001 + i) for i in range(60)] + [(5, 5), (7000, 7001)]
     got = {r.node_id: r.component for r in graph.connected(spark.createDataFrame(edges, "lo long, hi long")).collect()}
     assert got == {**dict.fromkeys([*range(200), 1000], 0), **dict.fromkeys(range(2000, 2061), 2000), 7000: 7000, 7001: 7000}
+
+
+def test_components_of_neighbours_take_no_rounds(spark, monkeypatch):
+    """A way through hundreds of nodes and a graph whose ids say nothing: looked at whole, piece by piece, and in rounds alone, with the same components. The first writes a fixed number of tables."""
+    rng = random.Random(1)
+    long_way = [(i, i + 1) for i in range(400) if i != 170]
+    scattered = [(rng.randrange(400) * 7, rng.randrange(400) * 7) for _ in range(300)]
+    written = []
+    kept = graph.kept
+    monkeypatch.setattr(graph, "kept", lambda df, name: written.append(name) or kept(df, name))
+    for edges in (long_way, scattered):
+        df = spark.createDataFrame(edges, "lo long, hi long")
+        least = {x: x for e in edges if e[0] != e[1] for x in e}
+        for _ in range(len(least)):
+            before = dict(least)
+            for a, b in edges:
+                if a != b:
+                    least[a] = least[b] = min(least[a], least[b])
+            if least == before:
+                break
+        del written[:]
+        assert {r.node_id: r.component for r in graph.connected(df).collect()} == least
+        assert len(written) <= 4
+        got = [tuple(r) for r in graph.connected(df, most=20).collect()]
+        assert len(got) == len(least) and dict(got) == least
+    assert graph.connected(spark.createDataFrame([(3, 3)], "lo long, hi long")).count() == 0
