@@ -16,7 +16,8 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -63,15 +64,23 @@ class Pieces:
             return np.log(p / total), math.log((ends + SMOOTH) / total)
 
 
+def letters(group: list[str]) -> tuple[list[int], np.ndarray]:
+    """Of words of one length: the code points in them, and for each word those of its characters by their number in that list."""
+    codes = np.frombuffer("".join(group).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(group), -1)
+    known, which = np.unique(codes, return_inverse=True)
+    return known.tolist(), which.reshape(codes.shape)
+
+
 def lattices(group: list[str], pieces: Pieces, logs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For words of one length n (in characters): piece ids [words, n + 1, longest] or -1, log weights of these, of the byte spellings of each character
     [words, n + 1], and forward sums [words, n + 2]."""
     spelled = [MARK + w for w in group]
     n = len(spelled[0])
     width = min(pieces.longest, n)
-    get = pieces.ids.get
     cells = [(i, i + k) for i in range(n) for k in range(1, min(width, n - i) + 1)]
-    flat = np.array([get(w[i:j], -1) for w in spelled for i, j in cells], np.int64).reshape(len(group), len(cells))
+    # all substrings of a word at once
+    parts = chain.from_iterable(map(itemgetter(*(slice(*c) for c in cells)), spelled)) if len(cells) > 1 else iter(spelled)
+    flat = np.fromiter(map(pieces.ids.get, parts, repeat(-1)), np.int64, len(group) * len(cells)).reshape(len(group), len(cells))
     for r, w in enumerate(spelled):
         if MARK in w[1:]:  # in a word it is no word mark: bytes alone spell it
             flat[r, [MARK in w[max(i, 1) : j] for i, j in cells]] = -1
@@ -79,10 +88,9 @@ def lattices(group: list[str], pieces: Pieces, logs: np.ndarray) -> tuple[np.nda
     begin, stop = np.array(cells).T
     ids[:, begin, stop - begin - 1] = flat
     edge = logs[ids]
-    byte_log: dict[str, float] = {}
-    for c in set().union(*group):
-        byte_log[c] = float(sum(logs[pieces.bytes[b]] for b in c.encode("utf-8", "surrogatepass")))
-    raw = np.array([[-np.inf, *(byte_log[c] for c in w)] for w in group]).reshape(len(group), n)
+    codes, which = letters(group)
+    raw = np.full((len(group), n), -np.inf)
+    raw[:, 1:] = np.array([sum(logs[pieces.bytes[b]] for b in chr(c).encode("utf-8", "surrogatepass")) for c in codes], float)[which]
     alpha = np.full((len(group), n + 1), -np.inf)
     alpha[:, 0] = 0
     for j in range(1, n + 1):
@@ -104,14 +112,17 @@ def expected_counts(group: list[str], times: np.ndarray, pieces: Pieces, logs: n
         beta[:, i] = np.logaddexp.reduce(terms, axis=0)
     out = np.zeros(pieces.size)
     total = alpha[:, n]
-    for k in range(1, width + 1):
-        p = np.exp(alpha[:, : n - k + 1] + edge[:, : n - k + 1, k - 1] + beta[:, k:] - total[:, None]) * times[:, None]
-        at = ids[:, : n - k + 1, k - 1]
-        out += np.bincount(at[at >= 0], p[at >= 0], minlength=pieces.size)
-    p = np.exp(alpha[:, :n] + raw + beta[:, 1:] - total[:, None]) * times[:, None]
-    for r, c in zip(*np.nonzero(p > 1e-9), strict=True):
-        for b in group[r][c - 1].encode("utf-8", "surrogatepass"):
-            out[pieces.bytes[b]] += p[r, c]
+    # only where a piece fits
+    at = np.flatnonzero(ids >= 0)
+    row, cell = np.divmod(at, n * width)
+    begin, more = np.divmod(cell, width)
+    p = np.exp(alpha[row, begin] + edge.ravel()[at] + beta[row, begin + more + 1] - total[row]) * times[row]
+    out += np.bincount(ids.ravel()[at], p, minlength=pieces.size)
+    p = np.exp(alpha[:, 1:n] + raw[:, 1:] + beta[:, 2:] - total[:, None]) * times[:, None]
+    codes, which = letters(group)
+    for c, times_spelled in zip(codes, np.bincount(which.ravel(), np.where(p > 1e-9, p, 0.0).ravel(), minlength=len(codes)).tolist(), strict=True):
+        for b in chr(c).encode("utf-8", "surrogatepass"):
+            out[pieces.bytes[b]] += times_spelled
     return out
 
 
