@@ -53,13 +53,16 @@ def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return mixing.mix_sources(rows).orderBy("position").select("__row.*")
 
 
-def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str, stored_order: bool = False) -> DataFrame:
     """Token files; returned is what is read back from them: doc_id, start, n_tokens, ids_crc32.
 
-    Null and empty texts are the end id alone, null doc_ids come first, repeated rows are documents of their own; an empty table gives none.
+    They have the documents by doc_id or, with stored_order, as they lie in the files that docs was read from. Null and empty texts are the end id alone, null doc_ids come first, repeated rows are documents of their own; an empty table gives none.
     """
     path = shared_folder(spark, "corpus")
-    token_output.write_tokens(docs, path, tokenizer_file("word_bpe_49k.json"), end_id=2)
+    order = None
+    if stored_order:
+        docs, order = docs.select("doc_id", "text", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row")), ["__file", "__row"]
+    token_output.write_tokens(docs, path, tokenizer_file("word_bpe_49k.json"), end_id=2, order=order)
     return token_output.read_token_digests(spark, path)
 
 
@@ -75,9 +78,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; the tokens are in the order of the mixture, which is that of its files."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = shared_folder(spark, name.replace(" ", "-"))
-        stage(spark, docs, sf_dir).write.parquet(path)
+        made = stage(spark, docs, sf_dir, stored_order=True) if stage is write_token_ids else stage(spark, docs, sf_dir)
+        made.write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

@@ -35,6 +35,8 @@ ESCAPED = 0.03
 PAD = int(COUNTS.max())
 #: Blocks that are coded at a time, which bounds the memory that a long text takes beside its ids.
 AT_ONCE = 4096
+#: Texts of a batch that are Python strings at a time.
+AT_ONCE_TEXTS = 256
 FILE = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("chunk", T.IntegerType()), T.StructField("before", T.LongType()), T.StructField("doc_ids", T.ArrayType(T.LongType())), T.StructField("n_tokens", T.ArrayType(T.IntegerType())), T.StructField("payload", T.BinaryType())])
 
 
@@ -206,18 +208,22 @@ def word_encoder(tokenizer) -> Memo:
     return Memo(word)
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = 2, shards: int | None = None, chunk_ids: int = 65_536) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = 2, shards: int | None = None, chunk_ids: int = 65_536, order: list[str] | None = None) -> None:
     """Encodes texts with a tokenizers file and writes them below path, which driver and executors must share.
 
     docs: doc_id, text (other columns are ignored). One range of doc_ids is a shard; a chunk closes once it has chunk_ids ids, so a task
     holds one chunk and one document. Each document ends with end_id; a null or empty text is end_id alone. Null doc_ids come first; repeated
     rows are documents of their own, next to each other, equal doc_ids by text. An empty table is written as no rows.
 
+    order: columns of docs that say another order of documents, in which no two are alike.
+
     With a tokenizer that drops white space (see by_words), words that come again aren't encoded again; any other encodes whole texts.
     """
     spark = docs.sparkSession
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text").withColumn("shard", F.spark_partition_id())
+    ranges, within = (order, order) if order else (["doc_id"], ["doc_id", "text"])
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *(order or []))
+    ordered = texts.repartitionByRange(shards, *ranges).sortWithinPartitions(*within).select("doc_id", "text", F.spark_partition_id().alias("shard"))
     end = np.array([end_id], "<u4").tobytes()
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,7 +242,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int =
                 x.clear()
             return row
 
-        for batch in batches:
+        # few texts at a time stand beside the batch
+        for batch in (whole.slice(i, AT_ONCE_TEXTS) for whole in batches for i in range(0, whole.num_rows, AT_ONCE_TEXTS)):
             for doc_id, text, shard in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "shard")), strict=True):
                 ids = ids_of(text) + end
                 parts.append(ids)

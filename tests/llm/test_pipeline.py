@@ -96,3 +96,13 @@ def test_stages_bear_awkward_rows(spark):
 
 def test_run_is_the_stages(spark, stages):
     assert corpus_pipeline.run(spark, SF).agg(F.sum("n_tokens")).first() == stages[5].agg(F.sum("n_tokens")).first()
+
+
+def test_tokens_of_a_run_are_in_the_order_of_the_mixture(spark, monkeypatch):
+    monkeypatch.setattr(corpus_pipeline, "STAGES", corpus_pipeline.STAGES[3:])
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = [tuple(r) for r in corpus_pipeline.run(spark, SF).orderBy("start").collect()]
+    assert [r[0] for r in got] == [r.doc_id for r in mixing.mix_sources(docs).orderBy("position").collect()]
+    plain = {r[0]: (r[2], r[3]) for r in expected([(r.doc_id, r.text) for r in docs.collect()])}
+    assert {r[0]: r[2:] for r in got} == plain
+    assert [r[1] for r in got] == [sum(r[2] for r in got[:i]) for i in range(len(got))]
