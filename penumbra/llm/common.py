@@ -8,6 +8,7 @@ import types
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,6 +84,7 @@ def per_worker(key: str, make: Callable):
     if key not in kept:
         for other in [k for k in kept if not k.startswith("__")]:
             del kept[other]
+        pa.default_memory_pool().release_unused()
         kept[key] = make()
     return kept[key]
 
