@@ -16,8 +16,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain, repeat
-from operator import itemgetter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +33,8 @@ SMOOTH = 0.1
 HEAD = 1_000_000
 #: Words of equal length handled at a time.
 GROUP = 4096
+#: Bits of a code point, and a number that is none.
+LETTER, NO_LETTER = 21, (1 << 21) - 1
 
 
 class Pieces:
@@ -51,6 +52,17 @@ class Pieces:
             self.bytes.setdefault(b, n + b)
         self.size = n + 256
         self.longest = max(map(len, self.ids))
+        # beginnings of pieces, each by a number, from which a letter leads to the next, and the piece that a beginning is
+        number = {"": 0}
+        steps = {}
+        for piece in self.ids:
+            for j in range(1, len(piece) + 1):
+                if piece[:j] not in number:
+                    number[piece[:j]] = len(number)
+                    steps[number[piece[: j - 1]] << LETTER | ord(piece[j - 1])] = number[piece[:j]]
+        self.steps = np.array(sorted(steps), np.int64)
+        self.next = np.array([steps[x] for x in self.steps.tolist()], np.int64)
+        self.at = np.array([self.ids.get(x, -1) for x in number], np.int64)
         self.known = sorted({*self.ids.values(), *self.bytes.values()})
 
     def log_probabilities(self, counts: dict[int, float], ends: float = 0.0) -> tuple[np.ndarray, float]:
@@ -74,21 +86,26 @@ def letters(group: list[str]) -> tuple[list[int], np.ndarray]:
 def lattices(group: list[str], pieces: Pieces, logs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For words of one length n (in characters): piece ids [words, n + 1, longest] or -1, log weights of these, of the byte spellings of each character
     [words, n + 1], and forward sums [words, n + 2]."""
-    spelled = [MARK + w for w in group]
-    n = len(spelled[0])
+    codes, which = letters(group)
+    spelled = np.array(codes, np.int64)[which]
+    # in a word it is no word mark: bytes alone spell it
+    spelled = np.where(spelled == ord(MARK), NO_LETTER, spelled)
+    spelled = np.concatenate([np.full((len(group), 1), ord(MARK)), spelled], axis=1)
+    n = spelled.shape[1]
     width = min(pieces.longest, n)
-    cells = [(i, i + k) for i in range(n) for k in range(1, min(width, n - i) + 1)]
-    # all substrings of a word at once
-    parts = chain.from_iterable(map(itemgetter(*(slice(*c) for c in cells)), spelled)) if len(cells) > 1 else iter(spelled)
-    flat = np.fromiter(map(pieces.ids.get, parts, repeat(-1)), np.int64, len(group) * len(cells)).reshape(len(group), len(cells))
-    for r, w in enumerate(spelled):
-        if MARK in w[1:]:  # in a word it is no word mark: bytes alone spell it
-            flat[r, [MARK in w[max(i, 1) : j] for i, j in cells]] = -1
     ids = np.full((len(group), n, width), -1)
-    begin, stop = np.array(cells).T
-    ids[:, begin, stop - begin - 1] = flat
+    # from each place on, letter by letter, as long as some piece goes on so
+    row, begin = (x.ravel() for x in np.indices((len(group), n)))
+    state = np.zeros(len(row), np.int64)
+    for k in range(width):
+        key = state << LETTER | spelled[row, begin + k]
+        at = np.minimum(np.searchsorted(pieces.steps, key), len(pieces.steps) - 1)
+        on = np.flatnonzero(pieces.steps[at] == key)
+        row, begin, state = row[on], begin[on], pieces.next[at[on]]
+        ids[row, begin, k] = pieces.at[state]
+        more = np.flatnonzero(begin + k + 1 < n)
+        row, begin, state = row[more], begin[more], state[more]
     edge = logs[ids]
-    codes, which = letters(group)
     raw = np.full((len(group), n), -np.inf)
     raw[:, 1:] = np.array([sum(logs[pieces.bytes[b]] for b in chr(c).encode("utf-8", "surrogatepass")) for c in codes], float)[which]
     alpha = np.full((len(group), n + 1), -np.inf)
