@@ -588,3 +588,17 @@ def test_toxicity_awkward_rows(spark):
     got = toxicity.score_toxicity(docs, labels).collect()
     assert len(got) == 11 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got)
     assert toxicity.score_toxicity(docs, labels.limit(0)).count() == 11 and toxicity.score_toxicity(empty(spark), labels).count() == 0
+
+
+def test_pieces_are_found_letter_by_letter():
+    """Every substring that is a piece and no other, with word marks, unknown letters and lone surrogates in the words."""
+    pieces = lattice_lm.Pieces(PIECES)
+    assert len(pieces.steps) == len(pieces.next) == len(pieces.at) - 1
+    for group in (["the", "\u2581he", "t\u2581e", "\ud800\U0001f600e"[:3], "日本\x00"], ["internationally", "xqzjkvwpyxqzjkv"], ["a"]):
+        ids = lattice_lm.lattices(group, pieces, np.zeros(pieces.size + 1))[0]
+        for r, w in enumerate(lattice_lm.MARK + w for w in group):
+            for i in range(len(w)):
+                for k in range(ids.shape[2]):
+                    part = w[i : i + k + 1]
+                    fits = i + k < len(w) and lattice_lm.MARK not in w[max(i, 1) : i + k + 1]
+                    assert ids[r, i, k] == (pieces.ids.get(part, -1) if fits else -1)
