@@ -101,16 +101,20 @@ def scan_observations(spark: SparkSession, path: str) -> DataFrame:
     if json_parts.member(spark, path, "observations", told) != "[":
         raise ValueError("observations must be an array")
     rows = json_parts.elements(spark, path, "observations", told)
-    held = lambda p: json_parts.at(F.col("value"), f"$.{p}")
     paths = sorted({p for _, p, _ in OBSERVED} | {p.split(".")[0] for _, p, _ in OBSERVED} | {"evidence", "evidence.photo_files"})
-    kinds = [F.struct(F.lit("").alias("key"), F.coalesce(json_parts.kind(F.col("value")), F.lit("null")).alias("value"))]
-    kinds += [F.struct(F.lit(p).alias("key"), json_parts.kind(held(p)).alias("value")) for p in paths]
-    known = rows.withColumn("kinds", F.map_from_entries(F.filter(F.array(*kinds), lambda e: e["value"].isNotNull())))
+    # each path is looked up once, in what holds it, and its schema is told once: columns of their own, since the plan repeats what an expression names more than once
+    held = rows.select("pos", "value", *[json_parts.at(F.col("value"), f"$.{p}").alias(f"at {p}") for p in paths if "." not in p])
+    held = held.select("*", *[json_parts.at(F.col(f"`at {p.split('.')[0]}`"), f"$.{p.split('.')[1]}").alias(f"at {p}") for p in paths if "." in p])
+    held = held.select("*", *[F.schema_of_variant(F.col(f"`at {p}`")).alias(f"schema {p}") for p in paths], F.schema_of_variant("value").alias("schema"))
+    kinds = [F.struct(F.lit("").alias("key"), F.coalesce(json_parts.kind(F.col("value"), F.col("schema")), F.lit("null")).alias("value"))]
+    kinds += [F.struct(F.lit(p).alias("key"), json_parts.kind(F.col(f"`at {p}`"), F.col(f"`schema {p}`")).alias("value")) for p in paths]
+    known = held.withColumn("kinds", F.map_from_entries(F.filter(F.array(*kinds), lambda e: e["value"].isNotNull())))
     read = {"text": "string", "number": "double"}
-    typed = [F.when(F.col("kinds")[p] == of, F.try_variant_get("value", f"$.{p}", read[of])).alias(c) for c, p, of in OBSERVED]
-    photos = _list(held("evidence.photo_files"))
+    typed = [F.when(json_parts.kind(F.col(f"`at {p}`"), F.col(f"`schema {p}`")) == of, F.try_variant_get(F.col(f"`at {p}`"), "$", read[of])).alias(c) for c, p, of in OBSERVED]
+    files, of_files = F.col("`at evidence.photo_files`"), F.col("`schema evidence.photo_files`")
+    photos = F.when(json_parts.kind(files, of_files) == "list", F.try_variant_get(files, "$", "array<variant>"))
     named = F.forall(photos, lambda f: (json_parts.kind(f) == "text") & (f.cast("string") != ""))
-    found = known.select("pos", "kinds", *typed, F.when(named, F.size(photos)).when(F.col("kinds")["evidence.photo_files"].isNotNull(), 0).alias("photos"))
+    found = known.select("pos", "kinds", *typed, F.when(named, F.size(photos)).when(json_parts.kind(files, of_files).isNotNull(), 0).alias("photos"))
     for side in ("observed", "predicted"):
         fraction = F.when(F.col("observation_type") == "route", F.col(f"{side}_route_fraction")).otherwise(F.col(f"{side}_shadow_fraction"))
         found = found.withColumn(f"{side}_fraction", fraction).drop(f"{side}_route_fraction", f"{side}_shadow_fraction")

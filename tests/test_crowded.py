@@ -48,6 +48,23 @@ def test_a_document_is_read_once(spark, tmp_path, monkeypatch):
     assert plan.count("regexp_replace(text#") <= 4 and "_metadata" not in plan
 
 
+def test_what_is_sorted_of_a_document_is_blocks_and_elements(spark, tmp_path, monkeypatch):
+    """Commas inside of elements are no rows, and an element's members are looked up once each, in tasks that share the elements."""
+    from penumbra.sources import documents, json_parts
+
+    path = str(tmp_path / "one.json")
+    with open(path, "w") as f:
+        f.write('{"schema_version":"1.0","observations":[%s]}' % ",".join('{"observation_id":"a%d, b","x":[%s]}' % (i, ",".join("7" * 200)) for i in range(40)))
+    written, real = [], json_parts.kept
+    monkeypatch.setattr(json_parts, "kept", lambda df, name: written.append(real(df, name)) or written[-1])
+    assert json_parts.parts(spark, path).count() == 41 and sum(w.count() for w in written) < 100
+    found = documents.scan_observations(spark, path)
+    assert sorted(r.observation_id for r in found.collect()) == sorted(f"a{i}, b" for i in range(40))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("schema_of_variant") + plan.count("SchemaOfVariant") < 120 and plan.count("try_variant_get") < 60
+    assert len([n for (n,) in written[-1].groupBy(F.spark_partition_id()).count().select("count").collect() if n]) > 1
+
+
 def test_cells_are_cut_where_neighbourhoods_are(spark):
     """Nodes that lie across one another by ten times their distance don't make half of a graph the borders of its cells, and a crowded cell is cut."""
     rng, side = random.Random(5), 50
