@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from penumbra.operators.graph import kept, spread
+from penumbra.operators.graph import kept
 
 #: A block of fragments is full with so many characters: rows of blocks are few, and no more than a block and an Arrow batch is in memory.
 BLOCK = 1 << 20
@@ -155,15 +155,15 @@ def parts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def elements(spark: SparkSession, path: str, name: str, told: DataFrame | None = None) -> DataFrame:
-    """pos, value: the elements of the list that a document has under a name, as variants; null where an element is no JSON. A document without that list is an error.
+    """pos, value: the elements of the list that a document has under a name, in order, as variants; null where an element is no JSON. A document without that list is an error.
 
-    The list is taken apart once and written to the shared folder, since readers look at its elements several times; it is dealt over all tasks, since texts are few bytes beside the work
-    with them. told: the document's parts, if they are known.
+    The list is taken apart once and written to the shared folder, since readers look at its elements several times. Ranges of it are dealt over all tasks, since texts are few bytes beside
+    the work with them. told: the document's parts, if they are known.
     """
-    found = kept(spread((parts(spark, path) if told is None else told).filter((F.col("name") == name) & F.col("list")).select("pos", "text")), "elements")
+    found = kept((parts(spark, path) if told is None else told).filter((F.col("name") == name) & F.col("list")).select("pos", "text"), "elements")
     if found.isEmpty():
         raise ValueError(f"the document has no list of {name}")
-    return found.filter("text <> ''").select("pos", F.try_parse_json("text").alias("value"))
+    return found.filter("text <> ''").orderBy("pos").select("pos", F.try_parse_json("text").alias("value"))
 
 
 def member(spark: SparkSession, path: str, name: str, told: DataFrame | None = None) -> str | None:
