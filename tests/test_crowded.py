@@ -28,6 +28,57 @@ def test_edges_under_many_shadows_meet_none_of_them(spark, monkeypatch):
     assert all(round(got[k], 9) == v for k, v in plain.items() if k[1] != 7)
 
 
+def test_edges_that_leave_the_dark_are_those_of_a_plain_search(spark):
+    """Cells are told and passed by arithmetic on whole batches, without a row for a piece's or an edge's line; what isn't dark at an instant is what single cells and pieces say."""
+    rng = random.Random(4)
+    suns = plans.suns(spark, plans.INSTANTS[1:3])
+    trees = spark.createDataFrame([(i, 6.0 + rng.random() * 6, 3.0 + rng.random() * 4, 755000.0 + rng.random() * 30, 3390000.0 + rng.random() * 30) for i in range(25)], "source_id long, height_m double, canopy_radius_m double, x double, y double")
+    trees = trees.select("source_id", "height_m", "canopy_radius_m", F.lit(True).alias("shade_ready"), F.struct("x", "y").alias("point_m"), F.struct(F.lit(-96.3).alias("x"), F.lit(30.6).alias("y")).alias("point_wgs84"))
+    rows = [(i, i + 1, 1.0, x, y, x + rng.random() * 6 - 3, y + (rng.random() * 6 - 3) * (i % 10 > 0)) for i in range(300) for x, y in [(755000.0 + rng.random() * 30, 3390000.0 + rng.random() * 30)]]
+    lines = spark.createDataFrame(rows, "lo long, hi long, distance_m double, x0 double, y0 double, x1 double, y1 double")
+    drawn = shade.strips(shade.pieces(trees, spark.createDataFrame([], "source_id long, height_m double, footprint_m array<array<struct<x:double,y:double>>>"), suns))
+    lit = suns.filter("daylight").select("bucket_start")
+    found = shade.lit_edges(lines, drawn, lit)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    pieces = [(r.bucket_start, [(s.p.x, s.p.y, s.q.x, s.q.y) for s in r.sides]) for r in drawn.select("bucket_start", "sides").collect()]
+
+    def held(at, cx, cy):
+        spots = [(x, y) for x in (2 * cx - 0.01, 2 * cx + 2.01) for y in (2 * cy - 0.01, 2 * cy + 2.01)]
+        turns = lambda sides: [(c - a) * (y - b) - (d - b) * (x - a) for a, b, c, d in sides for x, y in spots]
+        return any(all(t > 0 for t in v) or all(t < 0 for t in v) for of, sides in pieces if of == at for v in [turns(sides)])
+
+    known, want = {}, set()
+    for at in {of for of, _ in pieces}:
+        for lo, _, _, x0, y0, x1, y1 in rows:
+            cells = {((x0 + (x1 - x0) * t / 500) // 2, (y0 + (y1 - y0) * t / 500) // 2) for t in range(501)}
+            if not all(known.setdefault((at, *c), held(at, *c)) for c in cells):
+                want.add((at, lo))
+    got = {(r.bucket_start, r.lo) for r in found.collect()}
+    # a plain walk of steps may miss a corner of a cell
+    assert want <= got and len(got - want) < 10 and len(want) < 0.97 * 300 * len({of for of, _ in pieces})
+
+
+def test_a_cell_is_searched_as_far_as_something_new_leads(spark):
+    """What comes into a cell that was searched before ends where it meets what was there; a round reads the folders of the cells it searches."""
+    import pyarrow as pa
+
+    n = 1000
+    there, back = list(range(n - 1)), list(range(1, n))
+    arcs = {"src": there + back, "dst": back + there, "cost": [1.0] * (2 * n - 2), "metres": [1.0] * (2 * n - 2), "shaded_m": [0.0] * (2 * n - 2), "out": []}
+    cell = paths._Cell(pa.table({k: pa.array([v], pa.list_(pa.int64() if k in ("src", "dst") else pa.float64())) for k, v in arcs.items()}), [])
+    by, done, new = cell.search([(0.0, 0), (400.0, 600)], float("inf"), [False, True])
+    assert [i for i in range(n) if new[i]] == list(range(501, n)) and all(done[:500])
+    by, done, new = cell.search([(0.0, 0), (50.0, 60)], float("inf"), [False, True])
+    assert sum(new) == n - 56 and sum(done) == n
+    by, done, new = cell.search([(0.0, 0), (70.0, 60)], float("inf"), [False, True])
+    assert not any(new) and sum(done) < 100
+    made = spark.createDataFrame([(i, -96.3 + 1e-4 * i, 30.6) for i in range(200)], "node_id long, lon double, lat double")
+    net = paths.overlay(spark.createDataFrame([("plain", a, b, 1.0, 1.0, 0.0) for i in range(199) for a, b in ((i, i + 1), (i + 1, i))], "variant string, src long, dst long, cost double, metres double, shaded_m double"), made)
+    shelves = {r.shelf for r in net.cells.select("shelf").distinct().collect()}
+    assert len(shelves) > 3 and len({f.split("shelf=")[1].split("/")[0] for f in net.cells.inputFiles()}) == len(shelves)
+    assert paths.shortest_ways(spark.createDataFrame([(1, "plain", 0, 199)], "request long, variant string, origin long, destination long"), net).ways.first().cost == 199.0
+
+
 def test_edges_meet_shadows_in_bounded_parts(spark, sf, monkeypatch):
     """A row for an edge and a shadow is made where they meet, with nothing moved or added up afterwards, and is the same however small the parts of a cell."""
     rows = lambda found: sorted(tuple(map(str, r)) for r in found.collect())
